@@ -55,11 +55,20 @@ def relations(lines: DataFrame) -> DataFrame:
     )
 
 
-def nested(rows: DataFrame) -> DataFrame:
-    """Entity or relation rows of each document as one array, in file order."""
-    fields = [c for c in rows.columns if c != "pmid"]
-    ordered = F.sort_array(F.collect_list(F.struct("line_no", *[f for f in fields if f != "line_no"])))
-    return rows.groupBy("pmid").agg(ordered.alias("items"))
+def nested(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Entity or relation rows of each document as one array, in file order.
+
+    With ``ids`` every document has a row, with an empty array if it has none. The
+    array is one document's annotations, the value that is asked for.
+    """
+    fields = [c for c in rows.columns if c not in ("pmid", "line_no")]
+    packed = F.sort_array(F.collect_list(F.struct("line_no", *fields)))
+    groups = rows.groupBy("pmid").agg(packed.alias("items"))
+    if ids is None:
+        return groups
+    kind = groups.schema["items"].dataType
+    everyone = ids.select("pmid").distinct().join(groups, "pmid", "left")
+    return everyone.withColumn("items", F.coalesce("items", F.array().cast(kind)))
 
 
 def entity_numbers(entity_rows: DataFrame, entity_type: str | None = None) -> DataFrame:

@@ -66,9 +66,10 @@ def fit_word_vectors(
     docs: DataFrame, vocabulary: DataFrame, dim: int, text: str = "abstract", seed: int = 0
 ) -> DataFrame:
     """``(token, vec)`` from Word2Vec on texts rewritten to the vocabulary, which bounds its size."""
+    parts = docs.sparkSession.sparkContext.defaultParallelism
     words = replace_unknown(vocabulary_words(F.col(text)), known_words(vocabulary))
     fitted = Word2Vec(
-        vectorSize=dim, minCount=1, seed=seed, numPartitions=1, inputCol="words", outputCol="_v"
+        vectorSize=dim, minCount=1, seed=seed, numPartitions=parts, inputCol="words", outputCol="_v"
     ).fit(docs.select(words.alias("words")))
     return fitted.getVectors().select(
         F.col("word").alias("token"), vector_to_array("vector", "float32").alias("vec")

@@ -16,8 +16,8 @@ def annotation_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {
         "entities": entity_rows,
         "relations": relation_rows,
-        "entities_nested": nested(entity_rows),
-        "relations_nested": nested(relation_rows),
+        "entities_nested": nested(entity_rows, ids),
+        "relations_nested": nested(relation_rows, ids),
         "gold": gold_totals(entity_rows, ids),
         "loose": loose_totals(entity_rows, ids),
     }
