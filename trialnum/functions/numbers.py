@@ -32,8 +32,10 @@ TOKEN_PATTERN = r"[.,;']|[" + _WORD_CHARS + r"]+"
 
 _START = f"(?<![{_WORD_CHARS}])"
 _END = f"(?![{_WORD_CHARS}])"
+# The first letter is tested before anything else: most positions end there.
 NUMBER_WORD_PATTERN = (
-    f"{_START}(?=[b-tB-T])(?i:{'|'.join(sorted(NUMBER_WORDS, key=len, reverse=True))}){_END}"
+    f"(?=[befhmnostBEFHMNOST]){_START}"
+    f"(?i:{'|'.join(sorted(NUMBER_WORDS, key=len, reverse=True))}){_END}"
 )
 # What may stand between two words of one group: anything that is no token,
 # the comma, and the lower-case word "and". Possessive, so no backtracking and
@@ -137,9 +139,9 @@ def replace_number_words(text: Column) -> Column:
     """Every run of number words becomes its digits; the rest of the text is kept."""
     values = F.transform(number_groups(text), group_value)
     gaps = F.split(text, NUMBER_GROUP_PATTERN, -1)
-    merged = F.array_join(
-        F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(F.get(values, i), F.lit("")))), ""
-    )
+    # one gap more than groups; zipped, so that both arrays are made once
+    pieces = F.zip_with(gaps, values, lambda gap, value: F.concat(gap, F.coalesce(value, F.lit(""))))
+    merged = F.array_join(pieces, "")
     return F.when(text.rlike(NUMBER_WORD_PATTERN), merged).otherwise(text)
 
 
@@ -152,6 +154,11 @@ def normalize_numbers(text: Column) -> Column:
 EXOTIC_SPACES = "    "
 
 
+def whole_number(text: Column) -> Column:
+    """Value of a text that is one whole number, blanks around it allowed, else NULL."""
+    return F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), text.try_cast("bigint"))
+
+
 def annotated_number(word: Column) -> Column:
     """Annotated text as a number, NULL if it is none.
 
@@ -160,13 +167,13 @@ def annotated_number(word: Column) -> Column:
     spaced = F.translate(word, EXOTIC_SPACES, " " * len(EXOTIC_SPACES))
     packed = F.translate(word, " ," + EXOTIC_SPACES, "")
     cleaned = F.when(word.rlike(r"^\p{L}"), spaced).otherwise(packed)
-    return normalize_numbers(cleaned).try_cast("bigint")
+    return whole_number(normalize_numbers(cleaned))
 
 
 def normalized_number(word: Column) -> Column:
     """Text with numbers as digits, and its integer value where it is one."""
     norm = normalize_numbers(word)
-    return F.struct(norm.alias("norm"), norm.try_cast("bigint").alias("num"))
+    return F.struct(norm.alias("norm"), whole_number(norm).alias("num"))
 
 
 def capitalize(text: Column) -> Column:

@@ -54,13 +54,18 @@ def document_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(DOCUMENT_TOKEN_PATTERN), F.lit(0))
 
 
-def token_number(token: Column) -> Column:
-    """Integer value of a token, NULL if it is not a whole number."""
-    return token.try_cast("bigint")
+def is_integer(token: Column) -> Column:
+    """The token is written as a whole number."""
+    return token.rlike("^[+-]?[0-9]+$")
 
 
-def is_integer(token: Column) -> Column:
-    return token_number(token).isNotNull()
+def token_number(token: Column) -> Column:
+    """Integer value of a token, NULL if it is not a whole number of BIGINT range.
+
+    Tested before it is cast: a failing cast builds an exception, a thousand times
+    the price of the test.
+    """
+    return F.when(is_integer(token), token.try_cast("bigint"))
 
 
 def rewrite_n_equals(tokens: Column) -> Column:
@@ -80,21 +85,37 @@ def vocabulary_words(text: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 
+# up to this many words a lexicon is one literal map
+SMALL_LEXICON = 500
+
+
 def tag_token(token: Column, lexicon: Mapping[str, list[str]] | None = None) -> Column:
-    """Tag of a token: lexicon word, integer, punctuation, else unknown.
+    """Tag of a token: punctuation, lexicon word, number, else unknown.
 
-    ``lexicon`` maps a tag to its lower-case words. Each tag is one hashed set
-    test, so lexicons of many thousand words need neither a join nor a shuffle.
+    ``lexicon`` maps a tag to its lower-case words. A small one is a literal map, in
+    a large one each tag is a hashed set test; neither needs a join or a shuffle.
     """
     lexicon = DEFAULT_LEXICON if lexicon is None else lexicon
-    lowered = F.lower(token)
-    tag = F.when(token.rlike("^[0-9]+([.,][0-9]+)*$"), F.lit("CD"))
-    for mark_tag in sorted(set(PUNCTUATION_TAGS.values())):
-        marks = [m for m, t in PUNCTUATION_TAGS.items() if t == mark_tag]
-        tag = tag.when(token.isin(marks), F.lit(mark_tag))
-    for word_tag, words in lexicon.items():
-        tag = tag.when(lowered.isin(words), F.lit(word_tag))
-    return tag.otherwise(F.lit(UNKNOWN_TAG))
+    tag_of = {word: tag for tag, words in reversed(lexicon.items()) for word in words}
+    tag_of.update(PUNCTUATION_TAGS)
+    if len(tag_of) <= SMALL_LEXICON:
+        pairs = F.create_map(*[F.lit(x) for pair in tag_of.items() for x in pair])
+        known = F.try_element_at(pairs, F.lower(token))
+    else:
+        sets: dict[str, list[str]] = {}
+        for word, tag in tag_of.items():
+            sets.setdefault(tag, []).append(word)
+
+        def choose(lowered: Column) -> Column:
+            chosen = F.lit(None).cast("string")
+            for tag, words in sets.items():
+                chosen = F.when(lowered.isin(words), F.lit(tag)).otherwise(chosen)
+            return chosen
+
+        # one-element array, so that the lower-casing is done once
+        known = F.get(F.transform(F.array(F.lower(token)), choose), F.lit(0))
+    number = F.when(token.rlike("^[0-9]+([.,][0-9]+)*$"), "CD")
+    return F.coalesce(known, number, F.lit(UNKNOWN_TAG))
 
 
 def tag_tokens(tokens: Column, lexicon: Mapping[str, list[str]] | None = None) -> Column:

@@ -17,9 +17,9 @@ from trialnum.functions.numbers import join_thousands, replace_number_words
 from trialnum.functions.tokens import (
     UNKNOWN_TAG,
     document_tokens,
+    is_integer,
     rewrite_n_equals,
     tag_token,
-    token_number,
 )
 
 ColumnFunction = Callable[[Column], Column]
@@ -55,12 +55,19 @@ def with_tokens(
     return df.withColumn("tokens", rewritten).drop("_text")
 
 
-def numbers_of(tokens: Column) -> Column:
-    """Position and value of every integer token, in order."""
-    return F.filter(
-        F.transform(tokens, lambda t, i: F.struct(i.alias("idx"), token_number(t).alias("num"))),
-        lambda c: c["num"].isNotNull(),
+def number_positions(tokens: Column) -> Column:
+    """Positions of the tokens written as whole numbers, in order."""
+    at = F.transform(tokens, lambda t, i: F.when(is_integer(t), i))
+    return F.filter(at, lambda i: i.isNotNull())
+
+
+def numbers_at(tokens: Column, positions: Column) -> Column:
+    """Position and value at the given positions, without values beyond BIGINT."""
+    hits = F.transform(
+        positions,
+        lambda i: F.struct(i.alias("idx"), F.get(tokens, i).try_cast("bigint").alias("num")),
     )
+    return F.filter(hits, lambda c: c["num"].isNotNull())
 
 
 def with_features(
@@ -85,7 +92,8 @@ def with_features(
         return tagger(F.get(F.col("raw_tokens"), i))
 
     tokens = F.col("tokens")
-    df = df.withColumn("_hits", numbers_of(tokens)).withColumn("_n", F.size(tokens))
+    df = df.withColumn("_hits", numbers_at(tokens, number_positions(tokens)))
+    df = df.withColumn("_n", F.size(tokens))
     df = df.withColumn(
         "_lowered", F.when(F.size("_hits") > 0, F.transform(tokens, F.lower))
     ).withColumn("_ordered", F.sort_array(F.transform("_hits", lambda c: c["num"])))
@@ -107,8 +115,20 @@ def with_features(
             feat.other_features(num, i, n, lowered, ordered, sums).alias("other"),
         )
 
-    df = df.withColumn("candidates", F.transform("_hits", features))
-    return df.drop("_hits", "_n", "_lowered", "_ordered", "_distinct", "_sums")
+    helpers = ["_hits", "_n", "_lowered", "_ordered", "_distinct", "_sums"]
+    return fenced(df.withColumn("candidates", F.transform("_hits", features)).drop(*helpers), "candidates")
+
+
+def fenced(df: DataFrame, column: str) -> DataFrame:
+    """The same table; filters on values made from ``column`` stay above its computation.
+
+    Predicate pushdown would otherwise copy the whole feature expression into the
+    filter once per reference, level by level, until planning itself is too large.
+    A generator of one row is where such filters stop; filters on other columns
+    still reach the scan.
+    """
+    others = [c for c in df.columns if c != column]
+    return df.select(*others, F.explode_outer(F.array(column)).alias(column))
 
 
 def build_candidates(

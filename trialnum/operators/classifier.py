@@ -149,11 +149,14 @@ def prepare_vectors(
     word2vec: bool = False,
     text: str = "abstract",
 ) -> DataFrame:
-    """Vocabulary of ``docs`` with a vector per word: given, fitted or drawn from a hash."""
-    vocabulary = fit_vocabulary(docs, text=text, max_features=max_features).persist()
+    """Vocabulary of ``docs`` with a vector per word: given, fitted or drawn from a hash.
+
+    Kept in memory: at most ``max_features`` rows that every later step reads.
+    """
+    vocabulary = fit_vocabulary(docs, text=text, max_features=max_features)
     if word2vec:
         vectors = fit_word_vectors(docs, vocabulary, dim, text)
-    return vocabulary_vectors(vocabulary, dim, vectors)
+    return vocabulary_vectors(vocabulary, dim, vectors).persist()
 
 
 def _layers(model: CandidateModel) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -170,54 +173,55 @@ def _layers(model: CandidateModel) -> list[tuple[np.ndarray, np.ndarray]]:
     return layers
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
-
-
-def arrow_scorer(model: CandidateModel):
+def arrow_scorer(model: CandidateModel, slice_rows: int = 8192):
     """Arrow UDF: a ``candidates`` array to the array of its confidences.
 
     Words and tags are looked up by Arrow over the whole batch and the network is a
     few matrix products. What ships with the task is the network and the vocabulary
-    vectors, bounded by ``max_features``.
+    vectors, bounded by ``max_features``. The function names nothing of this package,
+    so workers need only NumPy and Arrow.
     """
-    layers = _layers(model)
+    layers, dim = _layers(model), model.dim
     table = model.vectors.orderBy("id").limit(MAX_FEATURES).select("token", "vec").collect()
     words = pa.array([r["token"] for r in table], pa.string())
     # last row: unknown words and tags
-    vectors = np.zeros((len(table) + 1, model.dim))
-    vectors[:-1] = np.array([r["vec"] for r in table], dtype="float64").reshape(-1, model.dim)
+    vectors = np.zeros((len(table) + 1, dim))
+    vectors[:-1] = np.array([r["vec"] for r in table], dtype="float64").reshape(-1, dim)
     tags = pa.array(TAGS, pa.string())
     tag_rows = np.vstack([np.eye(len(TAGS)), np.zeros(len(TAGS))])
 
     def rows_of(values: pa.Array, known: pa.Array) -> np.ndarray:
         return pc.fill_null(pc.index_in(values, value_set=known), len(known)).to_numpy()
 
+    def sigmoid(x: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-x))
+
     def forward(x: np.ndarray) -> np.ndarray:
         for matrix, bias in layers[:-1]:
-            x = _sigmoid(x @ matrix.T + bias)
+            x = sigmoid(x @ matrix.T + bias)
         matrix, bias = layers[-1]
         z = x @ matrix.T + bias
         # two outputs: softmax of the second, which is the sigmoid of their difference
-        return _sigmoid(z[:, 1] - z[:, 0]) if z.shape[1] == 2 else _sigmoid(z[:, 0])
+        return sigmoid(z[:, 1] - z[:, 0]) if z.shape[1] == 2 else sigmoid(z[:, 0])
+
+    def score(flat: pa.StructArray) -> np.ndarray:
+        parts = [
+            vectors[rows_of(flat.field(side).flatten(), words)].reshape(len(flat), 2 * dim)
+            for side in ("left_word", "right_word")
+        ]
+        parts += [tag_rows[rows_of(flat.field(side), tags)] for side in ("left_pos", "right_pos")]
+        parts.append(flat.field("other").flatten().to_numpy().reshape(len(flat), -1))
+        return forward(np.hstack(parts))
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def confidences(candidates: pa.Array) -> pa.Array:
         flat = candidates.flatten()
-        n = len(flat)
-        if n:
-            parts = [
-                vectors[rows_of(flat.field(side).flatten(), words)].reshape(n, 2 * model_dim)
-                for side in ("left_word", "right_word")
-            ]
-            parts += [tag_rows[rows_of(flat.field(s), tags)] for s in ("left_pos", "right_pos")]
-            parts.append(flat.field("other").flatten().to_numpy().reshape(n, -1))
-            conf = forward(np.hstack(parts))
-        else:
-            conf = np.zeros(0)
+        # in slices, so that memory does not grow with the candidates of a batch
+        slices = [score(flat.slice(at, slice_rows)) for at in range(0, len(flat), slice_rows)]
+        conf = np.concatenate(slices) if slices else np.zeros(0)
         lengths = pc.fill_null(pc.list_value_length(candidates), 0).to_numpy()
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("int32")
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(conf, pa.float64()))
 
-    model_dim = model.dim
-    return confidences
+    # so that no filter is pushed below it and the network runs once per document
+    return confidences.asNondeterministic()

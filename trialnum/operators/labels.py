@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialnum.functions.tokens import tag_token, token_number
 from trialnum.operators.candidates import ColumnFunction, build_candidates, explode_candidates
-from trialnum.functions.tokens import tag_token
 
 POSITIVE, NEGATIVE = "N", "O"
 
@@ -16,7 +16,7 @@ def token_labels(tokens: Column, gold: Column) -> Column:
     number = gold.cast("bigint")
     return F.transform(
         tokens,
-        lambda t: F.when(t.try_cast("bigint") == number, POSITIVE).otherwise(NEGATIVE),
+        lambda t: F.when(token_number(t) == number, POSITIVE).otherwise(NEGATIVE),
     )
 
 
