@@ -259,6 +259,10 @@ _ID_JOINS = " ".join(
 ENCODED = f"""WITH raw_src AS ({_table(fx.TRIAL_ABSTRACTS)}),
 {WORDS.replace("FROM src", "FROM raw_src")}, {NORMAL}, {tokens('src')}, {FEATURES}
 SELECT f.pmid, f.idx, {_IDS} FROM f {_ID_JOINS}"""
+_PAIRS = ", ".join(
+    f"CAST(coalesce(length(v_{c}.token), 0) AS DOUBLE) AS {c}_len, CAST(coalesce(v_{c}.id, 0) AS DOUBLE) AS {c}_id"
+    for c in ("ll", "l", "rr", "r")
+)
 
 _TAG_LIST = "[" + ", ".join(_text(t) for t in TAGS) + "]"
 
@@ -349,6 +353,7 @@ SELECT s.pmid, coalesce(string_agg(CASE WHEN v.id <= 2000 THEN wr.token ELSE 'un
   AS rewritten
 FROM src s LEFT JOIN wr ON s.pmid = wr.pmid LEFT JOIN vocab v ON v.token = wr.token GROUP BY s.pmid""",
     "encode_words": ENCODED,
+    "embed_words": ENCODED.replace(_IDS, _PAIRS),
     "vocab_vectors": f"""WITH {DOCUMENTS}, {WORDS}
 SELECT token, 2 AS dim, CASE WHEN length(token) % 2 = 0 THEN CAST(length(token) AS DOUBLE) END AS given,
   CASE WHEN length(token) % 2 = 0 THEN 0 ELSE 1 END AS in_range FROM vocab WHERE id <= 10000""",

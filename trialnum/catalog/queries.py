@@ -206,7 +206,7 @@ def unknown_rewrite(s: SparkSession, d: str) -> DataFrame:
 
 def encode_words(s: SparkSession, d: str) -> DataFrame:
     docs = TRIALS(s, d)
-    known = vocabulary.fit_vocabulary(docs, max_features=30)
+    known = vocabulary.fit_vocabulary(docs, max_features=30).persist()
     rows = vocabulary.encode_words(explode_candidates(build_candidates(docs)), known)
     ids = {"left_ids": ("ll_id", "l_id"), "right_ids": ("rr_id", "r_id")}
     return rows.select(
@@ -215,10 +215,23 @@ def encode_words(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def embed_words(s: SparkSession, d: str) -> DataFrame:
+    """Vectors of the four neighbours, here (length, id) of each vocabulary word."""
+    docs = TRIALS(s, d)
+    known = vocabulary.fit_vocabulary(docs, max_features=30).persist()
+    pair = F.array(F.length("token").cast("float"), F.col("id").cast("float"))
+    vectors = known.select("token", "id", pair.alias("vec"))
+    rows = vocabulary.embed_words(explode_candidates(build_candidates(docs)), vectors, 2)
+    names = {"left_vec": ("ll_len", "ll_id", "l_len", "l_id"), "right_vec": ("rr_len", "rr_id", "r_len", "r_id")}
+    return rows.select(
+        "pmid", "idx", *[F.get(a, F.lit(k)).alias(n) for a, p in names.items() for k, n in enumerate(p)]
+    )
+
+
 def vocabulary_vectors(s: SparkSession, d: str) -> DataFrame:
     """Vectors given for words of even length, drawn for all others."""
     docs = DOCUMENTS(s, d)
-    known = vocabulary.fit_vocabulary(docs)
+    known = vocabulary.fit_vocabulary(docs).persist()
     words = vocabulary.word_counts(docs).filter(F.length("token") % 2 == 0)
     given = words.select("token", F.array(F.length("token").cast("float"), F.lit(2.0).cast("float")).alias("vec"))
     rows = vocabulary.vocabulary_vectors(known, 2, given)
@@ -404,6 +417,7 @@ QUERIES: dict[str, Query] = {
     "vocab_topk_trials": vocabulary_top(TRIALS, 40),
     "unk_rewrite": unknown_rewrite,
     "encode_words": encode_words,
+    "embed_words": embed_words,
     "vocab_vectors": vocabulary_vectors,
     "tag_one_hot": tag_one_hot,
     "standoff_entities": standoff_entities,

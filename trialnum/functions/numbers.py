@@ -167,7 +167,8 @@ def annotated_number(word: Column) -> Column:
     spaced = F.translate(word, EXOTIC_SPACES, " " * len(EXOTIC_SPACES))
     packed = F.translate(word, " ," + EXOTIC_SPACES, "")
     cleaned = F.when(word.rlike(r"^\p{L}"), spaced).otherwise(packed)
-    return whole_number(normalize_numbers(cleaned))
+    # most are plain digits already, which rewriting would leave as they are
+    return F.coalesce(whole_number(cleaned), whole_number(normalize_numbers(cleaned)))
 
 
 def normalized_number(word: Column) -> Column:

@@ -133,12 +133,18 @@ def assemble_abstracts(titles: DataFrame, sections: DataFrame) -> DataFrame:
     """``TITLE: ...`` and the sections of each document as one text, records numbered from 1.
 
     Documents without sections are left out. One abstract is one row, so its
-    sections are the only group ever held in memory.
+    sections are the only group ever held in memory. Numbers are made from the ids
+    alone and joined on the key that the sections are grouped by, so the texts are
+    exchanged once.
     """
     bodies = sections.groupBy("pmid").agg(
         section_text(F.collect_list(F.struct("pos", "label", "text"))).alias("_body")
     )
-    abstracts = titles.join(bodies, "pmid").select(
-        "pmid", F.concat(F.lit("TITLE: "), F.col("title"), F.lit("\n"), F.col("_body")).alias("abstract")
+    kept = titles.select("pmid").join(sections.select("pmid").distinct(), "pmid", "left_semi")
+    numbers = number_rows(kept, "pmid", "record_no", bounds_from=titles)
+    abstract = F.concat(F.lit("TITLE: "), F.col("title"), F.lit("\n"), F.col("_body"))
+    return (
+        bodies.join(titles, "pmid")
+        .join(numbers, "pmid")
+        .select("pmid", abstract.alias("abstract"), "record_no")
     )
-    return number_rows(abstracts, "pmid", "record_no")

@@ -178,11 +178,11 @@ def arrow_scorer(model: CandidateModel, slice_rows: int = 8192):
 
     Words and tags are looked up by Arrow over the whole batch and the network is a
     few matrix products. What ships with the task is the network and the vocabulary
-    vectors, bounded by ``max_features``. The function names nothing of this package,
+    vectors, bounded by the ``max_features`` they were made with. The function names nothing of this package,
     so workers need only NumPy and Arrow.
     """
     layers, dim = _layers(model), model.dim
-    table = model.vectors.orderBy("id").limit(MAX_FEATURES).select("token", "vec").collect()
+    table = model.vectors.orderBy("id").select("token", "vec").collect()
     words = pa.array([r["token"] for r in table], pa.string())
     # last row: unknown words and tags
     vectors = np.zeros((len(table) + 1, dim))

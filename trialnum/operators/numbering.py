@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+# hash buckets; value ranges and the steps within each
+BUCKETS = 2048
+RANGES, STEPS = 32, 64
 
 
 def _number(df: DataFrame, bucket: Column, order: list[Column], out: str) -> DataFrame:
     """Numbers from 1 over (bucket, order): a window per bucket plus the sizes of all before.
 
-    The bucket sizes are at most ``BUCKETS`` rows whatever the data, so the running
-    sum over them and its broadcast are bounded.
+    The bucket sizes are at most 2048 rows whatever the data, so the running sum over
+    them and its broadcast are bounded.
     """
     rows = df.withColumn("_bucket", bucket)
     sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
@@ -29,19 +31,28 @@ def _number(df: DataFrame, bucket: Column, order: list[Column], out: str) -> Dat
     )
 
 
-def number_rows(df: DataFrame, key: str, out: str = "row_no") -> DataFrame:
+def number_rows(
+    df: DataFrame, key: str, out: str = "row_no", bounds_from: DataFrame | None = None
+) -> DataFrame:
     """Rows numbered from 1 in the order of ``key`` (a number, unique per row).
 
-    Buckets are ranges between approximate quantiles. Where these lie only decides
-    how even the buckets are, never a row's number.
+    Buckets are ranges between approximate quantiles, each cut into equal steps. The
+    quantiles may come from a table with about the same keys that is cheaper to read.
+    Where they lie only decides how even the buckets are, never a row's number.
     """
-    quantiles = [i / 64 for i in range(1, 64)]
-    bounds = sorted(set(df.approxQuantile(key, quantiles, 0.005)))
+    quantiles = [i / RANGES for i in range(RANGES + 1)]
+    keys = df if bounds_from is None else bounds_from
+    bounds = sorted(set(keys.approxQuantile(key, quantiles, 1 / (4 * RANGES))))
     if not bounds:
         return df.withColumn(out, F.lit(0).cast("bigint"))
     edges = F.array(*[F.lit(b) for b in bounds])
-    bucket = F.size(F.filter(edges, lambda b: b < F.col(key)))
-    return _number(df, bucket, [F.col(key)], out)
+    inner = F.array(*[F.lit(b) for b in bounds[1:-1]]).cast("array<double>")
+    value = F.col(key).cast("double")
+    df = df.withColumn("_range", F.size(F.filter(inner, lambda b: b < value)))
+    low, high = F.get(edges, F.col("_range")), F.get(edges, F.col("_range") + 1)
+    step = F.floor(F.try_divide(value - low, high - low) * STEPS)
+    step = F.coalesce(F.least(F.greatest(step, F.lit(0)), F.lit(STEPS - 1)), F.lit(0))
+    return _number(df, F.col("_range") * STEPS + step, [F.col(key)], out).drop("_range")
 
 
 def assign_folds(df: DataFrame, key: str = "pmid", k: int = 5, seed: int = 0) -> DataFrame:
