@@ -21,13 +21,6 @@ ANALYSIS_WORDS = [
     "assessment", "assessments", "analysis", "analysed", "analyzed", "completed",
     "ITT", "intention-to-treat", "intention",
 ]
-KEYWORDS = {
-    "years": YEAR_WORDS,
-    "patients": PATIENT_WORDS,
-    "people": PEOPLE_WORDS,
-    "enroll": ENROLL_WORDS,
-    "analysis": ANALYSIS_WORDS,
-}
 
 # Window sizes, year range, markers at the document edges.
 AROUND = 5
@@ -54,16 +47,20 @@ def window_bounds(i: Column, n: Column, size: int) -> tuple[Column, Column]:
     return F.greatest(F.lit(0), i - size), F.least(i + size, n - 1)
 
 
-def keyword_near(lowered: Column, i: Column, n: Column, words: list[str]) -> Column:
-    """A keyword stands around ``i``; the lower bound itself is left out."""
+def words_around(lowered: Column, i: Column, n: Column) -> Column:
+    """Tokens of the window around ``i``; its lower bound itself is left out."""
     low, high = window_bounds(i, n, AROUND)
-    return _flag(F.arrays_overlap(F.slice(lowered, low + 2, high - low), _words(words)))
+    return F.slice(lowered, low + 2, high - low)
 
 
-def keyword_follows(lowered: Column, i: Column, n: Column, words: list[str]) -> Column:
-    """A keyword stands after ``i``."""
+def words_ahead(lowered: Column, i: Column, n: Column) -> Column:
+    """Tokens of the window after ``i``."""
     _, high = window_bounds(i, n, AHEAD)
-    return _flag(F.arrays_overlap(F.slice(lowered, i + 2, high - i), _words(words)))
+    return F.slice(lowered, i + 2, high - i)
+
+
+def has_keyword(window: Column, words: list[str]) -> Column:
+    return _flag(F.arrays_overlap(window, _words(words)))
 
 
 def left_words(lowered: Column, i: Column) -> Column:
@@ -117,17 +114,17 @@ def pair_sums_present(ordered: Column, distinct: Column) -> Column:
 
 
 def other_features(
-    num: Column, i: Column, n: Column, lowered: Column, ordered: Column, sums: Column
+    num: Column, around: Column, ahead: Column, ordered: Column, sums: Column
 ) -> Column:
     """The ten numeric features, in ``OTHER_FEATURES`` order."""
     return F.array(
         is_biggest(num, ordered),
-        keyword_near(lowered, i, n, YEAR_WORDS),
+        has_keyword(around, YEAR_WORDS),
         looks_like_year(num),
-        keyword_follows(lowered, i, n, PATIENT_WORDS),
-        keyword_follows(lowered, i, n, PEOPLE_WORDS),
-        keyword_near(lowered, i, n, ENROLL_WORDS),
-        keyword_near(lowered, i, n, ANALYSIS_WORDS),
+        has_keyword(ahead, PATIENT_WORDS),
+        has_keyword(ahead, PEOPLE_WORDS),
+        has_keyword(around, ENROLL_WORDS),
+        has_keyword(around, ANALYSIS_WORDS),
         _flag((F.size(sums) > 0) & F.array_contains(sums, num)),
         is_repeated(num, ordered),
         rank_proportion(num, ordered),

@@ -103,6 +103,14 @@ def with_features(
     n, lowered = F.col("_n"), F.col("_lowered")
     ordered, sums = F.col("_ordered"), F.col("_sums")
 
+    def windows(c: Column) -> Column:
+        return F.struct(
+            c["idx"].alias("idx"),
+            c["num"].alias("num"),
+            feat.words_around(lowered, c["idx"], n).alias("around"),
+            feat.words_ahead(lowered, c["idx"], n).alias("ahead"),
+        )
+
     def features(c: Column) -> Column:
         i, num = c["idx"], c["num"]
         return F.struct(
@@ -112,11 +120,13 @@ def with_features(
             feat.right_words(lowered, i, n).alias("right_word"),
             F.when(i == 0, UNKNOWN_TAG).otherwise(tag_at(i - 1)).alias("left_pos"),
             F.when(i == n - 1, UNKNOWN_TAG).otherwise(tag_at(i + 1)).alias("right_pos"),
-            feat.other_features(num, i, n, lowered, ordered, sums).alias("other"),
+            feat.other_features(num, c["around"], c["ahead"], ordered, sums).alias("other"),
         )
 
     helpers = ["_hits", "_n", "_lowered", "_ordered", "_distinct", "_sums"]
-    return fenced(df.withColumn("candidates", F.transform("_hits", features)).drop(*helpers), "candidates")
+    # windows first, as each is searched for several keyword lists
+    candidates = F.transform(F.transform("_hits", windows), features)
+    return fenced(df.withColumn("candidates", candidates).drop(*helpers), "candidates")
 
 
 def fenced(df: DataFrame, column: str) -> DataFrame:

@@ -12,14 +12,20 @@ UNKNOWN_WORD, UNKNOWN_ID = "unkunk", 0
 
 
 def word_counts(df: DataFrame, key: str = "pmid", text: str = "abstract") -> DataFrame:
-    """Count and first place of every word.
+    """Count and first place of every word; ``key`` is a whole number.
 
     Words are counted in the map tasks first, so a word that makes up a large part
-    of the corpus reaches the shuffle as one row per task.
+    of the corpus reaches the shuffle as one row per task. Document and position are
+    packed into one decimal: a struct could not be updated in place, and the whole
+    corpus would be sorted to be aggregated.
     """
-    words = df.select(F.col(key).alias("doc"), F.posexplode(vocabulary_words(F.col(text))).alias("pos", "token"))
+    words = df.select(
+        F.col(key).cast("decimal(20,0)").alias("doc"),
+        F.posexplode(vocabulary_words(F.col(text))).alias("pos", "token"),
+    )
+    place = F.col("doc") * F.lit(2**31).cast("decimal(10,0)") + F.col("pos")
     return words.groupBy("token").agg(
-        F.count(F.lit(1)).alias("cnt"), F.min(F.struct("doc", "pos")).alias("first_seen")
+        F.count(F.lit(1)).alias("cnt"), F.min(place).alias("first_seen")
     )
 
 
