@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from trialnum.functions import features as feat
@@ -7,6 +8,7 @@ from trialnum.functions import tokens as tk
 from trialnum.operators.candidates import build_candidates, explode_candidates, with_features
 from trialnum.operators.labels import label_value, labelled_candidates, token_labels
 from trialnum.operators.classifier import one_hot_tags
+from trialnum.operators.vocabulary import lexicon_words
 
 README_TEXT = (
     "TITLE: No clinical benefit of high dose corticosteroid administration in patients with COVID-19. "
@@ -136,6 +138,47 @@ def test_tags_small_and_large_lexicon(spark):
     assert got == ["DT", "CD", "-LRB-", "NN", "CD", "XX"]
 
 
+def test_lexicon_table(spark):
+    table = spark.createDataFrame([("The", "DT"), ("zzz", "NN"), ("zzz", "JJ")], "token string, tag string")
+    lexicon = lexicon_words(table)
+    assert lexicon == {"DT": ["the"], "JJ": ["zzz"]}
+    df = spark.createDataFrame([(["the", "ZZZ", "patients"],)], "t array<string>")
+    assert df.select(tk.tag_tokens(F.col("t"), lexicon)).first()[0] == ["DT", "JJ", "XX"]
+    with pytest.raises(ValueError):
+        lexicon_words(table, max_words=1)
+
+
+def test_pandas_tokenizer(spark):
+    import pandas as pd
+
+    @F.pandas_udf("array<string>")
+    def words(texts: pd.Series) -> pd.Series:
+        return texts.str.split("_")
+
+    df = spark.createDataFrame([(1, "fifty_of_60")], "pmid long, abstract string")
+    rows = explode_candidates(build_candidates(df, tokenizer=words)).filter("num > 55").collect()
+    assert [(r["idx"], r["num"]) for r in rows] == [(2, 60)]
+
+    @F.pandas_udf("array<string>")
+    def tags(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda t: [f"T{i}" for i in range(len(t))])
+
+    tagged = build_candidates(df, tokenizer=words, array_tagger=tags)
+    rows = explode_candidates(tagged).orderBy("idx").collect()
+    assert [(r["num"], r["left_pos"], r["right_pos"]) for r in rows] == [(50, "XX", "T1"), (60, "T1", "XX")]
+
+
+def test_filters_stop_at_the_candidates_and_ids_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "50 of 60")], "pmid long, abstract string").write.parquet(path)
+    docs = build_candidates(spark.read.parquet(path))
+    some = docs.filter((F.size("candidates") > 0) & (F.col("candidates")[0]["num"] > 1) & (F.col("pmid") < 5))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("arrays_overlap(transform(_distinct") == 1 and len(plan) < 60_000
+    assert "PushedFilters: [IsNotNull(pmid), LessThan(pmid,5)]" in plan
+    assert some.count() == 1
+
+
 def test_one_hot_of_unknown_tag_is_zero(spark):
     df = spark.createDataFrame([("NN", "nope"), ("XX", "``")], "left_pos string, right_pos string")
     rows = one_hot_tags(df).collect()

@@ -43,7 +43,10 @@ def with_tokens(
     else:
         df = df.withColumn("_text", F.col(text))
     if tokenizer is not None:
-        df = df.withColumn("raw_tokens", tokenizer(F.col("_text")))
+        # fenced on both sides: a Python UDF can neither take the text's array expressions
+        # as its argument nor be moved into those that follow
+        df = fenced(df, "_text")
+        df = fenced(df.withColumn("raw_tokens", tokenizer(F.col("_text"))), "raw_tokens")
         return df.withColumn("tokens", rewrite_n_equals(F.col("raw_tokens"))).drop("_text")
     raw = document_tokens(F.col("_text"))
     if digits_only:
@@ -147,14 +150,21 @@ def build_candidates(
     normalize: bool = True,
     tokenizer: ColumnFunction | None = None,
     tagger: ColumnFunction | None = tag_token,
+    array_tagger: ColumnFunction | None = None,
     keep_text: bool = False,
 ) -> DataFrame:
     """One row per document with its ``candidates`` array (empty if it has no integer).
 
-    ``normalize=False`` leaves number words as they stand, as for training rows.
+    ``normalize=False`` leaves number words as they stand, as for training rows. A
+    ``tagger`` made of built-in functions tags single tokens; an ``array_tagger``
+    tags all tokens of a document at once and may, like ``tokenizer``, be a UDF.
     """
-    df = with_tokens(df, text, normalize, tokenizer, digits_only=True)
-    df = with_features(df, tagger).drop("raw_tokens", "tokens")
+    df = with_tokens(df, text, normalize, tokenizer, digits_only=array_tagger is None)
+    if array_tagger is not None:
+        df = fenced(df, "raw_tokens")
+        df = fenced(df.withColumn("_tags", array_tagger(F.col("raw_tokens"))), "_tags")
+    df = with_features(df, tagger, tags="_tags" if array_tagger is not None else None)
+    df = df.drop("raw_tokens", "tokens", "_tags")
     return df if keep_text else df.drop(text)
 
 

@@ -35,10 +35,14 @@ def labelled_candidates(
     normalize: bool = False,
     tokenizer: ColumnFunction | None = None,
     tagger: ColumnFunction | None = tag_token,
+    array_tagger: ColumnFunction | None = None,
 ) -> DataFrame:
     """One row per candidate with features and ``label``.
 
     ``normalize=False`` trains on number words as written.
     """
-    rows = explode_candidates(build_candidates(df, normalize=normalize, tokenizer=tokenizer, tagger=tagger))
+    docs = build_candidates(
+        df, normalize=normalize, tokenizer=tokenizer, tagger=tagger, array_tagger=array_tagger
+    )
+    rows = explode_candidates(docs)
     return rows.withColumn("label", candidate_label(F.col("num"), F.col(gold)))

@@ -18,13 +18,19 @@ def extract(
     report: float = REPORT_THRESHOLD,
     tokenizer: ColumnFunction | None = None,
     tagger: ColumnFunction | None = tag_token,
+    array_tagger: ColumnFunction | None = None,
 ) -> DataFrame:
     """Best number of every document, one output row per input row.
 
     One narrow stage from scan to result, whatever the size of the corpus: the text
     is dropped as soon as its candidates are known, and nothing is exchanged.
     """
-    docs = build_candidates(documents.select("pmid", "abstract"), tokenizer=tokenizer, tagger=tagger)
+    docs = build_candidates(
+        documents.select("pmid", "abstract"),
+        tokenizer=tokenizer,
+        tagger=tagger,
+        array_tagger=array_tagger,
+    )
     docs = docs.withColumn("_conf", model.confidences(F.col("candidates")))
     scored = F.transform(
         "candidates",

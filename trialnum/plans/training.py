@@ -19,10 +19,13 @@ def train(
     vectors: DataFrame | None = None,
     word2vec: bool = False,
     pretrained: CandidateModel | None = None,
+    text_options: dict | None = None,
     **options,
 ) -> CandidateModel:
     """Fits a model on ``(pmid, abstract, tt_sample_size)``.
 
+    ``text_options`` are a tokenizer or tagger, the same as later given to ``extract``.
+
     ``pretrained`` starts from another model's weights and vectors. The candidate
     rows are kept for the iterations; they are small, the texts are read once.
     """
@@ -31,7 +34,8 @@ def train(
         options["initial_weights"] = pretrained.weights
     else:
         vectors_table = prepare_vectors(documents, dim, vectors=vectors, word2vec=word2vec)
-    rows = labelled_candidates(documents, normalize=normalize).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = labelled_candidates(documents, normalize=normalize, **(text_options or {}))
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return fit_classifier(rows, vectors_table, dim, **options)
     finally:
@@ -58,6 +62,7 @@ def cross_validate(
     dim: int = 16,
     pretrained: CandidateModel | None = None,
     vocabulary_per_fold: bool = False,
+    text_options: dict | None = None,
     **options,
 ) -> DataFrame:
     """``(pmid, pred_ss, conf, fold_id)``, every document scored by the model of the other folds.
@@ -66,7 +71,9 @@ def cross_validate(
     texts, test folds too, unless ``vocabulary_per_fold``.
     """
     folded = assign_folds(documents, k=k, seed=seed)
-    rows = labelled_candidates(folded, normalize=normalize).persist(StorageLevel.MEMORY_AND_DISK)
+    text_options = text_options or {}
+    rows = labelled_candidates(folded, normalize=normalize, **text_options)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     if pretrained is not None:
         dim, options["initial_weights"] = pretrained.dim, pretrained.weights
     shared = pretrained.vectors if pretrained is not None else None
@@ -81,7 +88,7 @@ def cross_validate(
             rows.filter(F.col("fold_id") != fold), vectors, dim, seed=seed, **options
         )
         test = folded.filter(F.col("fold_id") == fold)
-        parts.append(extract(test, model).withColumn("fold_id", F.lit(fold)))
+        parts.append(extract(test, model, **text_options).withColumn("fold_id", F.lit(fold)))
     rows.unpersist()
     result = parts[0]
     for part in parts[1:]:
