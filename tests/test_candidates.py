@@ -10,7 +10,7 @@ from trialnum.operators.labels import label_value, labelled_candidates, token_la
 from trialnum.operators.classifier import one_hot_tags
 from trialnum.operators.vocabulary import lexicon_words
 
-README_TEXT = (
+EXAMPLE_TEXT = (
     "TITLE: No clinical benefit of high dose corticosteroid administration in patients with COVID-19. "
     "The study included 50 patients who were randomly assigned. Dexamethasone was administered at a dose "
     "of 20mg/day from day 1-5 and then at 10mg/day from day 6-10. (P=0.500) 28-day"
@@ -46,8 +46,8 @@ def test_integers(spark):
     assert got == [5, 5, -5, None, None, None, 2**63 - 1, None, None, None]
 
 
-def test_readme_example_has_its_number(spark):
-    df = spark.createDataFrame([(33607104, README_TEXT)], "pmid long, abstract string")
+def test_example_abstract_has_its_number(spark):
+    df = spark.createDataFrame([(33607104, EXAMPLE_TEXT)], "pmid long, abstract string")
     nums = [r["num"] for r in explode_candidates(build_candidates(df)).collect()]
     assert 50 in nums and 19 not in nums and nums == [50, 20, 1, 5, 10, 6, 10, 28]
 

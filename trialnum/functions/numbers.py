@@ -43,8 +43,6 @@ NUMBER_WORD_PATTERN = (
 _BETWEEN = rf"(?:[^{_WORD_CHARS}.;']++|{_START}and{_END})++"
 NUMBER_GROUP_PATTERN = f"{NUMBER_WORD_PATTERN}(?:{_BETWEEN}{NUMBER_WORD_PATTERN})*+"
 
-_POWERS = [10**e for e in range(17)]
-
 
 def join_thousands(text: Column) -> Column:
     """``1,234`` and ``1 234`` become ``1234``, one pass, non-digits needed on both sides."""
@@ -71,29 +69,68 @@ def number_groups(text: Column) -> Column:
 def group_value(group: Column) -> Column:
     """Decimal digits (as text) of one run of number words.
 
-    Read from right to left, every plain word counts times the scale words open
-    at that point; a larger scale word closes smaller ones. All scales are powers
-    of ten, so a run is a list of (value, exponent) terms. Terms that surely fit
-    are summed as BIGINT, any others are added digit by digit, hence exact at
+    Read from right to left, every plain word counts times the scale words open at
+    that point; a larger scale word closes smaller ones. All scales are powers of
+    ten, so a run is a sum of (value, exponent) terms. Runs that surely fit are
+    summed as BIGINT on the way, others are added digit by digit, hence exact at
     every length.
     """
     words = F.regexp_extract_all(F.lower(group), F.lit(NUMBER_WORD_PATTERN), F.lit(0))
-    exponent_of = F.create_map(*[F.lit(x) for w, e in SCALE_EXPONENTS.items() for x in (w, e)])
+
+    def value(words: Column) -> Column:
+        exponents = F.aggregate(words, F.lit(0), lambda s, w: s + F.coalesce(_scale(w), F.lit(0)))
+        # 90 * 100,000 * 10^12 stays below 2^63
+        fits = (exponents <= 12) & (F.size(words) <= 100_000)
+        return F.when(fits, _small_value(words)).otherwise(_any_value(words))
+
+    # one-element array, so that the words are found once
+    return F.get(F.transform(F.array(words), value), F.lit(0))
+
+
+def _scale(word: Column) -> Column:
+    """Exponent of a scale word, NULL for plain number words."""
+    pairs = [F.lit(x) for w, e in SCALE_EXPONENTS.items() for x in (w, e)]
+    return F.try_element_at(F.create_map(*pairs), word)
+
+
+def _opened(scales: Column, scale: Column) -> Column:
+    """Open scales after a further one: smaller ones are closed."""
+    return F.concat(F.filter(scales, lambda e: e >= scale), F.array(scale))
+
+
+def _exponent(scales: Column) -> Column:
+    return F.aggregate(scales, F.lit(0), lambda a, b: a + b)
+
+
+def _small_value(words: Column) -> Column:
+    powers = F.array(*[F.lit(10**e) for e in range(13)]).cast("array<bigint>")
+    start = F.struct(
+        F.array().cast("array<int>").alias("open"), F.lit(0).cast("bigint").alias("sum")
+    )
+
+    def step(acc: Column, word: Column) -> Column:
+        scale = _scale(word)
+        added = number_word_value(word) * F.get(powers, _exponent(acc["open"]))
+        return F.when(
+            scale.isNotNull(),
+            F.struct(_opened(acc["open"], scale).alias("open"), acc["sum"].alias("sum")),
+        ).otherwise(F.struct(acc["open"].alias("open"), (acc["sum"] + added).alias("sum")))
+
+    return F.aggregate(F.reverse(words), start, step, lambda acc: acc["sum"].cast("string"))
+
+
+def _any_value(words: Column) -> Column:
     start = F.struct(
         F.array().cast("array<int>").alias("open"),
         F.array().cast("array<struct<v:bigint,e:int>>").alias("terms"),
     )
 
     def step(acc: Column, word: Column) -> Column:
-        scale = F.try_element_at(exponent_of, word)
-        exponent = F.aggregate(acc["open"], F.lit(0), lambda a, b: a + b)
-        term = F.struct(number_word_value(word).alias("v"), exponent.alias("e"))
+        scale = _scale(word)
+        term = F.struct(number_word_value(word).alias("v"), _exponent(acc["open"]).alias("e"))
         return F.when(
             scale.isNotNull(),
-            F.struct(
-                F.concat(F.filter(acc["open"], lambda e: e >= scale), F.array(scale)).alias("open"),
-                acc["terms"].alias("terms"),
-            ),
+            F.struct(_opened(acc["open"], scale).alias("open"), acc["terms"].alias("terms")),
         ).otherwise(
             F.struct(
                 acc["open"].alias("open"),
@@ -101,20 +138,11 @@ def group_value(group: Column) -> Column:
             )
         )
 
-    return F.aggregate(F.reverse(words), start, step, lambda acc: _sum_terms(acc["terms"]))
+    return F.aggregate(F.reverse(words), start, step, lambda acc: _add_by_digit(acc["terms"]))
 
 
-def _sum_terms(terms: Column) -> Column:
-    powers = F.array(*[F.lit(p) for p in _POWERS]).cast("array<bigint>")
+def _add_by_digit(terms: Column) -> Column:
     top = F.coalesce(F.array_max(F.transform(terms, lambda t: t["e"])), F.lit(0))
-    small = F.aggregate(
-        terms, F.lit(0).cast("bigint"), lambda s, t: s + t["v"] * F.get(powers, t["e"])
-    ).cast("string")
-    # nine terms of at most 90 * 10^16 stay below 2^63
-    return F.when((top <= 16) & (F.size(terms) <= 9), small).otherwise(_add_by_digit(terms, top))
-
-
-def _add_by_digit(terms: Column, top: Column) -> Column:
     start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.lit("").alias("digits"))
 
     def step(acc: Column, place: Column) -> Column:
