@@ -11,16 +11,31 @@ from pyspark.sql import functions as F
 from trialnum.llm.exact_dedup import drop_duplicates
 from trialnum.llm.mixing import mix_sources
 from trialnum.llm.packing import pack
+from trialnum.llm.quality import quality_scores
 from trialnum.llm.shared import shared_dir
+from trialnum.llm.simhash import drop_near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject. Rows are told by id and hash of the text."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    good = quality_scores(docs, labels, "quality", threshold=0.7).where("predicted = 1").select("id", "hash").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash"))
+    return docs.join(good, same, "left_semi").select(*COLUMNS)
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     return drop_duplicates(docs, keep="largest").select(*COLUMNS)
 
 
+def near_deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of SimHash fingerprints connect, the one with the smallest doc_id stays."""
+    return drop_near_duplicates(docs, shingle=3, budget=3).select(*COLUMNS)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
     mixed = mix_sources(docs, carry=tuple(COLUMNS)).where("copies > 0")
@@ -32,7 +47,9 @@ def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
-STAGES = [("exact dedup", deduplicate), ("mixing", mix), ("packing", pack_documents)]
+STAGES = [
+    ("quality", keep_good), ("exact dedup", deduplicate), ("near dedup", near_deduplicate), ("mixing", mix), ("packing", pack_documents),
+]
 ORACLE_SQL = None  # trained scores, fingerprints and tokens: tested against a brute-force version instead
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from trialnum.llm.exact_dedup import duplicate_classes
 from trialnum.llm.mixing import mix_sources
 from trialnum.llm.packing import pack
+from trialnum.llm.quality import quality_scores
+from trialnum.llm.simhash import near_duplicate_classes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +71,16 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
   sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 """
+
+
+@query
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    scored = quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"), "quality", threshold=0.7)
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+@query
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    classes = near_duplicate_classes(table(spark, folder, "documents"), shingle=3, budget=3)
+    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return classes.select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), "component_id")
