@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialnum.llm.exact_dedup import duplicate_classes
+from trialnum.llm.language import identify_languages
 from trialnum.llm.mixing import mix_sources
 from trialnum.llm.packing import pack
 from trialnum.llm.quality import quality_scores
 from trialnum.llm.simhash import near_duplicate_classes
+from trialnum.llm.toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +86,15 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     classes = near_duplicate_classes(table(spark, folder, "documents"), shingle=3, budget=3)
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return classes.select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), "component_id")
+
+
+@query
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    found = identify_languages(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score")
+
+
+@query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"), "toxic", threshold=0.3)
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted", "evidence")
