@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialnum.llm.exact_dedup import duplicate_classes
+from trialnum.llm.html_text import main_texts
 from trialnum.llm.language import identify_languages
 from trialnum.llm.mixing import mix_sources
 from trialnum.llm.packing import pack
@@ -98,3 +99,9 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"), "toxic", threshold=0.3)
     return scored.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted", "evidence")
+
+
+@query
+def op9_html(spark: SparkSession, folder: str) -> DataFrame:
+    found = main_texts(table(spark, folder, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", "n_chars")
