@@ -33,8 +33,10 @@ def test_flows_match_ranges_like_one_sweep():
         assert len(set(taken)) == len(taken)
 
 
+@pytest.mark.parametrize("local", [0, 10**6])
 @pytest.mark.parametrize("lens", [[1] * 300, [64] * 40 + [31] * 9, [40] * 50 + [24] * 50, list(range(1, 64)) * 3, []])
-def test_best_fit_fills_within_capacity(spark, lens):
+def test_best_fit_fills_within_capacity(spark, monkeypatch, lens, local):
+    monkeypatch.setattr(packing, "LOCAL", local)
     items = spark.createDataFrame(list(enumerate(lens)), "item long, len long").repartition(5)
     items = items.where("len < 64")
     rows = packing.best_fit(items, 64).collect()

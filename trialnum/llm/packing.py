@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trialnum.llm.shared import materialize, text_bytes
 
+LOCAL = 50_000  # items and gaps left that one task finishes, in the same rounds
 CACHE = 400_000  # encodings of distinct words that a Python worker keeps
 MARK = "<|startoftext|>"  # a special token of the vocabulary, set between words that are encoded at once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -227,6 +228,37 @@ def bundles(small: DataFrame, most: int) -> DataFrame:
     return small.select("item", "len").mapInArrow(fill, "item long, len long, bundle long")
 
 
+def finish(capacity: int, opened: int, turn: int):
+    """The rounds of `best_fit` over what is left in one task, of LOCAL rows at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches), schema=pa.schema([(c, pa.int64()) for c in ("item", "len", "seq", "gap")]))
+        item, length, seq, gap = (t.column(i).to_numpy() for i in range(4))
+        is_item = ~np.isnan(item.astype(float))
+        item, length = item[is_item].astype(np.int64), length[is_item].astype(np.int64)
+        seq, gap = seq[~is_item].astype(np.int64), gap[~is_item].astype(np.int64)
+        bins, at, matched = opened, turn, len(gap)
+        while len(item):
+            if not matched:
+                more = -(-int(length.sum()) // capacity)
+                seq = np.concatenate([seq, -1 - np.arange(bins, bins + more)])
+                gap = np.concatenate([gap, np.full(more, capacity)])
+                bins += more
+            size, uid = np.concatenate([2 * length, 2 * gap + 1]), np.concatenate([item, seq])
+            order = np.lexsort((uid, size))
+            i, g = sweep(size[order], order >= len(item))
+            i, g = order[i], order[g] - len(item)
+            matched, at = len(i), at + 1
+            if matched:
+                yield _arrow(item=item[i], seq=seq[g], round=pa.array(np.full(matched, at), pa.int32()))
+            gap[g] -= length[i]
+            item, length = np.delete(item, i), np.delete(length, i)
+            room = gap >= (length.min() if len(length) else 1)
+            seq, gap = seq[room], gap[room]
+
+    return run
+
+
 def best_fit(items: DataFrame, capacity: int) -> DataFrame:
     """Sequences for items (item, len) with 0 < len < capacity: (item, len, seq, round).
 
@@ -234,7 +266,8 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
     sweeps (`sweep` within a range, `flows` between ranges): every gap gets one item, a conflict
     over a gap being settled by rank. Gaps shrink and the next round begins; whenever
     nothing fits any more, as many empty sequences are opened as the items left fill. Items
-    of up to a 64th of the capacity are bundled to a 32nd first, which bounds the rounds.
+    of up to a 64th of the capacity are bundled to a 32nd first, which bounds the rounds. The last
+    LOCAL rows, a fixed number at any size of the input, go through their rounds in one task.
     """
     spark: SparkSession = items.sparkSession
     bundled = materialize(bundles(items.where(F.col("len") <= capacity // 64), capacity // 32))
@@ -245,6 +278,12 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
     gaps = spark.range(0).select(F.col("id").alias("seq"), F.col("id").alias("gap"))
     opened, matched, done, turn = 0, 0, [], 0
     while n:
+        if n <= LOCAL and (left := gaps.limit(LOCAL + 1).count()) + n <= LOCAL:
+            none = F.lit(None).cast("long")
+            last = todo.select("item", "len", none.alias("seq"), none.alias("gap"))
+            last = last.unionByName(gaps.select(none.alias("item"), none.alias("len"), "seq", "gap")) if left else last
+            done.append(materialize(last.coalesce(1).mapInArrow(finish(capacity, opened, turn), "item long, seq long, round int")))
+            break
         if not matched:
             more = -(-total // capacity)
             gaps = gaps.unionByName(spark.range(opened, opened + more).select((-1 - F.col("id")).alias("seq"), F.lit(capacity).cast("long").alias("gap")))
