@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 from trialnum.llm.shared import materialize, text_bytes
 
 LOCAL = 50_000  # items and gaps left that one task finishes, in the same rounds
-CACHE = 400_000  # encodings of distinct words that a Python worker keeps
-MARK = "<|startoftext|>"  # a special token of the vocabulary, set between words that are encoded at once
+CACHE = 800_000  # encodings of distinct words that a Python worker keeps
+# a run of Latin-1 letters and perhaps one of signs: one or two parts for the vocabulary's splitter
+PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+([.,;:!?#$%&*|]+)?")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SWEPT = "part int, item long, len long, seq long, gap long, rank long"
 _encoders: dict[str, WordEncoder] = {}
@@ -26,7 +28,8 @@ class WordEncoder:
 
     The vocabulary's normaliser and splitter never look across white space, so a text's ids are
     those of its words (split at the six ASCII spaces) in a row. Encodings of words are kept, up
-    to a bound; unseen words of a batch are encoded in one call, parted by a special token.
+    to a bound. Unseen plain words of a batch are encoded in one call and told apart by the ids
+    that end a word; others one by one.
     """
 
     def __init__(self, path: str):
@@ -34,22 +37,27 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id(MARK)
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, new: list[bytes]) -> None:
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
-        plain = [w for w in new if b"<|" not in w]
-        for w in new:
-            if b"<|" in w:
-                self.known[w] = self.ids(w.decode())
-        for i in range(0, len(plain), 500):
-            some = plain[i : i + 500]
-            ids = np.frombuffer(self.ids(MARK.join(w.decode() for w in some)), "<u4")
-            cut = np.flatnonzero(ids == self.mark)
-            for w, a, b in zip(some, [0, *(cut + 1)], [*cut, len(ids)], strict=True):
-                self.known[w] = ids[a:b].tobytes()
+        parts = list(map(PLAIN.fullmatch, new))
+        for w in (w for w, m in zip(new, parts, strict=True) if not m):
+            self.known[w] = self.ids(w.decode())
+        plain = [(w, 2 if m[1] else 1) for w, m in zip(new, parts, strict=True) if m]
+        for i in range(0, len(plain), 2000):
+            some = plain[i : i + 2000]
+            text = b" ".join(w for w, _ in some).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            cut = ends[np.cumsum([n for _, n in some]) - 1].tolist()
+            raw = ids.tobytes()
+            for (w, _), a, b in zip(some, [0, *cut], cut, strict=False):
+                self.known[w] = raw[4 * a : 4 * b]
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -57,14 +65,14 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for i in range(0, len(texts), 64):
             split = [text_bytes(t).split() for t in texts[i : i + 64]]
-            new = set().union(*split).difference(self.known)
+            found = [list(map(self.known.get, ws)) for ws in split]
+            new = {w for ws, ids in zip(split, found, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None}
             if new:
                 self.learn(list(new))
-                new = set().union(*split).difference(self.known)  # those that a full cache let go
-                if new:
-                    self.learn(list(new))
-            for ws in split:
-                yield b"".join(map(self.known.__getitem__, ws))
+            for ws, ids in zip(split, found, strict=True):
+                if None in ids:
+                    ids = [self.known[w] if x is None else x for w, x in zip(ws, ids, strict=True)]
+                yield b"".join(ids)
 
 
 def encoder(path: str) -> WordEncoder:
