@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialnum.llm.brown import score_texts
 from trialnum.llm.exact_dedup import duplicate_classes
 from trialnum.llm.html_text import main_texts
 from trialnum.llm.language import identify_languages
@@ -105,3 +106,9 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op9_html(spark: SparkSession, folder: str) -> DataFrame:
     found = main_texts(table(spark, folder, "pages"))
     return found.select(F.col("id").alias("page_id"), "url", "text", "n_chars")
+
+
+@query
+def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score_texts(table(spark, folder, "documents"))
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
