@@ -15,6 +15,7 @@ from trialnum.llm.language import identify_languages
 from trialnum.llm.mixing import mix_sources
 from trialnum.llm.packing import pack
 from trialnum.llm.quality import quality_scores
+from trialnum.llm.search import top_k
 from trialnum.llm.simhash import near_duplicate_classes
 from trialnum.llm.toxicity import toxicity_scores
 
@@ -112,3 +113,11 @@ def op9_html(spark: SparkSession, folder: str) -> DataFrame:
 def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     scored = score_texts(table(spark, folder, "documents"))
     return scored.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+@query
+def op3_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose doc_id is divisible by 100, as queries against all documents."""
+    docs = table(spark, folder, "documents")
+    found = top_k(docs, docs.where("doc_id % 100 = 0"), k=10)
+    return found.select("query_id", "rank", F.col("id").alias("doc_id"), "score")
