@@ -60,3 +60,25 @@ def test_articles(spark, tmp_path):
     got = standoff.read_articles(spark, str(path)).orderBy("record_no").collect()
     assert [(r["record_no"], r["pmid"]) for r in got] == [(1, 4), (2, 9)]
     assert got[1]["abstract"] == "TITLE: T 9\nAIM: a < b\nc\n"
+
+
+def test_articles_keep_text_in_and_after_markup(spark, tmp_path):
+    path = tmp_path / "b.xml"
+    path.write_text(
+        '<Set><PubmedArticle><MedlineCitation><PMID Version="1">7</PMID><Article><ArticleTitle>On <i>n</i>-back &amp; H<sub>2</sub>O</ArticleTitle>'
+        '<Abstract><AbstractText Label="AIM">We gave H<sub>2</sub>O to <i>n</i>=50 patients; P&lt;0.05.</AbstractText><AbstractText Label="NONE"/>'
+        "<AbstractText>x <b>y</b>\nz</AbstractText></Abstract></Article></MedlineCitation></PubmedArticle>"
+        '<PubmedArticle><MedlineCitation><PMID Version="1">8</PMID><Article><Abstract><AbstractText>Only.</AbstractText></Abstract></Article>'
+        "</MedlineCitation></PubmedArticle></Set>"
+    )
+    got = {r["pmid"]: r["abstract"] for r in standoff.read_articles(spark, str(path)).collect()}
+    assert got[7] == "TITLE: On n-back & H2O\nAIM: We gave H2O to n=50 patients; P<0.05.\nNONE: \nx y\nz\n"
+    assert got[8] == "TITLE: \nOnly.\n"
+
+
+def test_empty_annotation_file_is_known_from_the_documents(spark, tmp_path):
+    (tmp_path / "1-100.ann").write_text("T1\tTotal_sample_size 3 5\tfifty\n")
+    (tmp_path / "2-200.ann").write_text("")
+    documents = spark.createDataFrame([(100,), (200,)], "pmid long")
+    tables = annotation_tables(spark, str(tmp_path), documents)
+    assert {r["pmid"]: r["tt_sample_size"] for r in tables["gold"].collect()} == {"100": 50, "200": None}

@@ -29,13 +29,18 @@ SELECT pmid,
   ' patients were enrolled between 2019 and 2021. ', {words},
   ' subjects completed the analysis (n=', CAST(b AS VARCHAR(20)), ') and ',
   CAST(c AS VARCHAR(20)),
-  ' adults aged 18 to 65 years were screened; P=0.036, dose 20 mg.') AS abstract,
+  ' adults aged 18 to 65 years were screened; P=0.036, dose 20 mg.', {tail}) AS abstract,
  CASE WHEN pmid % 7 = 0 THEN NULL ELSE a END AS tt_sample_size,
  pmid % 5 AS fold_id
 FROM ({trials}) t
 """
-TRIAL_ABSTRACTS = _ABSTRACTS.replace("{words}", WORDS).replace("{trials}", TRIALS)
-NORMAL_ABSTRACTS = _ABSTRACTS.replace("{words}", DIGITS).replace("{trials}", TRIALS)
+# further numbers, among them one beyond BIGINT, parted ones after n=, and some at the very end
+TAIL = """CASE pmid % 12 WHEN 1 THEN ' Register 1234567890123456789012345 (n=1,234), n=50.5, N=7,5'
+  WHEN 2 THEN ' 8' WHEN 3 THEN ' 40 patients 40 years n=40' WHEN 4 THEN ' -3 +3 1234567890123456789012345'
+  ELSE '' END"""
+NORMAL_TAIL = TAIL.replace("1,234", "1234")
+TRIAL_ABSTRACTS = _ABSTRACTS.replace("{words}", WORDS).replace("{tail}", TAIL).replace("{trials}", TRIALS)
+NORMAL_ABSTRACTS = _ABSTRACTS.replace("{words}", DIGITS).replace("{tail}", NORMAL_TAIL).replace("{trials}", TRIALS)
 
 # exact, within ten per cent, far off, another number, none, row missing, no gold
 PREDICTIONS = """
@@ -77,12 +82,12 @@ SELECT pmid, 5, concat('A1', chr(9), 'Checked T1') FROM ({trials}) t WHERE pmid
 """.replace("{trials}", TRIALS)
 
 TITLES = """
-SELECT pmid, concat('Trial ', CAST(pmid AS VARCHAR(20))) AS title FROM ({trials}) t
+SELECT pmid, CASE WHEN pmid % 19 <> 0 THEN concat('Trial ', CAST(pmid AS VARCHAR(20))) END AS title FROM ({trials}) t
 """.replace("{trials}", TRIALS)
 
-# up to three sections, some without label; none at all for every thirteenth document
+# up to three sections, some without label or text; none at all for every thirteenth document
 SECTIONS = """
-SELECT pmid, 2 AS pos, 'RESULTS' AS label, concat(CAST(a AS VARCHAR(20)), ' were enrolled.') AS text
+SELECT pmid, 2 AS pos, 'RESULTS' AS label, CASE WHEN pmid % 17 <> 1 THEN concat(CAST(a AS VARCHAR(20)), ' were enrolled.') END AS text
 FROM ({trials}) t WHERE pmid % 13 <> 0
 UNION ALL
 SELECT pmid, 1, CASE WHEN pmid % 4 = 0 THEN NULL ELSE 'AIMS' END, 'To study care.'

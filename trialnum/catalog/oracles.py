@@ -38,7 +38,7 @@ JOINED = (
     + r",]([0-9]{3}[^\p{Nd}])', '\1\2', 'g') AS t FROM src)"
 )
 NUMBER_TOKEN = r"[.,;'']|[A-Za-z0-9\x{130}\x{131}\x{17F}\x{212A}]+"
-TOKEN = r"[nN]=[0-9]+|\p{L}+(?:-[0-9]+)+|[0-9]+(?:[.,][0-9]+)*|\p{L}+|[^\s]"
+TOKEN = r"[nN]=[0-9]+(?:[.,][0-9]+)*|\p{L}+(?:-[0-9]+)+|[0-9]+(?:[.,][0-9]+)*|\p{L}+|[^\s]"
 
 _WORD_ROWS = ", ".join(
     f"('{w}', {v}, {SCALE_EXPONENTS.get(w, 'NULL')})" for w, v in NUMBER_WORDS.items()
@@ -80,7 +80,7 @@ normal AS (SELECT sp.pmid, coalesce(body, '') || gaps[-1] AS t FROM sp LEFT JOIN
 """
 
 # tokens as rows, n= rewritten, integers cast; over a text column
-INTEGER = "CASE WHEN regexp_full_match(tok, '[+-]?[0-9]+') THEN TRY_CAST(tok AS BIGINT) END"
+INTEGER = "CASE WHEN regexp_full_match(tok, '[+-]?[0-9]+') THEN TRY_CAST(tok AS HUGEINT) END"
 
 
 def tokens(source: str, text: str = "abstract", more: str = "") -> str:
@@ -138,7 +138,7 @@ f AS (SELECT win.*,
 
 
 def features(source: str, columns: str) -> str:
-    return f"WITH {source}, {tokens('src')}, {FEATURES} SELECT pmid, idx, num, {columns} FROM f"
+    return f"WITH {source}, {tokens('src')}, {FEATURES} SELECT pmid, idx, CAST(num AS VARCHAR) AS num, {columns} FROM f"
 
 
 def _doubles(names: list[str]) -> str:
@@ -164,7 +164,7 @@ BEST = f"""best AS (SELECT pmid, idx, num, {CONF} AS conf FROM num WHERE num IS
 
 def best_number(source: str, report: float = 0.2) -> str:
     return f"""WITH {source}, {tokens('src')}, {BEST}
-SELECT s.pmid, CASE WHEN conf >= 0.25 AND conf >= {report} THEN num END AS pred_ss,
+SELECT s.pmid, CASE WHEN conf >= 0.25 AND conf >= {report} THEN CAST(num AS VARCHAR) END AS pred_ss,
   CASE WHEN conf >= 0.25 THEN conf END AS conf
 FROM src s LEFT JOIN best b ON s.pmid = b.pmid"""
 
@@ -174,7 +174,7 @@ LABEL = "CASE WHEN num = tt_sample_size THEN 1.0 ELSE 0.0 END"
 
 def labels(source: str) -> str:
     return f"""WITH {source}, {tokens('src', more='tt_sample_size,')}
-SELECT pmid, idx, num, CAST({LABEL} AS DOUBLE) AS label FROM num WHERE num IS NOT NULL"""
+SELECT pmid, idx, CAST(num AS VARCHAR) AS num, CAST({LABEL} AS DOUBLE) AS label FROM num WHERE num IS NOT NULL"""
 
 
 EXACT = "coalesce(tt_sample_size = pred_ss, false) OR (tt_sample_size IS NULL AND pred_ss IS NULL)"
@@ -304,9 +304,9 @@ ORACLES: dict[str, str] = {
     "n_equals": token_text(NORMAL, "tok"),
     "token_tags": f"""WITH {NORMAL}, {tokens('src')}
 SELECT pmid, string_agg({_tag('raw')}, ' ' ORDER BY idx) AS tags FROM tok GROUP BY pmid""",
-    "candidates": f"WITH {NORMAL}, {tokens('src')} SELECT pmid, idx, num FROM num WHERE num IS NOT NULL",
+    "candidates": f"WITH {NORMAL}, {tokens('src')} SELECT pmid, idx, CAST(num AS VARCHAR) AS num FROM num WHERE num IS NOT NULL",
     "candidates_documents": f"""WITH {DOCUMENTS}, {JOINED}, {RUNS}, {REBUILT}, {tokens('normal', 't')}
-SELECT pmid, idx, num FROM num WHERE num IS NOT NULL""",
+SELECT pmid, idx, CAST(num AS VARCHAR) AS num FROM num WHERE num IS NOT NULL""",
     "neighbour_words": features(NORMAL, "ll, l, rr, r"),
     "pos_tags": features(NORMAL, "left_pos, right_pos"),
     "keyword_windows": features(
@@ -317,17 +317,17 @@ SELECT pmid, idx, num FROM num WHERE num IS NOT NULL""",
     "rank_prop": features(NORMAL, "rank_prop"),
     "features": features(NORMAL, "ll, l, rr, r, left_pos, right_pos, " + _doubles(feat.OTHER_FEATURES)),
     "features_documents": f"""WITH {DOCUMENTS}, {JOINED}, {RUNS}, {REBUILT}, {tokens('normal', 't')}, {FEATURES}
-SELECT pmid, idx, num, ll, l, rr, r, {_doubles(feat.OTHER_FEATURES)} FROM f""",
+SELECT pmid, idx, CAST(num AS VARCHAR) AS num, ll, l, rr, r, {_doubles(feat.OTHER_FEATURES)} FROM f""",
     "labels": labels(NORMAL),
     "training_rows": labels(TRIALS),
     "token_labels": f"""WITH {TRIALS}, {tokens('src', more='tt_sample_size,')}
 SELECT pmid, string_agg(CASE WHEN num = tt_sample_size THEN 'N' ELSE 'O' END, '' ORDER BY idx) AS marks
 FROM num GROUP BY pmid""",
-    "top_candidate": f"WITH {NORMAL}, {tokens('src')}, {BEST} SELECT pmid, idx, num, conf FROM best WHERE conf >= 0.25",
+    "top_candidate": f"WITH {NORMAL}, {tokens('src')}, {BEST} SELECT pmid, idx, CAST(num AS VARCHAR) AS num, conf FROM best WHERE conf >= 0.25",
     "extract_all_docs": best_number(NORMAL),
     "extract_all_docs_joined": best_number(NORMAL),
     "extract_documents": f"""WITH {DOCUMENTS}, {JOINED}, {RUNS}, {REBUILT}, {tokens('normal', 't')}, {BEST}
-SELECT s.pmid, CASE WHEN conf >= 0.25 THEN num END AS pred_ss, CASE WHEN conf >= 0.25 THEN conf END AS conf
+SELECT s.pmid, CASE WHEN conf >= 0.25 THEN CAST(num AS VARCHAR) END AS pred_ss, CASE WHEN conf >= 0.25 THEN conf END AS conf
 FROM src s LEFT JOIN best b ON s.pmid = b.pmid""",
     "report_threshold": best_number(NORMAL, 0.6),
     "first_documents": f"WITH {TRIALS} SELECT pmid, abstract FROM src ORDER BY pmid LIMIT 20",
@@ -382,9 +382,9 @@ poss AS (SELECT pmid, string_agg(CAST(num AS VARCHAR), '|' ORDER BY num) AS poss
 SELECT i.pmid, t.num AS total, coalesce(poss, '') AS poss
 FROM ids i LEFT JOIN last_total t ON i.pmid = t.pmid LEFT JOIN poss p ON i.pmid = p.pmid""",
     "assemble_sections": f"""WITH titles AS ({_table(fx.TITLES)}), sections AS ({_table(fx.SECTIONS)}),
-body AS (SELECT pmid, string_agg(coalesce(label || ': ', '') || text || chr(10), '' ORDER BY pos) AS body
+body AS (SELECT pmid, string_agg(coalesce(label || ': ', '') || coalesce(text, '') || chr(10), '' ORDER BY pos) AS body
   FROM sections GROUP BY pmid)
-SELECT pmid, 'TITLE: ' || title || chr(10) || body AS abstract, row_number() OVER (ORDER BY pmid) AS record_no
+SELECT pmid, 'TITLE: ' || coalesce(title, '') || chr(10) || body AS abstract, row_number() OVER (ORDER BY pmid) AS record_no
 FROM titles JOIN body USING (pmid)""",
     "even_fold_sizes": """SELECT f.fold_id, n // 7 + CASE WHEN f.fold_id < n % 7 THEN 1 ELSE 0 END AS n
 FROM (SELECT count(DISTINCT o_orderkey) AS n FROM orders) c, (SELECT unnest(range(7)) AS fold_id) f""",

@@ -85,12 +85,17 @@ def token_tags(s: SparkSession, d: str) -> DataFrame:
     return rows.select("pmid", F.array_join(toks.tag_tokens(F.col("raw_tokens")), " ").alias("tags"))
 
 
-def _candidates(s: SparkSession, d: str, source: Source = TRIALS) -> DataFrame:
-    return explode_candidates(build_candidates(source(s, d)))
+def _candidates(s: SparkSession, d: str, source: Source = TRIALS, features: bool = True) -> DataFrame:
+    return explode_candidates(build_candidates(source(s, d), features=features))
+
+
+# of any length, so as text
+NUM = "CAST(num AS STRING) AS num"
+PREDICTED = "CAST(pred_ss AS STRING) AS pred_ss"
 
 
 def candidates(source: Source) -> Query:
-    return lambda s, d: _candidates(s, d, source).select("pmid", F.col("idx").cast("bigint").alias("idx"), "num")
+    return lambda s, d: _candidates(s, d, source, features=False).selectExpr("pmid", "CAST(idx AS BIGINT) AS idx", NUM)
 
 
 def _word_columns() -> list[Column]:
@@ -105,7 +110,7 @@ def _features(*names: str) -> list[Column]:
 def feature_query(source: Source, *names: str, words: bool = False, tags: bool = False) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
         extra = (_word_columns() if words else []) + ([F.col("left_pos"), F.col("right_pos")] if tags else [])
-        return _candidates(s, d, source).select("pmid", "idx", "num", *extra, *_features(*names))
+        return _candidates(s, d, source).select("pmid", "idx", F.expr(NUM), *extra, *_features(*names))
 
     return run
 
@@ -115,11 +120,11 @@ KEYWORD_FEATURES = ["years_near", "patients_follow", "people_follow", "enroll_ne
 
 def training_rows(s: SparkSession, d: str) -> DataFrame:
     """Labelled candidates of the texts as written, number words untouched."""
-    return labels.labelled_candidates(TRIALS(s, d)).select("pmid", "idx", "num", "label")
+    return labels.labelled_candidates(TRIALS(s, d), features=False).selectExpr("pmid", "idx", NUM, "label")
 
 
 def normalized_labels(s: SparkSession, d: str) -> DataFrame:
-    return labels.labelled_candidates(TRIALS(s, d), normalize=True).select("pmid", "idx", "num", "label")
+    return labels.labelled_candidates(TRIALS(s, d), normalize=True, features=False).selectExpr("pmid", "idx", NUM, "label")
 
 
 def token_labels(s: SparkSession, d: str) -> DataFrame:
@@ -134,21 +139,21 @@ def _conf(num: Column) -> Column:
 
 
 def top_candidate(s: SparkSession, d: str) -> DataFrame:
-    rows = _candidates(s, d).withColumn("conf", _conf(F.col("num")))
-    return scoring.top_candidates(rows).select("pmid", "idx", "num", "conf")
+    rows = _candidates(s, d, features=False).withColumn("conf", _conf(F.col("num")))
+    return scoring.top_candidates(rows).selectExpr("pmid", "idx", NUM, "conf")
 
 
 def best_number(source: Source, report: float = scoring.REPORT_THRESHOLD) -> Query:
     """Best number of every document, row-local, documents without any included."""
     return lambda s, d: scoring.best_in_row(
-        build_candidates(source(s, d)), lambda c: _conf(c["num"]), report=report
-    )
+        build_candidates(source(s, d), features=False), lambda c: _conf(c["num"]), report=report
+    ).selectExpr("pmid", PREDICTED, "conf")
 
 
 def extract_joined(s: SparkSession, d: str) -> DataFrame:
     docs = TRIALS(s, d)
-    rows = explode_candidates(build_candidates(docs)).withColumn("conf", _conf(F.col("num")))
-    return scoring.extract_documents(docs, rows)
+    rows = explode_candidates(build_candidates(docs, features=False)).withColumn("conf", _conf(F.col("num")))
+    return scoring.extract_documents(docs, rows).selectExpr("pmid", PREDICTED, "conf")
 
 
 def first_documents(s: SparkSession, d: str) -> DataFrame:
@@ -288,16 +293,18 @@ def relations_nested(s: SparkSession, d: str) -> DataFrame:
 
 def annotated_numbers(s: SparkSession, d: str) -> DataFrame:
     rows = ann.entity_numbers(ann.entities(_lines(s, d)), ann.TOTAL_TYPE)
-    return rows.select("pmid", "standoff_id", "word", "num", "norm", "norm_num")
+    whole = [F.col(c).cast("bigint").alias(c) for c in ("num", "norm_num")]
+    return rows.select("pmid", "standoff_id", "word", "norm", *whole)
 
 
 def gold_per_document(s: SparkSession, d: str) -> DataFrame:
-    return ann.gold_totals(ann.entities(_lines(s, d)), _ids(s, d))
+    gold = ann.gold_totals(ann.entities(_lines(s, d)), _ids(s, d))
+    return gold.select("pmid", F.col("tt_sample_size").cast("bigint").alias("tt_sample_size"))
 
 
 def loose_table(s: SparkSession, d: str) -> DataFrame:
     rows = ann.loose_totals(ann.entities(_lines(s, d)), _ids(s, d))
-    return rows.select("pmid", "total", _joined(F.col("poss").cast("array<string>")).alias("poss"))
+    return rows.select("pmid", F.col("total").cast("bigint").alias("total"), _joined(F.col("poss").cast("array<string>")).alias("poss"))
 
 
 def assemble_sections(s: SparkSession, d: str) -> DataFrame:
@@ -315,7 +322,7 @@ def hashed_folds(s: SparkSession, d: str) -> DataFrame:
 
 def train_test_split(s: SparkSession, d: str) -> DataFrame:
     """Training and test rows of every fold, from one pass over the candidates."""
-    rows = labels.labelled_candidates(TRIALS(s, d)).select("fold_id", "label")
+    rows = labels.labelled_candidates(TRIALS(s, d), features=False).select("fold_id", "label")
     per_fold = rows.groupBy("fold_id").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positive"))
     uses = per_fold.withColumn("held_out", F.explode(F.sequence(F.lit(0), F.lit(4))))
     part = F.when(F.col("fold_id") == F.col("held_out"), "test").otherwise("train")
@@ -337,7 +344,7 @@ def model_row_scores(s: SparkSession, d: str) -> DataFrame:
     docs = TRIALS(s, d)
     model = training.train(docs, kind="logistic", dim=8, max_iter=10)
     rows = model.score_rows(explode_candidates(build_candidates(docs)))
-    return rows.select("pmid", "idx", "num", "conf")
+    return rows.selectExpr("pmid", "idx", NUM, "conf")
 
 
 def model_agreement(s: SparkSession, d: str) -> DataFrame:

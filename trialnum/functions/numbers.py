@@ -23,6 +23,7 @@ SCALE_EXPONENTS = {"hundred": 2, "thousand": 3, "million": 6, "billion": 9, "tri
 
 # Whitespace as Unicode defines it plus the four ASCII separators 1C-1F.
 _SPACE = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# Fixed value: three digits after a space or comma belong to the one to three digits before.
 THOUSANDS_PATTERN = r"([^\p{Nd}][0-9]{1,3})[" + _SPACE + r",]([0-9]{3}[^\p{Nd}])"
 
 # Characters of a word token: ASCII letters and digits, and the four letters
@@ -179,12 +180,12 @@ def normalize_numbers(text: Column) -> Column:
 
 
 # Spaces that annotated numbers may hold (thin, punctuation, no-break, narrow no-break).
-EXOTIC_SPACES = "    "
+EXOTIC_SPACES = "\u2009\u2008\u00a0\u202f"
 
 
 def whole_number(text: Column) -> Column:
     """Value of a text that is one whole number, blanks around it allowed, else NULL."""
-    return F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), text.try_cast("bigint"))
+    return F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), text.try_cast("decimal(38,0)"))
 
 
 def annotated_number(word: Column) -> Column:

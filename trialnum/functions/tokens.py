@@ -7,9 +7,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# n=50 | COVID-19 | 0.036 and 1,000 | words | any other visible character.
+# n=50 and n=1,234 | COVID-19 | 0.036 and 1,000 | words | any other visible character.
 # Possessive throughout: every token is found in one forward pass.
-DOCUMENT_TOKEN_PATTERN = r"[nN]=[0-9]++|\p{L}++(?:-[0-9]++)*+|[0-9]++(?:[.,][0-9]++)*+|\S"
+DOCUMENT_TOKEN_PATTERN = r"[nN]=[0-9]++(?:[.,][0-9]++)*+|\p{L}++(?:-[0-9]++)*+|[0-9]++(?:[.,][0-9]++)*+|\S"
+
+NUMBER = "decimal(38,0)"
 
 # Characters that part vocabulary words.
 VOCABULARY_SEPARATORS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n"
@@ -60,12 +62,13 @@ def is_integer(token: Column) -> Column:
 
 
 def token_number(token: Column) -> Column:
-    """Integer value of a token, NULL if it is not a whole number of BIGINT range.
+    """Integer value of a token, NULL if it is not a whole number.
 
     Tested before it is cast: a failing cast builds an exception, a thousand times
-    the price of the test.
+    the price of the test. DECIMAL(38, 0) is the widest exact type; a longer number has no
+    value of this type, though it stays a candidate and takes part in all features.
     """
-    return F.when(is_integer(token), token.try_cast("bigint"))
+    return F.when(is_integer(token), token.try_cast(NUMBER))
 
 
 def rewrite_n_equals(tokens: Column) -> Column:
@@ -85,35 +88,27 @@ def vocabulary_words(text: Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda w: w != "")
 
 
-# up to this many words a lexicon is one literal map
-SMALL_LEXICON = 500
-
-
 def tag_token(token: Column, lexicon: Mapping[str, list[str]] | None = None) -> Column:
     """Tag of a token: punctuation, lexicon word, number, else unknown.
 
-    ``lexicon`` maps a tag to its lower-case words. A small one is a literal map, in
-    a large one each tag is a hashed set test; neither needs a join or a shuffle.
+    ``lexicon`` maps a tag to its lower-case words, which are one hashed set per tag: no
+    join and no shuffle.
     """
     lexicon = DEFAULT_LEXICON if lexicon is None else lexicon
     tag_of = {word: tag for tag, words in reversed(lexicon.items()) for word in words}
     tag_of.update(PUNCTUATION_TAGS)
-    if len(tag_of) <= SMALL_LEXICON:
-        pairs = F.create_map(*[F.lit(x) for pair in tag_of.items() for x in pair])
-        known = F.try_element_at(pairs, F.lower(token))
-    else:
-        sets: dict[str, list[str]] = {}
-        for word, tag in tag_of.items():
-            sets.setdefault(tag, []).append(word)
-
-        def choose(lowered: Column) -> Column:
-            chosen = F.lit(None).cast("string")
-            for tag, words in sets.items():
-                chosen = F.when(lowered.isin(words), F.lit(tag)).otherwise(chosen)
-            return chosen
-
-        # one-element array, so that the lower-casing is done once
-        known = F.get(F.transform(F.array(F.lower(token)), choose), F.lit(0))
+    sets: dict[str, list[str]] = {}
+    for word, tag in tag_of.items():
+        sets.setdefault(tag, []).append(word)
+
+    def choose(lowered: Column) -> Column:
+        chosen = F.lit(None).cast("string")
+        for tag, words in sets.items():
+            chosen = F.when(lowered.isin(words), F.lit(tag)).otherwise(chosen)
+        return chosen
+
+    # one-element array, so that the lower-casing is done once
+    known = F.get(F.transform(F.array(F.lower(token)), choose), F.lit(0))
     number = F.when(token.rlike("^[0-9]+([.,][0-9]+)*$"), "CD")
     return F.coalesce(known, number, F.lit(UNKNOWN_TAG))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialnum.functions.numbers import annotated_number, capitalize, normalized_number
+from trialnum.functions.tokens import NUMBER
 from trialnum.operators.numbering import number_rows
 
 # First letters of the line kinds, and the entity types in use.
@@ -93,7 +94,7 @@ def gold_totals(entity_rows: DataFrame, ids: DataFrame) -> DataFrame:
     )
     known = ids.select("pmid").distinct()
     without = known.join(totals.select("pmid").distinct(), "pmid", "left_anti")
-    none = F.lit(None).cast("bigint").alias("tt_sample_size")
+    none = F.lit(None).cast(NUMBER).alias("tt_sample_size")
     return totals.join(known, "pmid", "left_semi").unionByName(without.select("pmid", none))
 
 
@@ -114,7 +115,7 @@ def loose_totals(entity_rows: DataFrame, ids: DataFrame | None = None) -> DataFr
     )
     if ids is None:
         return loose
-    empty = F.array().cast("array<bigint>")
+    empty = F.array().cast(f"array<{NUMBER}>")
     return (
         ids.select("pmid")
         .distinct()
@@ -124,12 +125,12 @@ def loose_totals(entity_rows: DataFrame, ids: DataFrame | None = None) -> DataFr
 
 
 def section_text(sections: Column) -> Column:
-    """Text of an array of ``(pos, label, text)`` structs, one line each."""
+    """Text of an array of ``(pos, label, text)`` structs, one line each; a section without text keeps its label."""
     lines = F.transform(
         F.sort_array(sections),
         lambda s: F.concat(
             F.when(s["label"].isNotNull(), F.concat(s["label"], F.lit(": "))).otherwise(""),
-            s["text"],
+            F.coalesce(s["text"], F.lit("")),
             F.lit("\n"),
         ),
     )
@@ -149,7 +150,7 @@ def assemble_abstracts(titles: DataFrame, sections: DataFrame) -> DataFrame:
     )
     kept = titles.select("pmid").join(sections.select("pmid").distinct(), "pmid", "left_semi")
     numbers = number_rows(kept, "pmid", "record_no", bounds_from=titles)
-    abstract = F.concat(F.lit("TITLE: "), F.col("title"), F.lit("\n"), F.col("_body"))
+    abstract = F.concat(F.lit("TITLE: "), F.coalesce("title", F.lit("")), F.lit("\n"), F.col("_body"))
     return (
         bodies.join(titles, "pmid")
         .join(numbers, "pmid")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from trialnum.functions import features as feat
 from trialnum.functions.numbers import join_thousands, replace_number_words
 from trialnum.functions.tokens import (
+    NUMBER,
     UNKNOWN_TAG,
     document_tokens,
     is_integer,
@@ -65,12 +66,21 @@ def number_positions(tokens: Column) -> Column:
 
 
 def numbers_at(tokens: Column, positions: Column) -> Column:
-    """Position and value at the given positions, without values beyond BIGINT."""
-    hits = F.transform(
+    """Position, value and digits as written at the given positions."""
+    return F.transform(
         positions,
-        lambda i: F.struct(i.alias("idx"), F.get(tokens, i).try_cast("bigint").alias("num")),
+        lambda i: F.struct(
+            i.alias("idx"), F.get(tokens, i).try_cast(NUMBER).alias("num"), F.get(tokens, i).alias("written")
+        ),
     )
-    return F.filter(hits, lambda c: c["num"].isNotNull())
+
+
+def with_numbers(df: DataFrame) -> DataFrame:
+    """``tokens`` give ``candidates`` of position and value only, for whoever needs no features."""
+    tokens = F.col("tokens")
+    hits = numbers_at(tokens, number_positions(tokens))
+    pairs = F.transform(hits, lambda c: F.struct(c["idx"].alias("idx"), c["num"].alias("num")))
+    return fenced(df.withColumn("candidates", pairs), "candidates")
 
 
 def with_features(
@@ -96,22 +106,20 @@ def with_features(
 
     tokens = F.col("tokens")
     df = df.withColumn("_hits", numbers_at(tokens, number_positions(tokens)))
+    df = df.withColumn("_written", F.transform("_hits", lambda c: c["written"]))
+    # fenced on both sides, as the tokenizer is
+    df = fenced(fenced(df, "_written").withColumn("_flags", feat.number_flags()(F.col("_written"))), "_flags")
     df = df.withColumn("_n", F.size(tokens))
-    df = df.withColumn(
-        "_lowered", F.when(F.size("_hits") > 0, F.transform(tokens, F.lower))
-    ).withColumn("_ordered", F.sort_array(F.transform("_hits", lambda c: c["num"])))
-    df = df.withColumn("_distinct", F.array_distinct("_ordered"))
-    df = df.withColumn("_sums", feat.pair_sums_present(F.col("_ordered"), F.col("_distinct")))
-
+    df = df.withColumn("_lowered", F.when(F.size("_hits") > 0, F.transform(tokens, F.lower)))
     n, lowered = F.col("_n"), F.col("_lowered")
-    ordered, sums = F.col("_ordered"), F.col("_sums")
 
-    def windows(c: Column) -> Column:
+    def windows(c: Column, k: Column) -> Column:
         return F.struct(
             c["idx"].alias("idx"),
             c["num"].alias("num"),
             feat.words_around(lowered, c["idx"], n).alias("around"),
             feat.words_ahead(lowered, c["idx"], n).alias("ahead"),
+            F.get("_flags", k).alias("flags"),
         )
 
     def features(c: Column) -> Column:
@@ -123,10 +131,10 @@ def with_features(
             feat.right_words(lowered, i, n).alias("right_word"),
             F.when(i == 0, UNKNOWN_TAG).otherwise(tag_at(i - 1)).alias("left_pos"),
             F.when(i == n - 1, UNKNOWN_TAG).otherwise(tag_at(i + 1)).alias("right_pos"),
-            feat.other_features(num, c["around"], c["ahead"], ordered, sums).alias("other"),
+            feat.other_features(num, c["around"], c["ahead"], c["flags"]).alias("other"),
         )
 
-    helpers = ["_hits", "_n", "_lowered", "_ordered", "_distinct", "_sums"]
+    helpers = ["_hits", "_written", "_flags", "_n", "_lowered"]
     # windows first, as each is searched for several keyword lists
     candidates = F.transform(F.transform("_hits", windows), features)
     return fenced(df.withColumn("candidates", candidates).drop(*helpers), "candidates")
@@ -152,14 +160,20 @@ def build_candidates(
     tagger: ColumnFunction | None = tag_token,
     array_tagger: ColumnFunction | None = None,
     keep_text: bool = False,
+    features: bool = True,
 ) -> DataFrame:
     """One row per document with its ``candidates`` array (empty if it has no integer).
 
     ``normalize=False`` leaves number words as they stand, as for training rows. A
     ``tagger`` made of built-in functions tags single tokens; an ``array_tagger``
     tags all tokens of a document at once and may, like ``tokenizer``, be a UDF.
+    ``features=False`` makes ``idx`` and ``num`` only: the optimizer cannot leave out fields of
+    an array's structs, so whoever needs no features asks for none.
     """
-    df = with_tokens(df, text, normalize, tokenizer, digits_only=array_tagger is None)
+    df = with_tokens(df, text, normalize, tokenizer, digits_only=array_tagger is None or not features)
+    if not features:
+        df = with_numbers(df).drop("raw_tokens", "tokens")
+        return df if keep_text else df.drop(text)
     if array_tagger is not None:
         df = fenced(df, "raw_tokens")
         df = fenced(df.withColumn("_tags", array_tagger(F.col("raw_tokens"))), "_tags")

@@ -97,7 +97,10 @@ class CandidateModel:
     @property
     def weights(self) -> np.ndarray:
         """Flat network weights, to start another training from."""
-        return self.pipeline.stages[-1].weights.toArray()
+        stage = self.pipeline.stages[-1]
+        if not hasattr(stage, "weights"):
+            raise ValueError("only a network has weights to go on from")
+        return stage.weights.toArray()
 
     def save(self, path: str) -> None:
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
@@ -131,6 +134,8 @@ def fit_classifier(
     )
     width = 4 * dim + 2 * len(TAGS) + len(OTHER_FEATURES)
     if kind == "logistic":
+        if initial_weights is not None:
+            raise ValueError("a logistic model cannot start from given weights")
         classifier = LogisticRegression(maxIter=max_iter, regParam=1e-4)
     else:
         layers = [width, *(HIDDEN if hidden is None else hidden), 2]

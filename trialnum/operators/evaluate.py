@@ -69,7 +69,9 @@ def match_rows(
     if annotations is None:
         same = exact_match(F.col("tt_sample_size"), F.col("pred_ss"))
     else:
-        ann = annotations.select("pmid", "total", "poss", F.lit(True).alias("_known"))
+        ann = annotations.select(
+            F.col("pmid").cast("bigint").alias("pmid"), "total", "poss", F.lit(True).alias("_known")
+        )
         rows = rows.join(ann, "pmid", "left")
         same = loose_match(
             F.col("total"), F.col("poss"), F.col("pred_ss"), F.col("_known"), tolerance
@@ -109,16 +111,18 @@ def confusion_exact(
     # pairs with equal values, counted per (pmid, value)
     g_values = (
         g.filter(F.col("tt_sample_size").isNotNull())
-        .groupBy("pmid", *groups, F.col("tt_sample_size").cast("bigint").alias("value"))
+        .groupBy("pmid", *groups, F.col("tt_sample_size").alias("value"))
         .agg(F.count(F.lit(1)).alias("g_n"))
     )
     p_values = (
         p.filter(F.col("pred_ss").isNotNull())
-        .groupBy("pmid", F.col("pred_ss").cast("bigint").alias("value"))
+        .groupBy("pmid", F.col("pred_ss").alias("value"))
         .agg(F.count(F.lit(1)).alias("p_n"))
     )
+    # values meet as they are: a gold number of 50.7 is no 50
+    same = (g_values["pmid"] == p_values["pmid"]) & (g_values["value"] == p_values["value"])
     hits = (
-        g_values.join(p_values, ["pmid", "value"], "inner")
+        g_values.join(p_values, same, "inner")
         .groupBy(*groups)
         .agg(F.coalesce(F.sum(F.col("g_n") * F.col("p_n")), F.lit(0)).alias("tp"))
     )

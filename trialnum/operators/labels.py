@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialnum.functions.tokens import tag_token, token_number
+from trialnum.functions.tokens import NUMBER, tag_token, token_number
 from trialnum.operators.candidates import ColumnFunction, build_candidates, explode_candidates
 
 POSITIVE, NEGATIVE = "N", "O"
@@ -13,7 +13,7 @@ POSITIVE, NEGATIVE = "N", "O"
 
 def token_labels(tokens: Column, gold: Column) -> Column:
     """``N`` for every token that is the gold number, ``O`` for all others."""
-    number = gold.cast("bigint")
+    number = gold.cast(NUMBER)
     return F.transform(
         tokens,
         lambda t: F.when(token_number(t) == number, POSITIVE).otherwise(NEGATIVE),
@@ -26,7 +26,7 @@ def label_value(label: Column) -> Column:
 
 def candidate_label(num: Column, gold: Column) -> Column:
     """1.0 where the candidate is the gold number; a missing gold number labels nothing."""
-    return F.coalesce((num == gold.cast("bigint")).cast("double"), F.lit(0.0))
+    return F.coalesce((num == gold.cast(NUMBER)).cast("double"), F.lit(0.0))
 
 
 def labelled_candidates(
@@ -36,13 +36,14 @@ def labelled_candidates(
     tokenizer: ColumnFunction | None = None,
     tagger: ColumnFunction | None = tag_token,
     array_tagger: ColumnFunction | None = None,
+    features: bool = True,
 ) -> DataFrame:
-    """One row per candidate with features and ``label``.
+    """One row per candidate with features (or position and number only) and ``label``.
 
     ``normalize=False`` trains on number words as written.
     """
     docs = build_candidates(
-        df, normalize=normalize, tokenizer=tokenizer, tagger=tagger, array_tagger=array_tagger
+        df, normalize=normalize, tokenizer=tokenizer, tagger=tagger, array_tagger=array_tagger, features=features
     )
     rows = explode_candidates(docs)
     return rows.withColumn("label", candidate_label(F.col("num"), F.col(gold)))

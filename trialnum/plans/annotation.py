@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trialnum.operators.annotations import entities, gold_totals, loose_totals, nested, relations
 from trialnum.sources.standoff import read_document_ids, read_standoff_lines
 
 
-def annotation_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Entities, relations, both nested per document, gold totals and loose totals."""
+def annotation_tables(spark: SparkSession, folder: str, documents: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Entities, relations, both nested per document, gold totals and loose totals.
+
+    Documents are those of the folder's file names, and of ``documents (pmid)`` if given: file
+    sources do not see empty files, so an empty ``.ann`` file without a text file beside it is
+    known from that table only.
+    """
     lines = read_standoff_lines(spark, folder)
     ids = read_document_ids(spark, folder)
+    if documents is not None:
+        ids = ids.unionByName(documents.select(F.col("pmid").cast("string").alias("pmid"))).distinct()
     entity_rows, relation_rows = entities(lines), relations(lines)
     return {
         "entities": entity_rows,

@@ -45,28 +45,41 @@ def read_document_ids(spark: SparkSession, folder: str) -> DataFrame:
 ARTICLE = """
     MedlineCitation STRUCT<
         PMID: STRUCT<_VALUE: BIGINT, _Version: STRING>,
-        Article: STRUCT<
-            ArticleTitle: STRING,
-            Abstract: STRUCT<AbstractText: ARRAY<STRUCT<_VALUE: STRING, _Label: STRING>>>>>
+        Article: STRUCT<ArticleTitle: STRING, Abstract: STRING>>
 """
+# Elements that may stand inside a title or a section.
+MARKUP = r"</?(?:[bisu]|sub|sup|em|strong|br|DispFormula|mml:[A-Za-z]+)(?:\s[^<>]*)?/?>"
+SECTION = r"(?s)<AbstractText((?:\s[^>]*)?)>(.*?)</AbstractText>"
+
+
+def _plain(text: Column) -> Column:
+    return F.regexp_replace(text, MARKUP, "")
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """``(pmid, abstract, record_no)`` from article XML; articles without abstract are left out.
 
-    An article is one row with its sections inside, so nothing is grouped.
+    Titles and abstracts are read with their inner elements, which then lose their tags but no
+    text. An article is one row with its sections inside, so nothing is grouped. A missing title or an
+    empty section is empty text.
     """
     articles = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(ARTICLE).load(path)
     citation = F.col("MedlineCitation")
-    sections = F.transform(
-        citation["Article"]["Abstract"]["AbstractText"],
-        lambda s, i: F.struct(i.alias("pos"), s["_Label"].alias("label"), s["_VALUE"].alias("text")),
+    body = citation["Article"]["Abstract"]
+    found = F.arrays_zip(
+        F.regexp_extract_all(body, F.lit(SECTION), F.lit(1)).alias("attributes"),
+        F.regexp_extract_all(body, F.lit(SECTION), F.lit(2)).alias("text"),
     )
+
+    def section(s: Column, i: Column) -> Column:
+        label = F.nullif(F.regexp_extract(s["attributes"], '\\bLabel="([^"]*)"', 1), F.lit(""))
+        return F.struct(i.alias("pos"), label.alias("label"), _plain(s["text"]).alias("text"))
+
     rows = articles.select(
         citation["PMID"]["_VALUE"].alias("pmid"),
-        citation["Article"]["ArticleTitle"].alias("title"),
-        sections.alias("sections"),
-    ).filter(F.col("sections").isNotNull())
+        _plain(F.coalesce(citation["Article"]["ArticleTitle"], F.lit(""))).alias("title"),
+        F.transform(found, section).alias("sections"),
+    ).filter(F.size("sections") > 0)
     abstracts = rows.select(
         "pmid",
         F.concat(F.lit("TITLE: "), F.col("title"), F.lit("\n"), section_text(F.col("sections"))).alias("abstract"),
