@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialnum.llm.shared import join_by_key, materialize
+from trialnum.llm.shared import join_by_key, materialize, row_key
 
 
 def md5_128(text: Column) -> Column:
@@ -60,8 +60,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat both id and text become one before anything is joined; kept rows are then
     found by (id, SHA-256 of the text).
     """
-    kept = duplicate_classes(docs, id_col, text_col, keep).where("kept").select(F.col("id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    kept = duplicate_classes(docs, id_col, text_col, keep).where("kept").select(row_key("id", F.col("text_sha256")).alias("_key"))
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    single = docs.withColumn("_sha_row", sha).dropDuplicates([id_col, "_sha_row"])
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha_row") == F.col("_sha"))
-    return single.join(kept, same, "left_semi").drop("_sha_row")
+    single = docs.withColumn("_key", row_key(id_col, sha)).dropDuplicates(["_key"])
+    return single.join(kept, "_key", "left_semi").drop("_key")

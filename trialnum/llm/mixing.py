@@ -77,7 +77,8 @@ def mix_sources(
     targets = source_targets(by_range.groupBy("source", "none").agg(F.sum("words").alias("source_size")), weights, share, most)
     earlier = Window.partitionBy("none", "source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_range.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n", "words")
-    offsets = offsets.join(targets, ["none", "source"])
+    # written, so that its size is known and the rows with their texts need not move to meet it
+    offsets = materialize(offsets.join(targets, ["none", "source"]))
     joined = ranked.join(offsets, ["bucket", "none", "source"])
     rank = F.col("place") - F.col("start") + F.col("before")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)

@@ -38,6 +38,11 @@ def join_by_key(rows: DataFrame, table: DataFrame, key: str, count: str, total:
     return marked.unionByName(rest)
 
 
+def row_key(id_col: str, mark: Column) -> Column:
+    """One string of an id (null is none) and a mark of the text, so that shuffles by it can be shared."""
+    return F.concat(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), F.lit("/"), mark.cast("string"))
+
+
 def words(text: Column) -> Column:
     """How many runs of characters other than the six ASCII spaces a text has; null has none."""
     parts = F.size(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]++"))

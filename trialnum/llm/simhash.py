@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialnum.llm.components import components
-from trialnum.llm.shared import join_by_key, materialize, text_bytes
+from trialnum.llm.shared import join_by_key, materialize, row_key, text_bytes
 
 BITS = 64
 NODE = 20_000  # fingerprints of one trie node that a task joins; larger nodes are cut into pairs of parts
@@ -220,7 +220,6 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, id_
     """The first row of each class with all its columns; rows that repeat id and text count once."""
     classes = near_duplicate_classes(docs, shingle, budget, id_col, text_col)
     stay = (F.col("id").eqNullSafe(F.col("first_id"))) & (F.col("hash") == F.col("first_hash"))
-    kept = classes.where(stay).select(F.col("id").alias("_id"), F.col("hash").alias("_hash"))
-    single = docs.withColumn("_hash_row", F.xxhash64(text_col)).dropDuplicates([id_col, "_hash_row"])
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash_row") == F.col("_hash"))
-    return single.join(kept, same, "left_semi").drop("_hash_row")
+    kept = classes.where(stay).select(row_key("id", F.col("hash")).alias("_key"))
+    single = docs.withColumn("_key", row_key(id_col, F.xxhash64(text_col))).dropDuplicates(["_key"])
+    return single.join(kept, "_key", "left_semi").drop("_key")
