@@ -35,20 +35,21 @@ class Statistics:
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
         self.mean = length / n if n and length else 1.0
 
+    def counts(self, found: list[bytes]) -> np.ndarray:
+        """Numbers of the known terms of a document, and how often it has them."""
+        counts = Counter(found)
+        known = [t for t in counts if t in self.vocabulary]
+        return np.array([[self.vocabulary[t] for t in known], [counts[t] for t in known]], np.int32).reshape(2, -1)
+
 
 class Shard:
     """Inverted index of some documents: impacts by term and document, and largest impacts by term and block."""
 
-    def __init__(self, docs: list[tuple[int, Counter, int]], stats: Statistics, k1: float, b: float):
+    def __init__(self, docs: list[tuple[int, np.ndarray, int]], stats: Statistics, k1: float, b: float):
         self.n, self.size = len(docs), len(stats.idf)
-        term, doc, tf = [], [], []
-        for i, (_, counts, _) in enumerate(docs):
-            known = [(stats.vocabulary[t], c) for t, c in counts.items() if t in stats.vocabulary]
-            term += [t for t, _ in known]
-            tf += [c for _, c in known]
-            doc.append(len(known))
-        term, tf = np.array(term, np.int64), np.array(tf, float)
-        doc = np.repeat(np.arange(self.n), doc)
+        doc = np.repeat(np.arange(self.n), [counts.shape[1] for _, counts, _ in docs])
+        term, tf = np.concatenate([counts for _, counts, _ in docs], axis=1, dtype=np.int64)
+        tf = tf.astype(float)
         length = np.array([n for *_, n in docs], float)
         order = np.argsort(term, kind="stable")
         term, self.doc, tf = term[order], doc[order], tf[order]
@@ -158,7 +159,7 @@ def _search_block(rows: DataFrame, block: dict, k: int, k1: float, b: float) ->
         about, asked = stats.value
         ids = [np.zeros(0, np.int64)] * len(asked)
         scores = [np.zeros(0)] * len(asked)
-        held: list[tuple[int | None, Counter, int]] = []
+        held: list[tuple[int | None, np.ndarray, int]] = []
         last = np.iinfo(np.int64).max  # null ids come last
 
         def look() -> None:
@@ -176,7 +177,7 @@ def _search_block(rows: DataFrame, block: dict, k: int, k1: float, b: float) ->
         for batch in batches:
             for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = terms(text)
-                held.append((i, Counter(found), len(found)))
+                held.append((i, about.counts(found), len(found)))
                 size += len(found)
                 if len(held) >= SHARD or size >= TOKENS:
                     look()
