@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from trialnum.catalog import fixtures as fx
 from trialnum.operators.candidates import build_candidates, explode_candidates
-from trialnum.operators.classifier import CandidateModel, arrow_scorer, prepare_vectors
+from trialnum.operators.classifier import CandidateModel, arrow_scorer, fit_classifier, prepare_vectors
 from trialnum.operators.evaluate import evaluate_exact, evaluate_exact_cv
+from trialnum.operators.labels import labelled_candidates
+from trialnum.operators.numbering import assign_folds
 from trialnum.plans import training
 from trialnum.plans.extraction import extract
 from trialnum.streaming.extraction import extract_stream
@@ -99,3 +101,27 @@ def test_stream_gives_the_batch_result(spark, docs, model, tmp_path):
     extract_stream(spark, source, target, str(tmp_path / "ck"), model).awaitTermination(120)
     got = sorted(tuple(r) for r in spark.read.parquet(target).collect())
     assert got == sorted(tuple(r) for r in extract(part, model).collect())
+
+
+def test_cross_validation_reads_the_texts_once_and_equals_one_model_per_fold(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    rows = [(i, f"We enrolled {20 + i} patients aged 18 to {40 + i % 9} years.", 20 + i) for i in range(60)]
+    spark.createDataFrame(rows, "pmid long, abstract string, tt_sample_size long").write.parquet(path)
+    docs = spark.read.parquet(path)
+    got = training.cross_validate(docs, k=3, kind="logistic", dim=4, max_iter=4)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+    found = {r["pmid"]: (r["fold_id"], r["conf"]) for r in got.collect()}
+    assert len(found) == 60 and {f for f, _ in found.values()} == {0, 1, 2}
+    folded, vectors = assign_folds(docs, k=3), prepare_vectors(docs, 4)
+    labelled = labelled_candidates(folded, normalize=True)
+    for fold in range(3):
+        model = fit_classifier(labelled.filter(f"fold_id <> {fold}"), vectors, 4, kind="logistic", max_iter=4)
+        one = extract(folded.filter(f"fold_id = {fold}"), model).collect()
+        assert all(abs((r["conf"] or 0) - (found[r["pmid"]][1] or 0)) < 1e-6 for r in one)
+
+
+def test_weights_that_cannot_be_used_are_refused(spark):
+    docs = spark.createDataFrame([(i, f"{20 + i} of 7", 20 + i) for i in range(20)], "pmid long, abstract string, tt_sample_size long")
+    model = training.train(docs, kind="logistic", dim=2, max_iter=2)
+    with pytest.raises(ValueError):
+        _ = model.weights

@@ -116,6 +116,13 @@ def trial_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, TRIAL_ABSTRACTS)
 
 
+def other_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trial texts of another table, to train on beforehand."""
+    people = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    keys = people.select(F.col("c_custkey").alias("o_orderkey"), (F.col("c_custkey") * 7).alias("o_custkey"))
+    return spark.sql(TRIAL_ABSTRACTS, orders=spread(keys, "o_orderkey"))
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver's documents as ``(pmid, abstract)``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -291,7 +291,17 @@ def nested(rows: str, table: str, item: str) -> str:
 FROM ids i LEFT JOIN {table} e ON i.pmid = e.pmid GROUP BY i.pmid"""
 
 
+BLANKS = tokens("src").replace(f"regexp_extract_all(abstract, '{TOKEN}')", "string_split(abstract, ' ')")
+
 ORACLES: dict[str, str] = {
+    "raw_candidates": f"""WITH {TRIALS}, {tokens('src')}
+SELECT pmid, idx, CAST(num AS VARCHAR) AS num FROM num WHERE num IS NOT NULL""",
+    "own_tokenizer": f"""WITH {TRIALS}, {BLANKS}
+SELECT pmid, idx, CAST(num AS VARCHAR) AS num FROM num WHERE num IS NOT NULL""",
+    "fold_check": "SELECT count(*) AS n, 5 AS folds, 1 AS even, count(*) AS pairs FROM orders",
+    "cv_check": """SELECT count(*) AS n, count(*) AS pmids, 0 AS wrong_fold, 0 AS wrong_number, 0 AS wrong_conf
+FROM orders""",
+    "pretrain_check": "SELECT 1 AS in_range, 1 AS some_held_out",
     "thousands_join": f"WITH {TRIALS}, {JOINED} SELECT pmid, t AS text FROM j",
     "thousands_join_documents": f"WITH {DOCUMENTS}, {JOINED} SELECT pmid, t AS text FROM j",
     "number_word_tokens": number_token_text(TRIALS),

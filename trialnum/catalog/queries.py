@@ -367,13 +367,67 @@ def cross_validation(s: SparkSession, d: str) -> DataFrame:
 
 
 def fine_tuned_scores(s: SparkSession, d: str) -> DataFrame:
-    """Pretrained on one part of the trials, trained on with all, then scored."""
+    """Pretrained on another table, trained on with the trials, then scored."""
     docs = TRIALS(s, d)
-    first, _ = training.pretrain(docs.filter(F.col("fold_id") != 0), **_TRAINING)
+    first, _ = training.pretrain(fx.other_trials(s, d), **_TRAINING)
     options = {k: v for k, v in _TRAINING.items() if k != "dim"}
     return extraction.extract(docs, training.train(docs, pretrained=first, **options))
 
 
+def raw_candidates(s: SparkSession, d: str) -> DataFrame:
+    """Candidates of the texts as written."""
+    rows = explode_candidates(build_candidates(TRIALS(s, d), normalize=False, features=False))
+    return rows.selectExpr("pmid", "CAST(idx AS BIGINT) AS idx", NUM)
+
+
+def own_tokenizer(s: SparkSession, d: str) -> DataFrame:
+    """Candidates among tokens that a given function parts at blanks."""
+    blanks = lambda text: F.split(text, " ")
+    rows = explode_candidates(build_candidates(TRIALS(s, d), normalize=False, tokenizer=blanks, features=False))
+    return rows.selectExpr("pmid", "CAST(idx AS BIGINT) AS idx", NUM)
+
+
+def fold_check(s: SparkSession, d: str) -> DataFrame:
+    """Hashed folds: every row once, about even, and the same however the rows are dealt out."""
+    docs = TRIALS(s, d).drop("fold_id")
+    rows = training.gold_with_folds(docs)
+    sizes = rows.groupBy("fold_id").agg(F.count(F.lit(1)).alias("n"))
+    even = F.min("n") * 10 > F.sum("n") / 5 * 7
+    one = sizes.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("folds"), even.cast("int").alias("even"))
+    again = numbering.assign_folds(docs.repartition(3)).select("pmid", "fold_id")
+    pairs = rows.select("pmid", "fold_id").unionByName(again).distinct()
+    return one.crossJoin(pairs.agg(F.count(F.lit(1)).alias("pairs")))
+
+
+def cv_check(s: SparkSession, d: str) -> DataFrame:
+    """Cross-validated predictions: every document once, in its fold, a number of its own text, sure enough."""
+    docs = TRIALS(s, d).drop("fold_id")
+    rows = training.cross_validate(docs, kind="logistic", dim=8, max_iter=8)
+    numbers = build_candidates(docs.select("pmid", "abstract"), features=False)
+    numbers = numbers.select("pmid", F.transform("candidates", lambda c: c["num"]).alias("numbers"))
+    folds = numbering.assign_folds(docs.select("pmid")).withColumnRenamed("fold_id", "assigned")
+    both = rows.join(numbers, "pmid").join(folds, "pmid")
+    off = F.coalesce(F.col("conf") < scoring.KEEP_THRESHOLD, F.col("pred_ss").isNotNull())
+    return both.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("pmid").alias("pmids"),
+        F.count_if(F.col("fold_id") != F.col("assigned")).alias("wrong_fold"),
+        F.count_if(~F.array_contains("numbers", F.col("pred_ss"))).alias("wrong_number"),
+        F.count_if(off).alias("wrong_conf"),
+    )
+
+
+def pretrain_check(s: SparkSession, d: str) -> DataFrame:
+    """Pretraining on another table: its held-out documents are scored; their metrics lie between 0 and 1."""
+    docs = fx.other_trials(s, d)
+    model, held_out = training.pretrain(docs, **_TRAINING)
+    scores = training.holdout_metrics(model, held_out)
+    inside = [F.col(m).isNull() | F.col(m).between(0, 1) for m in ev.METRICS]
+    ok = inside[0] & inside[1] & inside[2] & inside[3]
+    share = held_out.agg((F.count(F.lit(1)) > 0).cast("int").alias("some_held_out"))
+    return scores.select(ok.cast("int").alias("in_range")).crossJoin(share)
+
+
 QUERIES: dict[str, Query] = {
     "thousands_join": thousands_join(TRIALS),
     "thousands_join_documents": thousands_join(DOCUMENTS),
@@ -443,4 +497,9 @@ QUERIES: dict[str, Query] = {
     "model_agreement": model_agreement,
     "cv_scores": cross_validation,
     "fine_tuned_scores": fine_tuned_scores,
+    "raw_candidates": raw_candidates,
+    "own_tokenizer": own_tokenizer,
+    "fold_check": fold_check,
+    "cv_check": cv_check,
+    "pretrain_check": pretrain_check,
 }

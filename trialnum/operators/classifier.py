@@ -21,13 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialnum.functions.features import OTHER_FEATURES
-from trialnum.functions.tokens import TAGS, vocabulary_words
+from trialnum.functions.tokens import TAGS
 from trialnum.operators.vocabulary import (
     MAX_FEATURES,
     embed_words,
     fit_vocabulary,
-    known_words,
-    replace_unknown,
+    unknown_rewritten,
     vocabulary_vectors,
 )
 
@@ -67,10 +66,11 @@ def fit_word_vectors(
 ) -> DataFrame:
     """``(token, vec)`` from Word2Vec on texts rewritten to the vocabulary, which bounds its size."""
     parts = docs.sparkSession.sparkContext.defaultParallelism
-    words = replace_unknown(vocabulary_words(F.col(text)), known_words(vocabulary))
+    texts = unknown_rewritten(docs.select(text), vocabulary, text, "_rewritten")
+    words = F.filter(F.split("_rewritten", " "), lambda w: w != "")
     fitted = Word2Vec(
         vectorSize=dim, minCount=1, seed=seed, numPartitions=parts, inputCol="words", outputCol="_v"
-    ).fit(docs.select(words.alias("words")))
+    ).fit(texts.select(words.alias("words")))
     return fitted.getVectors().select(
         F.col("word").alias("token"), vector_to_array("vector", "float32").alias("vec")
     )
@@ -178,8 +178,8 @@ def _layers(model: CandidateModel) -> list[tuple[np.ndarray, np.ndarray]]:
     return layers
 
 
-def arrow_scorer(model: CandidateModel, slice_rows: int = 8192):
-    """Arrow UDF: a ``candidates`` array to the array of its confidences.
+def _confidence_function(model: CandidateModel, slice_rows: int = 8192):
+    """A function of an Arrow array of ``candidates`` arrays to their confidences.
 
     Words and tags are looked up by Arrow over the whole batch and the network is a
     few matrix products. What ships with the task is the network and the vocabulary
@@ -218,7 +218,6 @@ def arrow_scorer(model: CandidateModel, slice_rows: int = 8192):
         parts.append(flat.field("other").flatten().to_numpy().reshape(len(flat), -1))
         return forward(np.hstack(parts))
 
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def confidences(candidates: pa.Array) -> pa.Array:
         flat = candidates.flatten()
         # in slices, so that memory does not grow with the candidates of a batch
@@ -228,5 +227,36 @@ def arrow_scorer(model: CandidateModel, slice_rows: int = 8192):
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("int32")
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(conf, pa.float64()))
 
+    return confidences
+
+
+def arrow_scorer(model: CandidateModel):
+    """Arrow UDF: a ``candidates`` array to the array of its confidences."""
+    confidences = _confidence_function(model)
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(candidates: pa.Array) -> pa.Array:
+        return confidences(candidates)
+
     # so that no filter is pushed below it and the network runs once per document
-    return confidences.asNondeterministic()
+    return run.asNondeterministic()
+
+
+def fold_scorer(models: list[CandidateModel]):
+    """Arrow UDF of (fold, candidates): each document is scored by the model of its fold, all in one pass."""
+    functions = [_confidence_function(m) for m in models]
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(folds: pa.Array, candidates: pa.Array) -> pa.Array:
+        order, parts = [], []
+        for fold, confidences in enumerate(functions):
+            at = pc.indices_nonzero(pc.fill_null(pc.equal(folds, fold), False))
+            if len(at):
+                order.append(at.to_numpy())
+                parts.append(confidences(candidates.take(at)))
+        if not parts:
+            return pa.array([[]] * len(folds), pa.list_(pa.float64()))
+        back = np.argsort(np.concatenate(order), kind="stable")
+        return pa.concat_arrays(parts).take(pa.array(back))
+
+    return run.asNondeterministic()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,23 +47,55 @@ def fit_vocabulary(
     )
 
 
-def known_words(vocabulary: DataFrame) -> list[str]:
-    """The vocabulary's words; the vocabulary is bounded by ``max_features``."""
-    return [r["token"] for r in vocabulary.orderBy("id").select("token").collect()]
+# bytes of words and values that a lookup may send to every task
+LOOKUP_BYTES = 64 << 20
 
 
-def replace_unknown(words: Column, known: list[str]) -> Column:
-    """Words outside ``known`` become the unknown word: one hashed set test per word, no join."""
-    return F.transform(words, lambda w: F.when(w.isin(known), w).otherwise(UNKNOWN_WORD))
+def small_enough(table: DataFrame, width: int = 8) -> bool:
+    """Whether the words of ``table (token, ...)`` and ``width`` bytes for each fit into a lookup."""
+    size = table.agg(F.sum(F.octet_length("token") + F.lit(width + 8))).first()[0]
+    return (size or 0) <= LOOKUP_BYTES
+
+
+def word_lookup(words: list[str], values: np.ndarray, kind: str):
+    """Arrow UDF: an array of words to their rows of ``values``, one after the other; the last row is that of unknown words.
+
+    All words of a batch are looked up at once. The function names nothing of this package, so workers need
+    only NumPy and Arrow.
+    """
+    known = pa.array(words, pa.string())
+
+    @F.arrow_udf(kind)
+    def run(arrays: pa.Array) -> pa.Array:
+        at = pc.fill_null(pc.index_in(arrays.flatten(), value_set=known), len(known)).to_numpy()
+        lengths = pc.fill_null(pc.list_value_length(arrays), 0).to_numpy()
+        width = values.shape[1]
+        offsets = np.concatenate([[0], np.cumsum(lengths)]) * width
+        return pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(values[at].ravel()))
+
+    return run
 
 
 def unknown_rewritten(
     df: DataFrame, vocabulary: DataFrame, text: str = "abstract", out: str = "rewritten"
 ) -> DataFrame:
     """Texts as vocabulary words joined by blanks, unknown ones replaced."""
-    known = known_words(vocabulary)
-    words = replace_unknown(vocabulary_words(F.col(text)), known)
-    return df.withColumn(out, F.array_join(words, " "))
+    words = vocabulary_words(F.col(text))
+    known = [r["token"] for r in vocabulary.select("token").collect()] if small_enough(vocabulary) else None
+    if known is not None:
+        flags = word_lookup(known, np.array([[1]] * len(known) + [[0]], "int32"), "array<int>")
+        df = df.withColumn("_words", words).withColumn("_known", flags(F.col("_words")))
+        kept = F.zip_with("_words", "_known", lambda w, k: F.when(k == 1, w).otherwise(UNKNOWN_WORD))
+        return df.withColumn(out, F.array_join(kept, " ")).drop("_words", "_known")
+    # a table of any size: words meet it by a shuffle and come back in order
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    at = rows.select("_row", F.posexplode(words).alias("_at", "token"))
+    found = at.join(vocabulary.select("token", F.lit(True).alias("_is")), "token", "left")
+    word = F.when(F.col("_is"), F.col("token")).otherwise(UNKNOWN_WORD).alias("_word")
+    texts = found.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_at", word))).alias("_l"))
+    joined = rows.join(texts, "_row", "left")
+    text = F.coalesce(F.array_join(F.transform("_l", lambda x: x["_word"]), " "), F.lit(""))
+    return joined.withColumn(out, text).drop("_row", "_l")
 
 
 def bounded(table: DataFrame, max_rows: int) -> DataFrame:
@@ -127,11 +162,22 @@ def _lookup(rows: DataFrame, table: DataFrame, value: str, default: Column) -> D
     return rows
 
 
-def encode_words(
-    candidates: DataFrame, vocabulary: DataFrame, max_features: int = MAX_FEATURES
-) -> DataFrame:
+def _four_words() -> Column:
+    """Both left and both right words; a row without a candidate has four that no table knows."""
+    none = F.array(*[F.lit(None).cast("string")] * 4)
+    return F.coalesce(F.concat("left_word", "right_word"), none)
+
+
+def encode_words(candidates: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Adds ``left_ids`` and ``right_ids``; words outside the vocabulary get ``UNKNOWN_ID``."""
-    table = bounded(vocabulary.select("token", "id"), max_features)
+    table = vocabulary.select("token", "id")
+    if small_enough(table):
+        pairs = table.collect()
+        ids = np.array([[r["id"]] for r in pairs] + [[UNKNOWN_ID]], "int32")
+        found = word_lookup([r["token"] for r in pairs], ids, "array<int>")(_four_words())
+        rows = candidates.withColumn("_ids", found)
+        left, right = F.slice("_ids", 1, 2), F.slice("_ids", 3, 2)
+        return rows.withColumn("left_ids", left).withColumn("right_ids", right).drop("_ids")
     rows = _lookup(candidates, table, "id", F.lit(UNKNOWN_ID))
     names = [f"_{s}_{k}_id" for s in ("left", "right") for k in (0, 1)]
     return (
@@ -141,14 +187,20 @@ def encode_words(
     )
 
 
-def embed_words(
-    candidates: DataFrame, vectors: DataFrame, dim: int, max_features: int = MAX_FEATURES
-) -> DataFrame:
+def embed_words(candidates: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     """Adds ``left_vec`` and ``right_vec``, the vectors of both words one after the other.
 
     Unknown words get zeros.
     """
-    table = bounded(vectors.select("token", "vec"), max_features)
+    table = vectors.select("token", "vec")
+    if small_enough(table, 8 * dim):
+        pairs = table.collect()
+        values = np.zeros((len(pairs) + 1, dim))
+        values[:-1] = np.array([r["vec"] for r in pairs], "float64").reshape(-1, dim)
+        found = word_lookup([r["token"] for r in pairs], values, "array<double>")(_four_words())
+        rows = candidates.withColumn("_vec", found)
+        left, right = F.slice("_vec", 1, 2 * dim), F.slice("_vec", 2 * dim + 1, 2 * dim)
+        return rows.withColumn("left_vec", left).withColumn("right_vec", right).drop("_vec")
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
     rows = _lookup(candidates, table, "vec", zeros)
     names = [f"_{s}_{k}_vec" for s in ("left", "right") for k in (0, 1)]

@@ -6,10 +6,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialnum.operators.classifier import CandidateModel, fit_classifier, prepare_vectors
+from trialnum.operators.candidates import build_candidates
+from trialnum.operators.classifier import CandidateModel, fit_classifier, fold_scorer, prepare_vectors
+from trialnum.operators.evaluate import evaluate_exact
 from trialnum.operators.labels import labelled_candidates
 from trialnum.operators.numbering import assign_folds
-from trialnum.plans.extraction import extract
+from trialnum.operators.scoring import KEEP_THRESHOLD, REPORT_THRESHOLD
+from trialnum.plans.extraction import best_numbers, extract
 
 
 def train(
@@ -49,6 +52,11 @@ def pretrain(documents: DataFrame, holdout: float = 0.1, seed: int = 0, **option
     return train(documents.filter(bucket >= limit), seed=seed, **options), documents.filter(bucket < limit)
 
 
+def holdout_metrics(model: CandidateModel, held_out: DataFrame, **text_options) -> DataFrame:
+    """Exact-match metrics of a model on documents that it was not trained on."""
+    return evaluate_exact(held_out.select("pmid", "tt_sample_size"), extract(held_out, model, **text_options))
+
+
 def gold_with_folds(documents: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     """``(pmid, tt_sample_size, fold_id)``."""
     return assign_folds(documents, k=k, seed=seed).select("pmid", "tt_sample_size", "fold_id")
@@ -79,18 +87,16 @@ def cross_validate(
     shared = pretrained.vectors if pretrained is not None else None
     if shared is None and not vocabulary_per_fold:
         shared = prepare_vectors(documents, dim)
-    parts = []
+    models = []
     for fold in range(k):
         vectors = shared
         if vectors is None:
             vectors = prepare_vectors(folded.filter(F.col("fold_id") != fold), dim)
-        model = fit_classifier(
-            rows.filter(F.col("fold_id") != fold), vectors, dim, seed=seed, **options
-        )
-        test = folded.filter(F.col("fold_id") == fold)
-        parts.append(extract(test, model, **text_options).withColumn("fold_id", F.lit(fold)))
+        others = rows.filter(F.col("fold_id") != fold)
+        models.append(fit_classifier(others, vectors, dim, seed=seed, **options))
+    scorer = fold_scorer(models)
     rows.unpersist()
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    # one pass over the texts, whatever the number of folds
+    docs = build_candidates(folded.select("pmid", "abstract", "fold_id"), **text_options)
+    docs = docs.withColumn("_conf", scorer(F.col("fold_id"), F.col("candidates")))
+    return best_numbers(docs, KEEP_THRESHOLD, REPORT_THRESHOLD, "fold_id")
