@@ -76,3 +76,10 @@ def test_pack_equals_whole_text_encoding(spark, small):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], DOCS), PATH).count() == 0
+
+
+def test_a_small_cache_changes_nothing(monkeypatch):
+    texts = ["one two, three", "four five six. seven", "one two eight", None] * 40
+    want = list(packing.WordEncoder(PATH).encode(texts))
+    monkeypatch.setattr(packing, "CACHE", 6)
+    assert list(packing.WordEncoder(PATH).encode(texts)) == want

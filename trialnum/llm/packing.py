@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,8 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, new: list[bytes]) -> None:
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
+        if len(self.known) + len(new) > CACHE:  # frequent words came first
+            self.known = dict(islice(self.known.items(), CACHE // 2))
         parts = list(map(PLAIN.fullmatch, new))
         for w in (w for w, m in zip(new, parts, strict=True) if not m):
             self.known[w] = self.ids(w.decode())
