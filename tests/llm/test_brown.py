@@ -72,3 +72,30 @@ def test_perplexity_of_held_out_documents(spark):
     n = sum(r.n_tokens for r in rows)
     model, base = (10 ** (-sum(x) / n) for x in ([r.score for r in rows], [r.base_score for r in rows]))
     assert model < 0.6 * base
+
+
+def test_every_word_gets_its_own_class(spark):
+    """Words far beyond `single` whose endings are shared: only their neighbours tell the two kinds apart."""
+    rng = np.random.default_rng(4)
+    names = [[f"{k}{i:03d}{'xyz'}" for i in range(150)] for k in "pq"]
+    texts = [" ".join(names[j % 2][rng.integers(150)] for j in range(60)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = brown.Words(np.array([brown.xxhash.xxh64_intdigest(w.encode(), seed=42) for k in names for w in k], np.uint64).view(np.int64), 4)
+    hashed = spark.createDataFrame([(names[0][0].encode(),)], "w binary").selectExpr("xxhash64(w) AS h").first().h
+    assert words.hashes[words.numbers([names[0][0].encode()])[0]] == hashed
+    table = brown.word_pairs(df, spark.sparkContext.broadcast(words), words.size, 3)
+    start = np.random.default_rng(1).integers(0, 3, words.size)
+    of, g = brown.cluster_words(table, start, 3, least=0.0)
+    counts = np.zeros((words.size, words.size))
+    for t in texts:
+        u = words.numbers(brown.tokens(t))
+        np.add.at(counts, (np.concatenate([u[-1:], u[:-1]]), u), 1)
+    member = np.eye(3)[of]
+    assert np.array_equal(g, member.T @ counts @ member)
+    assert brown.class_likelihood(g) > likelihood(counts, start, 3) + 1e3
+    p, q = (set(of[words.numbers([w.encode() for w in k])].tolist()) for k in names)
+    assert not p & q
+    rows = brown.score_texts(df, kept=50, single=10, buckets=4, classes=4).collect()
+    held = [r for r in rows if r.held_out]
+    n = sum(r.n_tokens for r in held)
+    assert 10 ** (-sum(r.score for r in held) / n) < 0.6 * 10 ** (-sum(r.base_score for r in held) / n)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from trialnum.llm.shared import materialize, text_bytes
 END = b""  # the token after a text's last word, and the state before its first
 HELD = 500_000  # distinct words that a task counts before it passes them on
 BANDS = 16  # bands of counts to a factor of two
+PAIRS = 4_000_000  # pairs of words that a task holds before it passes them on
+SLICE = 100_000  # entries of words whose moves are weighed at once
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -153,6 +156,196 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     return of
 
 
+class Words:
+    """Numbers of all clustered words, by the rank of their 64-bit hash; all other words are numbered by their ending."""
+
+    def __init__(self, hashes: np.ndarray, buckets: int):
+        self.hashes, self.buckets = np.unique(hashes), buckets
+        self.size = len(self.hashes) + buckets
+        self.held: dict[bytes, int] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"held": {}}
+
+    def numbers(self, ws: list[bytes]) -> np.ndarray:
+        new = [w for w in set(ws) if w not in self.held]
+        if len(self.held) + len(new) > HELD:
+            self.held, new = {}, list(set(ws))
+        if new:
+            h = np.array([xxhash.xxh64_intdigest(w, seed=42) for w in new], np.uint64).view(np.int64)
+            at = np.searchsorted(self.hashes, h)
+            known = np.zeros(len(new), bool)
+            inside = at < len(self.hashes)
+            known[inside] = self.hashes[at[inside]] == h[inside]
+            ends = len(self.hashes) + np.array([bucket(w, self.buckets) for w in new], np.int64)
+            self.held.update(zip(new, np.where(known, at, ends).tolist(), strict=True))
+        return np.fromiter(map(self.held.__getitem__, ws), np.int64, len(ws))
+
+
+def _packed(code: np.ndarray, n: np.ndarray) -> bytes:
+    return pa.compress(np.concatenate([np.diff(code, prepend=0), n]).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(count: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(pa.decompress(blob, count * 16, "zstd", asbytes=True), np.int64)
+    return np.cumsum(both[:count]), both[count:]
+
+
+def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    return code[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def word_pairs(texts: DataFrame, words, size: int, parts: int) -> DataFrame:
+    """(count, before, after_count, after): each word's neighbours before and after it, packed by ranges of words."""
+
+    def batch_of(rows: list[tuple], kinds: tuple, names: list[str]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    def out(codes: list[np.ndarray]) -> pa.RecordBatch:
+        code, n = np.unique(np.concatenate(codes or [np.zeros(0, np.int64)]), return_counts=True)
+        rows = []
+        for side, own in ((0, code), (1, code % size * size + code // size)):
+            own, k = _summed(own, n)
+            ends = np.searchsorted(own, -(-np.arange(parts + 1) * size // parts) * size)
+            rows += [(p, side, int(z - a), _packed(own[a:z], k[a:z])) for p, (a, z) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if a < z]
+        return batch_of(rows, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), ["part", "side", "count", "pairs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, held = [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                u = words.value.numbers(tokens(text))
+                codes.append(u * size + np.concatenate([u[-1:], u[:-1]]))
+                held += len(u)
+                if held > PAIRS:
+                    yield out(codes)
+                    codes, held = [], 0
+        yield out(codes)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, list] = {}
+        for batch in batches:
+            for p, side, count, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found.setdefault((p, side), []).append((count, blob))
+        for p in sorted({p for p, _ in found}):
+            row: tuple = ()
+            for side in (0, 1):
+                code, n = _summed(*(np.concatenate(x) for x in zip(*[_unpacked(*b) for b in found.pop((p, side))], strict=True)))
+                row += (len(code), _packed(code, n))
+            yield batch_of([row], (pa.int64(), pa.binary()) * 2, ["count", "before", "after_count", "after"])
+
+    packed = texts.select("text").mapInArrow(run, "part int, side int, count long, pairs binary")
+    return materialize(packed.repartition(parts, "part").mapInArrow(merge, "count long, before binary, after_count long, after binary"))
+
+
+def class_pairs(pairs: DataFrame, of, size: int, classes: int) -> np.ndarray:
+    """How often class v follows class u."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = np.zeros(classes * classes)
+        for batch in batches:
+            for count, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                code, n = _unpacked(count, blob)
+                g += np.bincount(of.value[code % size].astype(np.int64) * classes + of.value[code // size], n, classes * classes)
+        at = np.flatnonzero(g)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(g[at].astype(np.int64))], names=["pair", "n"])
+
+    t = pairs.select("count", "before").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(classes * classes)
+    out[t.column("pair").to_numpy()] = t.column("n").to_numpy()
+    return out.reshape(classes, classes)
+
+
+def class_likelihood(g: np.ndarray) -> float:
+    return float(_f(g).sum() - _f(g.sum(1)).sum() - _f(g.sum(0)).sum())
+
+
+def move_gains(sides: dict[int, tuple[np.ndarray, np.ndarray]], of: np.ndarray, g: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, class, gain): the best class of each word that another class suits better, all other words staying."""
+    classes = len(g)
+    ws = np.unique(np.concatenate([code // size for code, _ in sides.values()]))
+    a = of[ws].astype(np.int64)
+    gain = np.zeros((len(ws), classes))
+    for side, (code, n) in sides.items():
+        at = np.searchsorted(ws, code // size)
+        key, n = _summed(at * classes + of[code % size], n)
+        at, c, n = key // classes, key % classes, n.astype(float)
+        cells = g if side == 0 else g.T  # by class of the neighbour, class of the word
+        own = a[at]
+        ends = np.searchsorted(at, np.arange(len(ws) + 1))
+        cut = 0
+        while cut < len(ws):  # whole words, about SLICE entries
+            to = max(cut + 1, int(np.searchsorted(ends, ends[cut] + SLICE, "right")) - 1)
+            x, z = ends[cut], ends[to]
+            if x < z:
+                row = cells[c[x:z]]
+                grown = _f(row + n[x:z, None]) - _f(row)
+                mine = row[np.arange(z - x), own[x:z]]
+                grown[np.arange(z - x), own[x:z]] = _f(mine) - _f(np.maximum(mine - n[x:z], 0))
+                first = np.flatnonzero(np.diff(at[x:z], prepend=-1))
+                gain[at[x:z][first]] += np.add.reduceat(grown, first)
+            cut = to
+        k = np.bincount(at, n, len(ws))
+        total = cells.sum(0)
+        margin = _f(total + k[:, None]) - _f(total)
+        margin[np.arange(len(ws)), a] = _f(total[a]) - _f(np.maximum(total[a] - k, 0))
+        gain -= margin
+    gain -= gain[np.arange(len(ws)), a][:, None]
+    best = gain.argmax(1)
+    more = gain[np.arange(len(ws)), best]
+    up = more > 1e-6
+    return ws[up], best[up], more[up]
+
+
+def word_moves(pairs: DataFrame, of, g, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`move_gains` of all words, weighed in tasks against the class pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                count, before, after_count, after = (c[k].as_py() for c in batch.columns)
+                w, c, gain = move_gains({0: _unpacked(count, before), 1: _unpacked(after_count, after)}, of.value, g.value, size)
+                yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int32)), pa.array(c.astype(np.int16)), pa.array(gain.astype(np.float32))], names=["word", "class", "gain"])
+
+    t = pairs.mapInArrow(run, "word int, class short, gain float").toArrow()
+    return t.column("word").to_numpy(), t.column("class").to_numpy(), t.column("gain").to_numpy()
+
+
+def cluster_words(pairs: DataFrame, of: np.ndarray, classes: int, least: float = 0.002) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all words, and the class pairs, by rounds of moves until they gain no more.
+
+    In each round all words find their best move by themselves. Moves that hinder each other are told by the
+    likelihood: one that does not gain takes back all but the better half of its moves. A round that gains less than
+    the part `least` of all gained, or has no move left, is the last.
+    """
+    context = pairs.sparkSession.sparkContext
+    size, kind = len(of), np.uint8 if classes <= 256 else np.int32
+    of = of.astype(kind)
+    sent = context.broadcast(of)
+    g = class_pairs(pairs, sent, size, classes)
+    now = begun = class_likelihood(g)
+    while True:
+        w, c, gain = word_moves(pairs, sent, context.broadcast(g), size)
+        order = np.lexsort((w, -gain))
+        step = 0.0
+        while len(order):
+            new = of.copy()
+            new[w[order]] = c[order]
+            try_sent = context.broadcast(new)
+            h = class_pairs(pairs, try_sent, size, classes)
+            if (step := class_likelihood(h) - now) > 0:
+                of, sent, g, now = new, try_sent, h, now + step
+                break
+            try_sent.unpersist()
+            order = order[: len(order) // 2]
+        if not len(order) or step < least * (now - begun):
+            return of.astype(np.int64), g
+
+
 class ClassModel:
     """log10 P(text) = sum of log10 P(class | class before) and log10 P(word | class).
 
@@ -161,19 +354,21 @@ class ClassModel:
     word of it that training does not know.
     """
 
-    def __init__(self, units: Units, of: np.ndarray, pairs: np.ndarray, classes: int, distinct: np.ndarray, discount: float, total: int, types: int):
-        self.units, self.of, self.discount = units, of, discount
-        member = np.zeros((len(of), classes), np.int64)
-        member[np.arange(len(of)), of] = 1
-        g = (member.T @ pairs @ member).astype(float)
+    def __init__(self, units: Units, of: np.ndarray, pairs: np.ndarray, classes: int, distinct: np.ndarray, discount: float, total: int, types: int, words: Words | None = None):
+        self.units, self.of, self.discount, self.words = units, of, discount, words
+        if words is None:
+            member = np.zeros((len(of), classes), np.int64)
+            member[np.arange(len(of)), of] = 1
+            pairs = member.T @ pairs @ member
+        g = pairs.astype(float)  # of the classes already, where there are `words`
         n, kinds = g.sum(1, keepdims=True), (g > 0).sum(1, keepdims=True)
         own = (g.sum(0) + 1) / (g.sum() + classes)
         with np.errstate(invalid="ignore", divide="ignore"):
             self.step = np.log10(np.where(n > 0, (g + kinds * own) / (n + kinds), own))
-        known = np.maximum(member.T @ distinct, 1)
+        known = np.maximum(np.bincount(of, distinct, classes), 1)
         tokens_of = np.maximum(g.sum(0), 1)
-        self.size = np.log10(tokens_of)[of]  # of the class, by unit
-        self.unknown = np.log10(discount * known)[of]
+        self.size = np.log10(tokens_of)  # of the class
+        self.unknown = np.log10(discount * known)
         self.emit = np.log10(units.counts - discount) if len(units.counts) else np.zeros(0)
         self.base = np.log10(units.counts + 1.0)
         self.floor = float(np.log10(total + types + 1))
@@ -181,21 +376,22 @@ class ClassModel:
     def start(self, text: str | None) -> tuple[int, int, float, float, list[bytes], list[int]]:
         """Tokens, known ones so far, base and class score so far, and the words whose counts are still to come."""
         at, u, others = self.units.encode(text)
-        c = self.of[u]
+        c = self.of[u if self.words is None else self.words.numbers(tokens(text))]
         kept = at[at >= 0]
-        score = self.step[np.concatenate([c[-1:], c[:-1]]), c].sum() - self.size[u].sum() + self.emit[kept].sum()
+        score = self.step[np.concatenate([c[-1:], c[:-1]]), c].sum() - self.size[c].sum() + self.emit[kept].sum()
         rest = Counter(others)
         return len(at), len(kept), float(self.base[kept].sum() - len(at) * self.floor), float(score), list(rest), list(rest.values())
 
 
 def score_texts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: int = 200_000, single: int = 512, buckets: int = 512, classes: int = 64,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: int = 200_000, single: int = 512, buckets: int = 512, classes: int = 64, often: int = 5,
 ) -> DataFrame:
     """One row per document: (id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity).
 
-    All training documents are counted: words into a table that grows with them, and pairs of `single` + `buckets` units
-    into a matrix of that fixed size, which exchange clustering on the driver sorts into `classes`. At most `kept`
-    words, those of the highest counts, are sent to the tasks; the counts of all others are joined
+    All training documents are counted: words, and each word's neighbours, into tables that grow with them. Every word that is
+    there `often` times or more is sorted into one of `classes` by Spark rounds of exchange moves; rarer words share the class of their ending,
+    which moves too. The rounds start from the classes of `single` + `buckets` units, clustered on the driver. Nine bytes
+    for each clustered word are sent to the tasks. At most `kept` words with their counts, those of the highest counts, are sent to the tasks; the counts of all others are joined
     to the documents' remaining words, which are few rows each by the same choice.
 
     Null texts are empty: one end token. Null ids are training rows. With nothing to learn from every token is
@@ -223,12 +419,19 @@ def score_texts(
     pairs = unit_pairs(training, shared, units.size)
     of = exchange(pairs, classes)
     rare = counts.where(F.col("band") < edge)
-    distinct = np.zeros(units.size, np.int64)
-    for b, n in rare.groupBy(bucket_column(F.col("word"), buckets)).count().collect():
-        distinct[units.single + b] += n
-    np.add.at(distinct, units.unit, 1)
-    model = spark.sparkContext.broadcast(ClassModel(units, of, pairs, classes, distinct, discount, total, types))
-    unknown = F.array(*[F.lit(float(x)) for x in model.value.unknown[units.single :]])
+    hashes = counts.where(F.col("n") >= often).select(F.xxhash64("word").alias("h"), bucket_column(F.col("word"), buckets).cast("int").alias("b")).toArrow()
+    words = Words(hashes.column("h").to_numpy(), buckets)
+    start = np.concatenate([np.zeros(len(words.hashes), np.int64), of[units.single :]])
+    start[np.searchsorted(words.hashes, hashes.column("h").to_numpy())] = of[units.single + hashes.column("b").to_numpy().astype(np.int64)]
+    start[words.numbers([w for w, n in top[: units.single] if n >= often])] = of[[i for i, (_, n) in enumerate(top[: units.single]) if n >= often]]
+    word_table = word_pairs(training, spark.sparkContext.broadcast(words), words.size, max(12, total // 4_000_000))
+    of, pairs = cluster_words(word_table, start, classes)
+    distinct = np.ones(words.size, np.int64)
+    distinct[len(words.hashes) :] = 0
+    for b, n in counts.where(F.col("n") < often).groupBy(bucket_column(F.col("word"), buckets)).count().collect():
+        distinct[len(words.hashes) + b] += n
+    model = spark.sparkContext.broadcast(ClassModel(units, of, pairs, classes, distinct, discount, total, types, words))
+    unknown = F.array(*[F.lit(float(x)) for x in model.value.unknown[of[len(words.hashes) :]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
