@@ -83,3 +83,14 @@ def test_toxic_held_out_documents(spark):
     assert {r.predicted for r in rows if r.id is None or r.id >= 10**7} == {0}
     assert toxicity.toxicity_scores(docs.where("false"), labels).count() == 0
     assert {r.score for r in toxicity.toxicity_scores(extra, labels.where("false")).collect()} == {0.5}
+
+
+def test_terms_that_all_examples_have_and_ids_with_many_texts(spark):
+    docs = spark.createDataFrame([(i, f"same word{j}") for i in range(30) for j in range(40 if i < 2 else 1)] + [(0, "same word0")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    assert toxicity.toxicity_scores(docs, labels).count() == docs.count()
+    one = labels.where("doc_id = 1")
+    assert toxicity.toxicity_scores(docs.where("doc_id = 1").limit(1), one).count() == 1
+    rows, share = toxicity.labelled_sample(docs, labels, "toxic", 15, "doc_id", "text")
+    found = rows.collect()
+    assert all(sum(r.label == k for r in found) == 15 for k in (0, 1)) and len(set(found)) == 30 and min(share.values()) > 1

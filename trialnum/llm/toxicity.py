@@ -131,7 +131,7 @@ class Neighbours:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str, text_col: str) -> tuple[DataFrame, dict[int, float]]:
-    """(id, label, text) of documents of at most `most` labelled ids of each class, and what one of them stands for."""
+    """(id, label, text) of at most `most` distinct documents of as many labelled ids of each class, and what one of them stands for."""
     of_id = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("label")).dropna()
     of_id = of_id.where(F.col("label").isin(0, 1) & ~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     share, sample = {0: 1.0, 1: 1.0}, None
@@ -141,7 +141,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, i
         some = of_id.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(most)
         sample = some if sample is None else sample.unionByName(some)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.join(F.broadcast(sample), "id"), share
+    rows = rows.join(F.broadcast(sample), "id").distinct()
+    for k, n in rows.groupBy("label").count().collect():
+        if n > most:  # ids with several texts
+            share[k] *= n / most
+            some = rows.where(F.col("label") == k).orderBy(F.xxhash64("text", "id"), "id", "text").limit(most)
+            rows = rows.where(F.col("label") != k).unionByName(some)
+    return rows, share
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, most: int, vocabulary: int, least: float, k: int, id_col: str, text_col: str) -> Neighbours:
@@ -160,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, most: int, vocabulary: i
     df = found.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     gap = a * (n0 - b) - b * (n1 - a)
-    chi = F.lit(float(n)) * gap * gap / ((a + b) * F.lit(float(max(n1, 1))) * F.lit(float(max(n0, 1))) * (n - a - b))
+    chi = F.try_divide(F.lit(float(n)) * gap * gap, (a + b) * F.lit(float(max(n1, 1))) * F.lit(float(max(n0, 1))) * (n - a - b))  # null for what all have
     chosen = df.withColumn("chi", chi).where((F.col("chi") >= least) & (a + b >= 3)).orderBy(F.desc("chi"), "term").limit(vocabulary).collect()
     idf = {r.term: float(np.log((1 + n) / (1 + r.a + r.b)) + 1) for r in chosen}
     names = list(idf)
@@ -178,7 +184,7 @@ def toxicity_scores(
     """One row per document: (id, held_out, score, predicted, evidence), score being the chance of label 1.
 
     Examples are the documents of at most `most` labelled ids of each class outside the held-out
-    ones. Their terms (words, and starts of words) whose chi-squared with the label is at least `least`,
+    ones, `most` distinct ones at most by hash where ids have several texts. Their terms (words, and starts of words) whose chi-squared with the label is at least `least`,
     at most `vocabulary` of them, span the TF-IDF space; every whole text is then a query of it.
     The index is bounded by `most` and `vocabulary`, and is sent to the tasks.
 
