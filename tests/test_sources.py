@@ -1,3 +1,9 @@
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from trialnum.operators.candidates import build_candidates
+from trialnum.operators.scoring import best_in_row
 from trialnum.plans.annotation import annotation_tables
 from trialnum.sources import documents as d
 from trialnum.sources import standoff
@@ -14,7 +20,7 @@ def test_csv_with_quotes_lines_and_index(spark, tmp_path):
 
 
 def test_round_trips(spark, tmp_path):
-    pred = spark.createDataFrame([(1, 50, 0.5), (2, None, None)], d.PREDICTIONS)
+    pred = spark.createDataFrame([(1, Decimal(50), 0.5), (2, None, None), (3, Decimal(10**25 + 1), 0.25)], d.PREDICTIONS)
     d.write_csv(pred, str(tmp_path / "csv"))
     d.write_parquet(pred, str(tmp_path / "pq"))
     for got in (
@@ -25,7 +31,7 @@ def test_round_trips(spark, tmp_path):
     text = spark.createDataFrame([(1, 'a "b"\n, c')], d.DOCUMENTS)
     d.write_csv(text, str(tmp_path / "text"))
     assert d.read_csv(spark, str(tmp_path / "text"), d.DOCUMENTS).collect() == text.collect()
-    loose = spark.createDataFrame([(1, None, [5, 6]), (2, 3, [])], d.LOOSE)
+    loose = spark.createDataFrame([(1, None, [Decimal(5), Decimal(10**30)]), (2, Decimal(3), [])], d.LOOSE)
     d.write_parquet(loose, str(tmp_path / "loose"))
     back = d.read_parquet(spark, str(tmp_path / "loose"), d.LOOSE)
     assert sorted(map(str, back.collect())) == sorted(map(str, loose.collect()))
@@ -82,3 +88,25 @@ def test_empty_annotation_file_is_known_from_the_documents(spark, tmp_path):
     documents = spark.createDataFrame([(100,), (200,)], "pmid long")
     tables = annotation_tables(spark, str(tmp_path), documents)
     assert {r["pmid"]: r["tt_sample_size"] for r in tables["gold"].collect()} == {"100": 50, "200": None}
+
+
+def test_what_the_engine_writes_it_reads(spark, tmp_path):
+    docs = spark.createDataFrame([(1, f"{10**24 + 7} patients"), (2, "none"), (3, "We saw 12.")], d.DOCUMENTS)
+    found = best_in_row(build_candidates(docs, features=False), lambda c: F.lit(0.9))
+    d.write_parquet(found, str(tmp_path / "pred"))
+    d.write_csv(found, str(tmp_path / "pred_csv"))
+    want = {1: 10**24 + 7, 2: None, 3: 12}
+    for got in (d.read_parquet(spark, str(tmp_path / "pred"), d.PREDICTIONS), d.read_csv(spark, str(tmp_path / "pred_csv"), d.PREDICTIONS)):
+        assert {r["pmid"]: r["pred_ss"] for r in got.collect()} == want
+    folder = tmp_path / "ann"
+    folder.mkdir()
+    (folder / "1-7.ann").write_text(f"T1\tTotal_sample_size 3 5\t{10**24 + 7}\nT2\tPoss_total_sample 9 11\t40\n")
+    tables = annotation_tables(spark, str(folder))
+    for name in ("loose", "gold"):
+        d.write_parquet(tables[name], str(tmp_path / name))
+    loose = d.read_parquet(spark, str(tmp_path / "loose"), d.LOOSE).first()
+    assert tuple(loose) == (7, 10**24 + 7, [40])
+    assert d.read_parquet(spark, str(tmp_path / "gold"), "pmid bigint, tt_sample_size decimal(38,0)").first()[1] == 10**24 + 7
+    wide = spark.createDataFrame([(5, 9)], "pmid bigint, tt_sample_size bigint").withColumn("fold_id", F.lit(1))
+    d.write_parquet(wide, str(tmp_path / "narrow"))
+    assert d.read_parquet(spark, str(tmp_path / "narrow"), d.GOLD).first()["tt_sample_size"] == 9

@@ -230,9 +230,9 @@ def _confidence_function(model: CandidateModel, slice_rows: int = 8192):
     return confidences
 
 
-def arrow_scorer(model: CandidateModel):
-    """Arrow UDF: a ``candidates`` array to the array of its confidences."""
-    confidences = _confidence_function(model)
+def arrow_scorer(model: CandidateModel, slice_rows: int = 8192):
+    """Arrow UDF: a ``candidates`` array to the array of its confidences, ``slice_rows`` candidates at a time."""
+    confidences = _confidence_function(model, slice_rows)
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def run(candidates: pa.Array) -> pa.Array:

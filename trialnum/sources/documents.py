@@ -2,31 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+# numbers of texts may have up to 38 digits, as extraction and annotations give them
 DOCUMENTS = "pmid bigint, abstract string"
-LABELLED = "pmid bigint, abstract string, tt_sample_size bigint"
-PREDICTIONS = "pmid bigint, pred_ss bigint, conf double"
-GOLD = "pmid bigint, tt_sample_size bigint, fold_id int"
+LABELLED = "pmid bigint, abstract string, tt_sample_size decimal(38,0)"
+PREDICTIONS = "pmid bigint, pred_ss decimal(38,0), conf double"
+GOLD = "pmid bigint, tt_sample_size decimal(38,0), fold_id int"
 VOCABULARY = "token string, id int, cnt bigint"
-LOOSE = "pmid bigint, total bigint, poss array<bigint>"
+LOOSE = "pmid bigint, total decimal(38,0), poss array<decimal(38,0)>"
+
+
+def _whole(text: Column, kind: T.DataType) -> Column:
+    """A whole number from its text, exact at any length the type holds; a fraction is cut off.
+
+    Tables with gaps often write ``50.0``, and large numbers as ``1e+20``.
+    """
+    digits = F.regexp_replace(F.trim(text), r"\.[0-9]*$", "")
+    return F.coalesce(digits.try_cast(kind), text.try_cast("double").try_cast(kind))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, index: bool = False) -> DataFrame:
     """CSV with a header and quoted, possibly multi-line text.
 
-    ``index`` reads and drops an unnamed leading index column. Whole numbers may
-    be written with a decimal point (``50.0``), as tables with gaps often are.
+    ``index`` reads and drops an unnamed leading index column. Whole numbers are read as text and
+    cast, so that they keep all digits and may carry a decimal point.
     """
-    fields = [f.strip() for f in schema.split(",")]
-    raw = [(f.split(" ")[0], f.split(" ")[1]) for f in fields]
-    # numbers that may carry a decimal point are read as double and cast
-    loose = ["double" if kind in ("bigint", "int") and name != "pmid" else kind for name, kind in raw]
-    declared = ", ".join(f"{name} {kind}" for (name, _), kind in zip(raw, loose))
+    declared = T.StructType.fromDDL(schema)
+    whole = [f for f in declared if isinstance(f.dataType, (T.IntegralType, T.DecimalType))]
+    raw = T.StructType([T.StructField(f.name, T.StringType() if f in whole else f.dataType) for f in declared])
     if index:
-        declared = "_index string, " + declared
+        raw = T.StructType([T.StructField("_index", T.StringType()), *raw])
     df = (
-        spark.read.schema(declared)
+        spark.read.schema(raw)
         .option("header", True)
         .option("multiLine", True)
         .option("quote", '"')
@@ -34,11 +44,13 @@ def read_csv(spark: SparkSession, path: str, schema: str, index: bool = False) -
         .option("enforceSchema", True)
         .csv(path)
     )
-    return df.selectExpr(*[f"CAST({name} AS {kind}) AS {name}" for name, kind in raw])
+    return df.select(*[_whole(F.col(f.name), f.dataType).alias(f.name) if f in whole else f.name for f in declared])
 
 
 def read_parquet(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    """The declared columns in their declared types; narrower numbers of a file are widened."""
+    rows = spark.read.parquet(path)
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema)])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
