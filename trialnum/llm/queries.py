@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialnum.llm.brown import score_texts
+from trialnum.llm.damage import misspelt_words
 from trialnum.llm.exact_dedup import duplicate_classes
 from trialnum.llm.html_text import main_texts
 from trialnum.llm.language import identify_languages
@@ -17,6 +18,7 @@ from trialnum.llm.packing import pack
 from trialnum.llm.quality import quality_scores
 from trialnum.llm.search import top_k
 from trialnum.llm.simhash import near_duplicate_classes
+from trialnum.llm.spelling import variant_groups
 from trialnum.llm.toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +123,44 @@ def op3_search(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = top_k(docs, docs.where("doc_id % 100 = 0"), k=10)
     return found.select("query_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
+@query
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return variant_groups(misspelt_words(table(spark, folder, "documents")))
+
+
+# CRC-32 by its table; a word's near words share it without one point, or are it without one
+CRC = """
+crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8),
+  lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b::BIGINT)) AS crc_at)
+"""
+
+
+def crc_sql(text: str) -> str:
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(4294967295, list_reduce({octets}, lambda c, b: xor(c >> 8, crc_at[1 + (xor(c, b) & 255)]), 4294967295))"
+
+
+ORACLES["op11_spelling"] = rf"""
+WITH RECURSIVE {CRC},
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]{{7,}}')),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+h AS (SELECT run, c, {crc_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h
+  FROM (SELECT doc_id, run, count(*) AS c FROM r GROUP BY ALL), crc_table),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT c, CASE WHEN h % 31 = 0
+    THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, 2 + (h % length(run))::BIGINT) ELSE run END AS word FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM w),
+d AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM p),
+pairs AS (SELECT a.word, b.word AS near, b.n FROM d a JOIN d b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.rest = w.word
+  UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near, max(n) AS near_n FROM pairs GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form,
+  CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n FROM w LEFT JOIN best ON best.word = w.word),
+chain AS (SELECT word, word AS root, 0 AS steps FROM f
+  UNION ALL SELECT chain.word, f.form, steps + 1 FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f
+JOIN (SELECT word, arg_max(root, steps) AS root FROM chain GROUP BY word) c ON c.word = f.word
+"""
