@@ -31,3 +31,18 @@ def misspelt_words(docs: DataFrame, letters: str = "A-Za-z\\u00C0-\\u00FF", leas
     word = F.when(F.col("crc") % every == 0, without_point(F.col("run"), place)).otherwise(F.col("run"))
     words = runs.select(word.alias("word")).where(F.length("word") >= least)
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+
+
+def damaged_turns(conversations: DataFrame) -> DataFrame:
+    """``(conv_id, turn, role, text)`` with a quarter of the rows damaged, by the checksum of ``<conv_id>:<turn>`` mod 20.
+
+    0 drops the row, 1 empties its text, 2 takes ``.!?`` out of it, 3 repeats the row, 4 makes the role user. Null
+    id and turn count as one space in the checksum, null role and text become one space.
+    """
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = conversations.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"))
+    rows = rows.withColumn("_fault", crc_of(blank("conv_id"), blank("turn")) % 20).where("_fault <> 0")
+    text = F.when(F.col("_fault") == 1, "").when(F.col("_fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("_fault") == 4, "user").otherwise(F.col("role"))
+    copies = F.array_repeat(F.lit(1), F.when(F.col("_fault") == 3, 2).otherwise(1))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies)).drop("col")

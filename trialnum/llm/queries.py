@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialnum.llm.brown import score_texts
-from trialnum.llm.damage import misspelt_words
+from trialnum.llm.damage import damaged_turns, misspelt_words
+from trialnum.llm.dialogue import audit_conversations, repaired_digests
 from trialnum.llm.exact_dedup import duplicate_classes
 from trialnum.llm.html_text import main_texts
 from trialnum.llm.language import identify_languages
@@ -164,3 +165,58 @@ chain AS (SELECT word, word AS root, 0 AS steps FROM f
 SELECT f.word, form, root, n, n_near, form_n FROM f
 JOIN (SELECT word, arg_max(root, steps) AS root FROM chain GROUP BY word) c ON c.word = f.word
 """
+
+
+@query
+def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    turns = damaged_turns(conversations)
+    audits = audit_conversations(turns)
+    ids = conversations.select(F.col("conv_id").alias("id")).distinct()
+    every = ids.join(audits, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    none = F.col("audit").isNull()
+    counts = [F.when(none, 0).otherwise(F.col(c)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return repaired_digests(turns, every.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit")))
+
+
+ORACLES["op12_conversations"] = rf"""
+WITH RECURSIVE {CRC},
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fault FROM conversations, crc_table),
+d AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+  CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE fault <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM d),
+f AS (SELECT conv_id, turn, role, text, i, NOT regexp_matches(text, '[^ 	-]') AS blank,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+  NOT regexp_matches(text, '[.!?][ 	-]*\z') AS cut,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM o),
+r AS (SELECT *, blank OR again AS gone, cut AND NOT blank AND NOT again AS open FROM f),
+before(a, b, letters, lines, cost) AS (VALUES (0, 0, '', [], 0), (0, 2, 'I', ['user:'], 2), (0, 3, 'II', ['user:', 'assistant:'], 4),
+  (1, 1, '', [], 0), (1, 2, 'I', ['user:'], 2), (1, 3, 'II', ['user:', 'assistant:'], 4),
+  (2, 2, '', [], 0), (2, 3, 'I', ['assistant:'], 2), (3, 3, '', [], 0), (3, 2, 'I', ['user:'], 2)),
+edit(b, initial, letter, z, role, cost) AS (VALUES (0, 's', 'K', 1, NULL, 0), (0, 'u', 'K', 2, NULL, 0), (1, 'u', 'K', 2, NULL, 0), (3, 'u', 'K', 2, NULL, 0),
+  (2, 'a', 'K', 3, NULL, 0), (0, NULL, 'R', 2, 'user', 2), (1, NULL, 'R', 2, 'user', 2), (3, NULL, 'R', 2, 'user', 2), (2, NULL, 'R', 3, 'assistant', 2),
+  (0, NULL, 'D', 0, NULL, 3), (1, NULL, 'D', 1, NULL, 3), (2, NULL, 'D', 2, NULL, 3), (3, NULL, 'D', 3, NULL, 3)),
+move AS (SELECT a, z, initial, letter, role, letters || letter AS letters, lines, before.cost + edit.cost AS cost FROM before JOIN edit ON before.b = edit.b),
+dp AS (SELECT conv_id, 0::BIGINT AS i, 0 AS state, {{'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}} AS best FROM r WHERE i = 1
+  UNION ALL SELECT r.conv_id, r.i, move.z, min({{'cost': best.cost + move.cost + CASE WHEN open AND letter <> 'D' THEN 1 ELSE 0 END,
+    'audit': best.audit || letters, 'lines': list_concat(best.lines, move.lines::VARCHAR[],
+      CASE WHEN letter = 'D' THEN []::VARCHAR[] ELSE [coalesce(move.role, r.role) || ':' || text] END)}})
+  FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1 JOIN move ON move.a = dp.state
+    AND (letter = 'D' OR NOT gone) AND (initial IS NULL OR initial = left(r.role, 1))
+  GROUP BY r.conv_id, r.i, move.z),
+tail(state, letters, lines, cost) AS (VALUES (0, '', [], 0), (1, 'II', ['user:', 'assistant:'], 4), (2, 'I', ['assistant:'], 2), (3, '', [], 0)),
+ends AS (SELECT conv_id, min({{'cost': best.cost + tail.cost, 'audit': best.audit || letters, 'lines': list_concat(best.lines, tail.lines::VARCHAR[])}}) AS best
+  FROM dp JOIN tail ON tail.state = dp.state
+  WHERE EXISTS (SELECT 1 FROM (SELECT conv_id, max(i) AS n FROM r GROUP BY conv_id) m WHERE m.conv_id IS NOT DISTINCT FROM dp.conv_id AND m.n = dp.i)
+  GROUP BY conv_id),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+  count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (open) AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit,
+  sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM ids.conv_id
+LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
