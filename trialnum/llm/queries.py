@@ -14,6 +14,7 @@ from trialnum.llm.dialogue import audit_conversations, repaired_digests
 from trialnum.llm.exact_dedup import duplicate_classes
 from trialnum.llm.html_text import main_texts
 from trialnum.llm.language import identify_languages
+from trialnum.llm.licenses import scan_licenses
 from trialnum.llm.mixing import mix_sources
 from trialnum.llm.packing import pack
 from trialnum.llm.quality import quality_scores
@@ -187,9 +188,11 @@ d AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS rol
   CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
   unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM c WHERE fault <> 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM d),
-f AS (SELECT conv_id, turn, role, text, i, NOT regexp_matches(text, '[^ 	-]') AS blank,
+f AS (SELECT conv_id, turn, role, text, i, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
-  NOT regexp_matches(text, '[.!?][ 	-]*\z') AS cut,
+  NOT regexp_matches(text, '[.!?][ 	-
+]*\z') AS cut,
   lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM o),
 r AS (SELECT *, blank OR again AS gone, cut AND NOT blank AND NOT again AS open FROM f),
 before(a, b, letters, lines, cost) AS (VALUES (0, 0, '', [], 0), (0, 2, 'I', ['user:'], 2), (0, 3, 'II', ['user:', 'assistant:'], 4),
@@ -220,3 +223,12 @@ SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coal
 FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM ids.conv_id
 LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM ids.conv_id
 """
+
+
+BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+
+
+@query
+def op13_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_licenses(table(spark, folder, "documents"), BASE_PHRASES)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
