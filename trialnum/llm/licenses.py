@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialnum.llm.shared import arrow_schema
+
 LICENSE = "licen[sc]e"
 
 
@@ -263,13 +265,10 @@ def scan_licenses(docs: DataFrame, base: dict[str, str], id_col: str = "doc_id",
     is scanned whole and by itself: no shuffle, repeated ids give repeated rows, an empty table gives none.
     """
     schema = FOUND.format(id=docs.schema[id_col].dataType.simpleString())
-    ordered = rules(base)
+    ordered, arrow = rules(base), arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql import types as T
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        scanner, arrow = Scanner(ordered), to_arrow_schema(T.StructType.fromDDL(schema))
+        scanner = Scanner(ordered)
         for batch in batches:
             found = [{"id": i.as_py(), **scanner.scan(t.as_py())} for i, t in zip(batch["id"], batch["text"])]
             yield pa.RecordBatch.from_pylist(found, arrow)

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 HOT_KEYS = 1000  # a key with a thousandth of all rows or more is hot, so there are at most this many
 _own: dict[str, str] = {}
@@ -55,3 +58,8 @@ def words(text: Column) -> Column:
 def text_bytes(text: str | None) -> bytes:
     """UTF-8 of a text, null as the empty one."""
     return text.encode("utf-8", "replace") if text else b""
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow form of a schema, made on the driver for functions that run in tasks."""
+    return to_arrow_schema(T.StructType.fromDDL(ddl))
