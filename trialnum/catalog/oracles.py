@@ -324,6 +324,7 @@ SELECT pmid, idx, CAST(num AS VARCHAR) AS num FROM num WHERE num IS NOT NULL""",
     ),
     "number_stats": features(NORMAL, _doubles(["biggest", "looks_like_year", "repeated"])),
     "pair_sum": features(NORMAL, _doubles(["sum_of_two"])),
+    "pair_sum_spread": features(NORMAL, _doubles(["sum_of_two"]) + ", rank_prop"),
     "rank_prop": features(NORMAL, "rank_prop"),
     "features": features(NORMAL, "ll, l, rr, r, left_pos, right_pos, " + _doubles(feat.OTHER_FEATURES)),
     "features_documents": f"""WITH {DOCUMENTS}, {JOINED}, {RUNS}, {REBUILT}, {tokens('normal', 't')}, {FEATURES}

@@ -107,10 +107,11 @@ def _features(*names: str) -> list[Column]:
     return [F.get("other", F.lit(feat.OTHER_FEATURES.index(n))).alias(n) for n in names]
 
 
-def feature_query(source: Source, *names: str, words: bool = False, tags: bool = False) -> Query:
+def feature_query(source: Source, *names: str, words: bool = False, tags: bool = False, long_numbers: int | None = None) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
         extra = (_word_columns() if words else []) + ([F.col("left_pos"), F.col("right_pos")] if tags else [])
-        return _candidates(s, d, source).select("pmid", "idx", F.expr(NUM), *extra, *_features(*names))
+        rows = explode_candidates(build_candidates(source(s, d), long_numbers=long_numbers))
+        return rows.select("pmid", "idx", F.expr(NUM), *extra, *_features(*names))
 
     return run
 
@@ -447,6 +448,7 @@ QUERIES: dict[str, Query] = {
     "keyword_windows": feature_query(TRIALS, *KEYWORD_FEATURES),
     "number_stats": feature_query(TRIALS, "biggest", "looks_like_year", "repeated"),
     "pair_sum": feature_query(TRIALS, "sum_of_two"),
+    "pair_sum_spread": feature_query(TRIALS, "sum_of_two", "rank_prop", long_numbers=9),
     "rank_prop": feature_query(TRIALS, "rank_prop"),
     "features": feature_query(TRIALS, *feat.OTHER_FEATURES, words=True, tags=True),
     "features_documents": feature_query(DOCUMENTS, *feat.OTHER_FEATURES, words=True),

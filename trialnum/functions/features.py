@@ -2,12 +2,11 @@
 
 ``i`` is the 0-based token position, ``n`` the number of tokens. Every function
 reads the per-document arrays in place: no explode, no window, no shuffle. What a number
-is among its document's numbers is found for all of them at once, by ``number_flags``.
+is among its document's numbers is found for all of them at once, by ``number_sets``.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,59 +81,8 @@ def looks_like_year(num: Column) -> Column:
     return _flag(num.between(FIRST_YEAR, LAST_YEAR))
 
 
-NUMBER_FLAGS = "array<struct<biggest: double, sum_of_two: double, repeated: double, rank_prop: double>>"
-
-
-def number_flags():
-    """Arrow UDF: the whole numbers of a document, as written, to what each is among them.
-
-    ``biggest``: none is larger. ``sum_of_two``: it is the sum of two numbers at different positions.
-    ``repeated``: it stands there again. ``rank_prop``: share of the numbers that are strictly smaller.
-    Numbers of any length are exact. They are sorted once and looked up in that order; for the sums each
-    distinct number looks for its smaller parts only, as one search in the sorted list.
-    The function names nothing of this package, so workers need only NumPy and Arrow.
-    """
-
-    def flags(texts: list[str]) -> list[dict]:
-        import sys
-
-        import numpy as np
-
-        sys.set_int_max_str_digits(0)
-        ints = [int(t) for t in texts]
-        small = all(-(2**61) < x < 2**61 for x in ints)
-        values = np.array(ints, np.int64 if small else object)
-        ordered = np.sort(values)
-        distinct, times = np.unique(ordered, return_counts=True)
-        at = np.searchsorted(distinct, values)
-        sums = np.zeros(len(distinct), bool)
-        low, high = distinct[0], distinct[-1]
-        for k, total in enumerate(distinct.tolist()):
-            # the smaller part a with a < total - a <= high, so low or total - high <= a
-            first = int(np.searchsorted(distinct, max(low, total - high)))
-            last = int(np.searchsorted(distinct, -(-total // 2)))
-            if first < last:
-                other = total - distinct[first:last][::-1]
-                place = np.minimum(np.searchsorted(distinct, other), len(distinct) - 1)
-                sums[k] = bool((distinct[place] == other).any())
-            if not sums[k] and total % 2 == 0:
-                half = int(np.searchsorted(distinct, total // 2))
-                sums[k] = half < len(distinct) and distinct[half] == total // 2 and times[half] > 1
-        rank = np.searchsorted(ordered, values) / len(values)
-        columns = (values >= high, sums[at], times[at] > 1, rank)
-        names = ("biggest", "sum_of_two", "repeated", "rank_prop")
-        return [dict(zip(names, map(float, row))) for row in zip(*columns)]
-
-    @F.arrow_udf(NUMBER_FLAGS)
-    def run(numbers: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([(n, pa.float64()) for n in ("biggest", "sum_of_two", "repeated", "rank_prop")]))
-        return pa.array([flags(t) if t else [] for t in numbers.to_pylist()], kind)
-
-    return run
-
-
-def other_features(num: Column, around: Column, ahead: Column, flags: Column) -> Column:
-    """The ten numeric features, in ``OTHER_FEATURES`` order; ``flags`` as made by ``number_flags``."""
+def other_features(num: Column, around: Column, ahead: Column, flags: dict[str, Column]) -> Column:
+    """The ten numeric features, in ``OTHER_FEATURES`` order; ``flags`` as named by ``number_sets.FLAGS``."""
     return F.array(
         flags["biggest"],
         has_keyword(around, YEAR_WORDS),

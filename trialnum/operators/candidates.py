@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialnum.functions import features as feat
+from trialnum.functions import number_sets as sets
 from trialnum.functions.numbers import join_thousands, replace_number_words
 from trialnum.functions.tokens import (
     NUMBER,
@@ -83,10 +84,41 @@ def with_numbers(df: DataFrame) -> DataFrame:
     return fenced(df.withColumn("candidates", pairs), "candidates")
 
 
+def with_number_flags(df: DataFrame) -> DataFrame:
+    """Adds ``_flags`` along ``_written``: ``number_sets.FLAGS`` of each number, one after the other."""
+    # fenced on both sides, as the tokenizer is
+    return fenced(fenced(df, "_written").withColumn("_flags", sets.number_flags()(F.col("_written"))), "_flags")
+
+
+def with_spread_number_flags(df: DataFrame, long_numbers: int, part_numbers: int = 2000) -> DataFrame:
+    """As ``with_number_flags``; sums of documents with more than ``long_numbers`` numbers are found over many tasks.
+
+    Which numbers are sums of two takes the square of their number in the worst case, so every
+    ``part_numbers`` of such a document are looked for in a task of their own, against all of its numbers. Documents
+    with the same numbers share the work. All others stay in their row, without a shuffle. The input is
+    read once for them, and twice for the long ones.
+    """
+    df = fenced(df, "_written")
+    size = F.coalesce(F.size("_written"), F.lit(0))
+    short, long = df.where(size <= long_numbers), df.where(size > long_numbers)
+    long = long.withColumn("_key", F.sha2(F.array_join("_written", " "), 256))
+    lists = long.select("_key", "_written").dropDuplicates(["_key"])
+    parts = F.ceil(F.size("_written") / part_numbers).cast("int")
+    work = lists.select("_key", "_written", parts.alias("_parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    work = work.repartition("_key", "_part")
+    work = work.select("_key", sets.found_sums()("_written", "_part", "_parts").alias("_found"))
+    found = work.groupBy("_key").agg(F.flatten(F.collect_list("_found")).alias("_places"), F.count("_found").alias("_counted"))
+    places = F.when(F.col("_counted") > 0, F.col("_places"))
+    long = long.join(found.select("_key", places.alias("_places")), "_key", "left").drop("_key")
+    long = long.withColumn("_flags", sets.number_flags_with_sums()("_written", "_places")).drop("_places")
+    return fenced(short.withColumn("_flags", sets.number_flags()(F.col("_written"))).unionByName(long), "_flags")
+
+
 def with_features(
     df: DataFrame,
     tagger: ColumnFunction | None = tag_token,
     tags: str | None = None,
+    long_numbers: int | None = None,
 ) -> DataFrame:
     """``raw_tokens`` and ``tokens`` give ``candidates``, one struct per integer token.
 
@@ -94,7 +126,8 @@ def with_features(
     optimizer keeps it and evaluates it once per document.
 
     Tags come from ``tags`` (an array column along the tokens) or from ``tagger``,
-    which is evaluated for the two neighbours of a candidate only.
+    which is evaluated for the two neighbours of a candidate only. ``long_numbers`` see
+    ``with_spread_number_flags``.
     """
 
     def tag_at(i: Column) -> Column:
@@ -107,23 +140,22 @@ def with_features(
     tokens = F.col("tokens")
     df = df.withColumn("_hits", numbers_at(tokens, number_positions(tokens)))
     df = df.withColumn("_written", F.transform("_hits", lambda c: c["written"]))
-    # fenced on both sides, as the tokenizer is
-    df = fenced(fenced(df, "_written").withColumn("_flags", feat.number_flags()(F.col("_written"))), "_flags")
+    df = with_number_flags(df) if long_numbers is None else with_spread_number_flags(df, long_numbers)
     df = df.withColumn("_n", F.size(tokens))
     df = df.withColumn("_lowered", F.when(F.size("_hits") > 0, F.transform(tokens, F.lower)))
     n, lowered = F.col("_n"), F.col("_lowered")
 
-    def windows(c: Column, k: Column) -> Column:
+    def windows(c: Column) -> Column:
         return F.struct(
             c["idx"].alias("idx"),
             c["num"].alias("num"),
             feat.words_around(lowered, c["idx"], n).alias("around"),
             feat.words_ahead(lowered, c["idx"], n).alias("ahead"),
-            F.get("_flags", k).alias("flags"),
         )
 
-    def features(c: Column) -> Column:
+    def features(c: Column, k: Column) -> Column:
         i, num = c["idx"], c["num"]
+        flags = {name: F.get("_flags", k * len(sets.FLAGS) + j) for j, name in enumerate(sets.FLAGS)}
         return F.struct(
             i.alias("idx"),
             num.alias("num"),
@@ -131,7 +163,7 @@ def with_features(
             feat.right_words(lowered, i, n).alias("right_word"),
             F.when(i == 0, UNKNOWN_TAG).otherwise(tag_at(i - 1)).alias("left_pos"),
             F.when(i == n - 1, UNKNOWN_TAG).otherwise(tag_at(i + 1)).alias("right_pos"),
-            feat.other_features(num, c["around"], c["ahead"], c["flags"]).alias("other"),
+            feat.other_features(num, c["around"], c["ahead"], flags).alias("other"),
         )
 
     helpers = ["_hits", "_written", "_flags", "_n", "_lowered"]
@@ -161,6 +193,7 @@ def build_candidates(
     array_tagger: ColumnFunction | None = None,
     keep_text: bool = False,
     features: bool = True,
+    long_numbers: int | None = None,
 ) -> DataFrame:
     """One row per document with its ``candidates`` array (empty if it has no integer).
 
@@ -168,7 +201,8 @@ def build_candidates(
     ``tagger`` made of built-in functions tags single tokens; an ``array_tagger``
     tags all tokens of a document at once and may, like ``tokenizer``, be a UDF.
     ``features=False`` makes ``idx`` and ``num`` only: the optimizer cannot leave out fields of
-    an array's structs, so whoever needs no features asks for none.
+    an array's structs, so whoever needs no features asks for none. ``long_numbers`` is for
+    corpora with documents of very many numbers, see ``with_spread_number_flags``.
     """
     df = with_tokens(df, text, normalize, tokenizer, digits_only=array_tagger is None or not features)
     if not features:
@@ -177,7 +211,7 @@ def build_candidates(
     if array_tagger is not None:
         df = fenced(df, "raw_tokens")
         df = fenced(df.withColumn("_tags", array_tagger(F.col("raw_tokens"))), "_tags")
-    df = with_features(df, tagger, tags="_tags" if array_tagger is not None else None)
+    df = with_features(df, tagger, "_tags" if array_tagger is not None else None, long_numbers)
     df = df.drop("raw_tokens", "tokens", "_tags")
     return df if keep_text else df.drop(text)
 
