@@ -173,12 +173,6 @@ def test_vocabulary_order_unknowns_and_ids(spark):
     assert (r["left_ids"], r["right_ids"]) == ([0, 1], [0, 3])
 
 
-def test_large_tables_are_not_broadcast(spark):
-    table = spark.range(50)
-    assert "ResolvedHint" in vocabulary.bounded(table, 50)._jdf.queryExecution().analyzed().toString()
-    assert vocabulary.bounded(table, 49) is table
-
-
 def test_vectors(spark):
     vocab = spark.createDataFrame([("a", 1, 9), ("b", 2, 5)], "token string, id int, cnt long")
     given = spark.createDataFrame([("a", [1.0, 2.0]), ("z", [3.0, 4.0])], "token string, vec array<float>")

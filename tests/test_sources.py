@@ -63,7 +63,9 @@ def test_articles(spark, tmp_path):
     body = '<Abstract><AbstractText Label="AIM">a &lt; b</AbstractText><AbstractText>c</AbstractText></Abstract>'
     path = tmp_path / "a.xml"
     path.write_text("<Set>" + article.format(9, body) + article.format(3, "") + article.format(4, body) + "</Set>")
-    got = standoff.read_articles(spark, str(path)).orderBy("record_no").collect()
+    articles = standoff.read_articles(spark, str(path))
+    assert "xml" not in articles._jdf.queryExecution().executedPlan().toString()  # parsed once, when it is read
+    got = articles.orderBy("record_no").collect()
     assert [(r["record_no"], r["pmid"]) for r in got] == [(1, 4), (2, 9)]
     assert got[1]["abstract"] == "TITLE: T 9\nAIM: a < b\nc\n"
 

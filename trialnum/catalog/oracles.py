@@ -251,9 +251,16 @@ def vocabulary(source: str, k: int) -> str:
     return f"WITH {source}, {WORDS} SELECT token, id, cnt FROM vocab WHERE id <= {k}"
 
 
+def rewritten(known: str) -> str:
+    return f"""WITH {DOCUMENTS}, {WORDS}
+SELECT s.pmid, coalesce(string_agg(CASE WHEN {known} THEN wr.token ELSE 'unkunk' END, ' ' ORDER BY wr.pos), '')
+  AS rewritten
+FROM src s LEFT JOIN wr ON s.pmid = wr.pmid LEFT JOIN vocab v ON v.token = wr.token GROUP BY s.pmid"""
+
+
 _IDS = ", ".join(f"coalesce(v_{c}.id, 0) AS {c}_id" for c in ("ll", "l", "rr", "r"))
 _ID_JOINS = " ".join(
-    f"LEFT JOIN (SELECT * FROM vocab WHERE id <= 30) v_{c} ON v_{c}.token = f.{c}" for c in ("ll", "l", "rr", "r")
+    f"LEFT JOIN (SELECT * FROM vocab WHERE id <= 10000) v_{c} ON v_{c}.token = f.{c}" for c in ("ll", "l", "rr", "r")
 )
 # words are counted in the texts as written, candidates come from the rewritten ones
 ENCODED = f"""WITH raw_src AS ({_table(fx.TRIAL_ABSTRACTS)}),
@@ -359,12 +366,13 @@ FROM src s LEFT JOIN best b ON s.pmid = b.pmid""",
     "vocab_counts": f"WITH {DOCUMENTS}, {WORDS} SELECT token, cnt FROM wc",
     "vocab_topk": vocabulary(DOCUMENTS, 10_000),
     "vocab_topk_trials": vocabulary(TRIALS, 40),
-    "unk_rewrite": f"""WITH {DOCUMENTS}, {WORDS}
-SELECT s.pmid, coalesce(string_agg(CASE WHEN v.id <= 2000 THEN wr.token ELSE 'unkunk' END, ' ' ORDER BY wr.pos), '')
-  AS rewritten
-FROM src s LEFT JOIN wr ON s.pmid = wr.pmid LEFT JOIN vocab v ON v.token = wr.token GROUP BY s.pmid""",
+    "vocab_all": f"WITH {DOCUMENTS}, {WORDS} SELECT token, id, cnt FROM vocab",
+    "unk_rewrite": rewritten("v.id <= 10000"),
+    "unk_rewrite_joined": rewritten("v.cnt > 1"),
     "encode_words": ENCODED,
+    "encode_words_joined": ENCODED.replace("WHERE id <= 10000", ""),
     "embed_words": ENCODED.replace(_IDS, _PAIRS),
+    "embed_words_joined": ENCODED.replace(_IDS, _PAIRS),
     "vocab_vectors": f"""WITH {DOCUMENTS}, {WORDS}
 SELECT token, 2 AS dim, CASE WHEN length(token) % 2 = 0 THEN CAST(length(token) AS DOUBLE) END AS given,
   CASE WHEN length(token) % 2 = 0 THEN 0 ELSE 1 END AS in_range FROM vocab WHERE id <= 10000""",

@@ -198,40 +198,57 @@ def vocabulary_counts(source: Source) -> Query:
     return lambda s, d: vocabulary.word_counts(source(s, d)).select("token", "cnt")
 
 
-def vocabulary_top(source: Source, k: int) -> Query:
+def vocabulary_top(source: Source, k: int | None) -> Query:
     return lambda s, d: vocabulary.fit_vocabulary(source(s, d), max_features=k).select(
         "token", F.col("id").cast("bigint").alias("id"), "cnt"
     )
 
 
-def unknown_rewrite(s: SparkSession, d: str) -> DataFrame:
-    docs = DOCUMENTS(s, d)
-    known = vocabulary.fit_vocabulary(docs, max_features=2000)
-    return vocabulary.unknown_rewritten(docs, known).select("pmid", "rewritten")
+def unknown_rewrite(joined: bool = False) -> Query:
+    """Texts in the most frequent words, or, by a join, in all that occur twice."""
 
+    def run(s: SparkSession, d: str) -> DataFrame:
+        docs = DOCUMENTS(s, d)
+        if joined:
+            known = vocabulary.word_counts(docs).where("cnt > 1")
+            return vocabulary.unknown_rewritten(docs, known, limit=0).select("pmid", "rewritten")
+        return vocabulary.unknown_rewritten(docs, vocabulary.fit_vocabulary(docs)).select("pmid", "rewritten")
 
-def encode_words(s: SparkSession, d: str) -> DataFrame:
-    docs = TRIALS(s, d)
-    known = vocabulary.fit_vocabulary(docs, max_features=30).persist()
-    rows = vocabulary.encode_words(explode_candidates(build_candidates(docs)), known)
-    ids = {"left_ids": ("ll_id", "l_id"), "right_ids": ("rr_id", "r_id")}
-    return rows.select(
-        "pmid", "idx",
-        *[F.get(a, F.lit(k)).cast("bigint").alias(n) for a, p in ids.items() for k, n in enumerate(p)],
-    )
+    return run
 
 
-def embed_words(s: SparkSession, d: str) -> DataFrame:
+def _neighbours(s: SparkSession, d: str) -> DataFrame:
+    return build_candidates(TRIALS(s, d), features=False, neighbours=True)
+
+
+def encode_words(joined: bool = False) -> Query:
+    """Ids of the four neighbours: of a vocabulary of the usual size, or of all words, by a join."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        known = vocabulary.fit_vocabulary(TRIALS(s, d), max_features=None if joined else vocabulary.MAX_FEATURES).persist()
+        docs = vocabulary.encode_documents(_neighbours(s, d), known, **({"limit": 0} if joined else {}))
+        ids = {"left_ids": ("ll_id", "l_id"), "right_ids": ("rr_id", "r_id")}
+        return explode_candidates(docs).select(
+            "pmid", "idx",
+            *[F.get(a, F.lit(k)).cast("bigint").alias(n) for a, p in ids.items() for k, n in enumerate(p)],
+        )
+
+    return run
+
+
+def embed_words(joined: bool = False) -> Query:
     """Vectors of the four neighbours, here (length, id) of each vocabulary word."""
-    docs = TRIALS(s, d)
-    known = vocabulary.fit_vocabulary(docs, max_features=30).persist()
-    pair = F.array(F.length("token").cast("float"), F.col("id").cast("float"))
-    vectors = known.select("token", "id", pair.alias("vec"))
-    rows = vocabulary.embed_words(explode_candidates(build_candidates(docs)), vectors, 2)
-    names = {"left_vec": ("ll_len", "ll_id", "l_len", "l_id"), "right_vec": ("rr_len", "rr_id", "r_len", "r_id")}
-    return rows.select(
-        "pmid", "idx", *[F.get(a, F.lit(k)).alias(n) for a, p in names.items() for k, n in enumerate(p)]
-    )
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        known = vocabulary.fit_vocabulary(TRIALS(s, d)).persist()
+        pair = F.array(F.length("token").cast("float"), F.col("id").cast("float"))
+        docs = vocabulary.embed_documents(_neighbours(s, d), known.select("token", pair.alias("vec")), 2, **({"limit": 0} if joined else {}))
+        names = {"left_vec": ("ll_len", "ll_id", "l_len", "l_id"), "right_vec": ("rr_len", "rr_id", "r_len", "r_id")}
+        return explode_candidates(docs).select(
+            "pmid", "idx", *[F.get(a, F.lit(k)).alias(n) for a, p in names.items() for k, n in enumerate(p)]
+        )
+
+    return run
 
 
 def vocabulary_vectors(s: SparkSession, d: str) -> DataFrame:
@@ -478,9 +495,13 @@ QUERIES: dict[str, Query] = {
     "vocab_counts": vocabulary_counts(DOCUMENTS),
     "vocab_topk": vocabulary_top(DOCUMENTS, vocabulary.MAX_FEATURES),
     "vocab_topk_trials": vocabulary_top(TRIALS, 40),
-    "unk_rewrite": unknown_rewrite,
-    "encode_words": encode_words,
-    "embed_words": embed_words,
+    "vocab_all": vocabulary_top(DOCUMENTS, None),
+    "unk_rewrite": unknown_rewrite(),
+    "unk_rewrite_joined": unknown_rewrite(joined=True),
+    "encode_words": encode_words(),
+    "encode_words_joined": encode_words(joined=True),
+    "embed_words": embed_words(),
+    "embed_words_joined": embed_words(joined=True),
     "vocab_vectors": vocabulary_vectors,
     "tag_one_hot": tag_one_hot,
     "standoff_entities": standoff_entities,

@@ -149,7 +149,7 @@ def assemble_abstracts(titles: DataFrame, sections: DataFrame) -> DataFrame:
         section_text(F.collect_list(F.struct("pos", "label", "text"))).alias("_body")
     )
     kept = titles.select("pmid").join(sections.select("pmid").distinct(), "pmid", "left_semi")
-    numbers = number_rows(kept, "pmid", "record_no", bounds_from=titles)
+    numbers = number_rows(kept, "pmid", out="record_no")
     abstract = F.concat(F.lit("TITLE: "), F.coalesce("title", F.lit("")), F.lit("\n"), F.col("_body"))
     return (
         bodies.join(titles, "pmid")

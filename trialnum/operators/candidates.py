@@ -84,6 +84,20 @@ def with_numbers(df: DataFrame) -> DataFrame:
     return fenced(df.withColumn("candidates", pairs), "candidates")
 
 
+def with_neighbours(df: DataFrame) -> DataFrame:
+    """``tokens`` give ``candidates`` of position, value and the four words around, for whoever needs no other features."""
+    tokens = F.col("tokens")
+    df = df.withColumn("_hits", numbers_at(tokens, number_positions(tokens))).withColumn("_n", F.size(tokens))
+    df = df.withColumn("_lowered", F.when(F.size("_hits") > 0, F.transform(tokens, F.lower)))
+
+    def around(c: Column) -> Column:
+        words = (feat.left_words(F.col("_lowered"), c["idx"]), feat.right_words(F.col("_lowered"), c["idx"], F.col("_n")))
+        return F.struct(c["idx"].alias("idx"), c["num"].alias("num"), words[0].alias("left_word"), words[1].alias("right_word"))
+
+    candidates = F.transform("_hits", around)
+    return fenced(df.withColumn("candidates", candidates).drop("_hits", "_n", "_lowered"), "candidates")
+
+
 def with_number_flags(df: DataFrame) -> DataFrame:
     """Adds ``_flags`` along ``_written``: ``number_sets.FLAGS`` of each number, one after the other."""
     # fenced on both sides, as the tokenizer is
@@ -194,6 +208,7 @@ def build_candidates(
     keep_text: bool = False,
     features: bool = True,
     long_numbers: int | None = None,
+    neighbours: bool = False,
 ) -> DataFrame:
     """One row per document with its ``candidates`` array (empty if it has no integer).
 
@@ -201,12 +216,13 @@ def build_candidates(
     ``tagger`` made of built-in functions tags single tokens; an ``array_tagger``
     tags all tokens of a document at once and may, like ``tokenizer``, be a UDF.
     ``features=False`` makes ``idx`` and ``num`` only: the optimizer cannot leave out fields of
-    an array's structs, so whoever needs no features asks for none. ``long_numbers`` is for
+    an array's structs, so whoever needs no features asks for none; with ``neighbours`` the
+    words around are there all the same. ``long_numbers`` is for
     corpora with documents of very many numbers, see ``with_spread_number_flags``.
     """
     df = with_tokens(df, text, normalize, tokenizer, digits_only=array_tagger is None or not features)
     if not features:
-        df = with_numbers(df).drop("raw_tokens", "tokens")
+        df = (with_neighbours(df) if neighbours else with_numbers(df)).drop("raw_tokens", "tokens")
         return df if keep_text else df.drop(text)
     if array_tagger is not None:
         df = fenced(df, "raw_tokens")

@@ -5,54 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# hash buckets; value ranges and the steps within each
-BUCKETS = 2048
-RANGES, STEPS = 32, 64
+from trialnum.operators.tables import written
 
+# bits of a row's place within its partition, as Spark numbers rows
+PLACE_BITS = 33
 
-def _number(df: DataFrame, bucket: Column, order: list[Column], out: str) -> DataFrame:
-    """Numbers from 1 over (bucket, order): a window per bucket plus the sizes of all before.
 
-    The bucket sizes are at most 2048 rows whatever the data, so the running sum over
-    them and its broadcast are bounded.
-    """
-    rows = df.withColumn("_bucket", bucket)
-    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
-    )
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return (
-        rows.withColumn("_within", within)
-        .join(F.broadcast(starts), "_bucket")
-        .withColumn(out, F.col("_start") + F.col("_within"))
-        .drop("_bucket", "_within", "_start")
-    )
-
-
-def number_rows(
-    df: DataFrame, key: str, out: str = "row_no", bounds_from: DataFrame | None = None
-) -> DataFrame:
-    """Rows numbered from 1 in the order of ``key`` (a number, unique per row).
+def number_rows(df: DataFrame, *order: str | Column, out: str = "row_no") -> DataFrame:
+    """Rows numbered from 1 in an order, which should tell all rows apart.
 
-    Buckets are ranges between approximate quantiles, each cut into equal steps. The
-    quantiles may come from a table with about the same keys that is cheaper to read.
-    Where they lie only decides how even the buckets are, never a row's number.
+    Rows are dealt out by ranges of the order and sorted where they lie; a row's number is its place plus the rows of all
+    ranges before, a prefix sum over one row per range. The sorted rows are written, as ranges made again could
+    be others.
     """
-    quantiles = [i / RANGES for i in range(RANGES + 1)]
-    keys = df if bounds_from is None else bounds_from
-    bounds = sorted(set(keys.approxQuantile(key, quantiles, 1 / (4 * RANGES))))
-    if not bounds:
-        return df.withColumn(out, F.lit(0).cast("bigint"))
-    edges = F.array(*[F.lit(b) for b in bounds])
-    inner = F.array(*[F.lit(b) for b in bounds[1:-1]]).cast("array<double>")
-    value = F.col(key).cast("double")
-    df = df.withColumn("_range", F.size(F.filter(inner, lambda b: b < value)))
-    low, high = F.get(edges, F.col("_range")), F.get(edges, F.col("_range") + 1)
-    step = F.floor(F.try_divide(value - low, high - low) * STEPS)
-    step = F.coalesce(F.least(F.greatest(step, F.lit(0)), F.lit(STEPS - 1)), F.lit(0))
-    return _number(df, F.col("_range") * STEPS + step, [F.col(key)], out).drop("_range")
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(rows.withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", PLACE_BITS)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    # one row for every range, whatever the data
+    placed = rows.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    within = F.col("_place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return placed.withColumn(out, F.col("_start") + within + 1).drop("_part", "_place", "_start")
 
 
 def assign_folds(df: DataFrame, key: str = "pmid", k: int = 5, seed: int = 0) -> DataFrame:
@@ -68,7 +43,6 @@ def assign_even_folds(df: DataFrame, key: str = "pmid", k: int = 5, seed: int =
     same fold; they are collapsed before anything is sorted.
     """
     keys = df.select(key).distinct()
-    mixed = F.xxhash64(F.col(key), F.lit(seed))
-    numbered = _number(keys, F.pmod(mixed, F.lit(BUCKETS)), [mixed, F.col(key)], "_no")
+    numbered = number_rows(keys, F.xxhash64(F.col(key), F.lit(seed)), F.col(key), out="_no")
     folds = numbered.select(key, F.pmod(F.col("_no") - 1, F.lit(k)).cast("int").alias("fold_id"))
     return df.join(folds, key)

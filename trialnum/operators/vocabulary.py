@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialnum.functions.tokens import vocabulary_words
+from trialnum.operators.lookup import LOOKUP_BYTES, looked_up
+from trialnum.operators.numbering import number_rows
+from trialnum.operators.tables import written
 
 MAX_FEATURES = 10_000
 UNKNOWN_WORD, UNKNOWN_ID = "unkunk", 0
@@ -33,75 +33,36 @@ def word_counts(df: DataFrame, key: str = "pmid", text: str = "abstract") -> Dat
 
 
 def fit_vocabulary(
-    df: DataFrame, key: str = "pmid", text: str = "abstract", max_features: int = MAX_FEATURES
+    df: DataFrame, key: str = "pmid", text: str = "abstract", max_features: int | None = MAX_FEATURES
 ) -> DataFrame:
-    """The ``max_features`` most frequent words as ``(token, id, cnt)``, ids from 1.
+    """The ``max_features`` most frequent words (None: all) as ``(token, id, cnt)``, ids from 1.
 
-    Ties go to the word seen first. The limit is a per-partition top-k; only its
-    result, at most ``max_features`` rows, is numbered in one task.
+    Ties go to the word seen first. A histogram of the counts tells the least count that is needed; only words
+    that have it are sorted, by ranges, and numbered. The histogram has at most as many rows as there are
+    different counts, which is the root of twice the number of words in the corpus.
     """
-    order = [F.col("cnt").desc(), F.col("first_seen").asc()]
-    top = word_counts(df, key, text).orderBy(*order).limit(max_features)
-    return top.select(
-        "token", F.row_number().over(Window.orderBy(*order)).alias("id"), "cnt"
-    )
-
-
-# bytes of words and values that a lookup may send to every task
-LOOKUP_BYTES = 64 << 20
-
-
-def small_enough(table: DataFrame, width: int = 8) -> bool:
-    """Whether the words of ``table (token, ...)`` and ``width`` bytes for each fit into a lookup."""
-    size = table.agg(F.sum(F.octet_length("token") + F.lit(width + 8))).first()[0]
-    return (size or 0) <= LOOKUP_BYTES
-
-
-def word_lookup(words: list[str], values: np.ndarray, kind: str):
-    """Arrow UDF: an array of words to their rows of ``values``, one after the other; the last row is that of unknown words.
-
-    All words of a batch are looked up at once. The function names nothing of this package, so workers need
-    only NumPy and Arrow.
-    """
-    known = pa.array(words, pa.string())
-
-    @F.arrow_udf(kind)
-    def run(arrays: pa.Array) -> pa.Array:
-        at = pc.fill_null(pc.index_in(arrays.flatten(), value_set=known), len(known)).to_numpy()
-        lengths = pc.fill_null(pc.list_value_length(arrays), 0).to_numpy()
-        width = values.shape[1]
-        offsets = np.concatenate([[0], np.cumsum(lengths)]) * width
-        return pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(values[at].ravel()))
-
-    return run
+    counts = word_counts(df, key, text)
+    if max_features is not None:
+        counts = written(counts)  # one row per distinct word: read for the histogram and for the words
+        histogram = counts.groupBy("cnt").agg(F.count(F.lit(1)).alias("words"))
+        above = Window.orderBy(F.col("cnt").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        needed = histogram.withColumn("above", F.coalesce(F.sum("words").over(above), F.lit(0))).where(F.col("above") < max_features)
+        least = needed.agg(F.min("cnt").alias("_least"))
+        counts = counts.crossJoin(F.broadcast(least)).where(F.col("cnt") >= F.col("_least")).drop("_least")
+    numbered = number_rows(counts, F.col("cnt").desc(), F.col("first_seen"), out="id")
+    numbered = numbered.select("token", F.col("id").cast("int").alias("id"), "cnt")
+    return numbered if max_features is None else numbered.where(F.col("id") <= max_features)
 
 
 def unknown_rewritten(
-    df: DataFrame, vocabulary: DataFrame, text: str = "abstract", out: str = "rewritten"
+    df: DataFrame, vocabulary: DataFrame, text: str = "abstract", out: str = "rewritten", limit: int = LOOKUP_BYTES
 ) -> DataFrame:
-    """Texts as vocabulary words joined by blanks, unknown ones replaced."""
-    words = vocabulary_words(F.col(text))
-    known = [r["token"] for r in vocabulary.select("token").collect()] if small_enough(vocabulary) else None
-    if known is not None:
-        flags = word_lookup(known, np.array([[1]] * len(known) + [[0]], "int32"), "array<int>")
-        df = df.withColumn("_words", words).withColumn("_known", flags(F.col("_words")))
-        kept = F.zip_with("_words", "_known", lambda w, k: F.when(k == 1, w).otherwise(UNKNOWN_WORD))
-        return df.withColumn(out, F.array_join(kept, " ")).drop("_words", "_known")
-    # a table of any size: words meet it by a shuffle and come back in order
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    at = rows.select("_row", F.posexplode(words).alias("_at", "token"))
-    found = at.join(vocabulary.select("token", F.lit(True).alias("_is")), "token", "left")
-    word = F.when(F.col("_is"), F.col("token")).otherwise(UNKNOWN_WORD).alias("_word")
-    texts = found.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_at", word))).alias("_l"))
-    joined = rows.join(texts, "_row", "left")
-    text = F.coalesce(F.array_join(F.transform("_l", lambda x: x["_word"]), " "), F.lit(""))
-    return joined.withColumn(out, text).drop("_row", "_l")
-
-
-def bounded(table: DataFrame, max_rows: int) -> DataFrame:
-    """Marks a table for broadcast if it has at most ``max_rows`` rows, else leaves it as it is."""
-    seen = table.limit(max_rows + 1).count()
-    return F.broadcast(table) if seen <= max_rows else table
+    """Texts as vocabulary words joined by blanks, unknown ones replaced; null text gives an empty one."""
+    known = vocabulary.select("token", F.lit(1).alias("is"))
+    df = df.withColumn("_words", vocabulary_words(F.col(text)))
+    df = looked_up(df, "_words", known, "is", [0], "_known", limit)
+    kept = F.zip_with("_words", "_known", lambda w, k: F.when(k == 1, w).otherwise(UNKNOWN_WORD))
+    return df.withColumn(out, F.coalesce(F.array_join(kept, " "), F.lit(""))).drop("_words", "_known")
 
 
 def vocabulary_vectors(
@@ -111,7 +72,7 @@ def vocabulary_vectors(
 
     Words missing from ``vectors (token, vec)`` get values in (-1, 1] from a hash of
     word and position, the same in every run. The large side is the vector table:
-    it is cut down to the vocabulary by a broadcast join before anything else.
+    it is cut down to the vocabulary before anything else; how they meet is left to the optimizer, which knows their sizes.
     """
 
     def hashed(j: Column) -> Column:
@@ -122,7 +83,7 @@ def vocabulary_vectors(
     if vectors is None:
         return vocabulary.select("token", "id", drawn.alias("vec"))
     wanted = (
-        vectors.join(bounded(vocabulary.select("token"), MAX_FEATURES), "token", "left_semi")
+        vectors.join(vocabulary.select("token"), "token", "left_semi")
         .groupBy("token")
         .agg(F.min("vec").alias("given"))
     )
@@ -147,65 +108,53 @@ def lexicon_words(table: DataFrame, max_words: int = 500_000) -> dict[str, list[
     return lexicon
 
 
-def _lookup(rows: DataFrame, table: DataFrame, value: str, default: Column) -> DataFrame:
-    """Looks up both left and both right words in ``table (token, value)``."""
-    for side in ("left", "right"):
-        for k in (0, 1):
-            one = table.select(
-                F.col("token").alias(f"_{side}_{k}"), F.col(value).alias(f"_{side}_{k}_{value}")
-            )
-            rows = rows.withColumn(f"_{side}_{k}", F.get(f"{side}_word", F.lit(k)))
-            rows = rows.join(one, f"_{side}_{k}", "left").drop(f"_{side}_{k}")
-            rows = rows.withColumn(
-                f"_{side}_{k}_{value}", F.coalesce(f"_{side}_{k}_{value}", default)
-            )
-    return rows
-
-
-def _four_words() -> Column:
-    """Both left and both right words; a row without a candidate has four that no table knows."""
+def neighbour_words() -> Column:
+    """Both left and both right words of a candidate row; of a row without a candidate four that no table knows."""
     none = F.array(*[F.lit(None).cast("string")] * 4)
     return F.coalesce(F.concat("left_word", "right_word"), none)
 
 
-def encode_words(candidates: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Adds ``left_ids`` and ``right_ids``; words outside the vocabulary get ``UNKNOWN_ID``."""
-    table = vocabulary.select("token", "id")
-    if small_enough(table):
-        pairs = table.collect()
-        ids = np.array([[r["id"]] for r in pairs] + [[UNKNOWN_ID]], "int32")
-        found = word_lookup([r["token"] for r in pairs], ids, "array<int>")(_four_words())
-        rows = candidates.withColumn("_ids", found)
-        left, right = F.slice("_ids", 1, 2), F.slice("_ids", 3, 2)
-        return rows.withColumn("left_ids", left).withColumn("right_ids", right).drop("_ids")
-    rows = _lookup(candidates, table, "id", F.lit(UNKNOWN_ID))
-    names = [f"_{s}_{k}_id" for s in ("left", "right") for k in (0, 1)]
-    return (
-        rows.withColumn("left_ids", F.array(*names[:2]))
-        .withColumn("right_ids", F.array(*names[2:]))
-        .drop(*names)
-    )
+def encode_words(candidates: DataFrame, vocabulary: DataFrame, limit: int = LOOKUP_BYTES) -> DataFrame:
+    """Adds ``left_ids`` and ``right_ids`` to candidate rows; words outside the vocabulary get ``UNKNOWN_ID``."""
+    rows = candidates.withColumn("_four", neighbour_words())
+    rows = looked_up(rows, "_four", vocabulary.select("token", "id"), "id", [UNKNOWN_ID], "_ids", limit)
+    left, right = F.slice("_ids", 1, 2), F.slice("_ids", 3, 2)
+    return rows.withColumn("left_ids", left).withColumn("right_ids", right).drop("_four", "_ids")
 
 
-def embed_words(candidates: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """Adds ``left_vec`` and ``right_vec``, the vectors of both words one after the other.
+def embed_words(candidates: DataFrame, vectors: DataFrame, dim: int, limit: int = LOOKUP_BYTES) -> DataFrame:
+    """Adds ``left_vec`` and ``right_vec`` to candidate rows, the vectors of both words one after the other.
 
     Unknown words get zeros.
     """
-    table = vectors.select("token", "vec")
-    if small_enough(table, 8 * dim):
-        pairs = table.collect()
-        values = np.zeros((len(pairs) + 1, dim))
-        values[:-1] = np.array([r["vec"] for r in pairs], "float64").reshape(-1, dim)
-        found = word_lookup([r["token"] for r in pairs], values, "array<double>")(_four_words())
-        rows = candidates.withColumn("_vec", found)
-        left, right = F.slice("_vec", 1, 2 * dim), F.slice("_vec", 2 * dim + 1, 2 * dim)
-        return rows.withColumn("left_vec", left).withColumn("right_vec", right).drop("_vec")
-    zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    rows = _lookup(candidates, table, "vec", zeros)
-    names = [f"_{s}_{k}_vec" for s in ("left", "right") for k in (0, 1)]
-    return (
-        rows.withColumn("left_vec", F.concat(*names[:2]).cast("array<double>"))
-        .withColumn("right_vec", F.concat(*names[2:]).cast("array<double>"))
-        .drop(*names)
+    rows = candidates.withColumn("_four", neighbour_words())
+    rows = looked_up(rows, "_four", vectors.select("token", "vec"), "vec", [0.0] * dim, "_vec", limit)
+    left, right = F.slice("_vec", 1, 2 * dim), F.slice("_vec", 2 * dim + 1, 2 * dim)
+    return rows.withColumn("left_vec", left).withColumn("right_vec", right).drop("_four", "_vec")
+
+
+def encode_documents(documents: DataFrame, vocabulary: DataFrame, limit: int = LOOKUP_BYTES) -> DataFrame:
+    """Documents whose ``candidates`` array has neighbours -> the same with ``left_ids`` and ``right_ids`` in each struct.
+
+    All neighbours of a document are looked up together, before anything is exploded.
+    """
+    return _along(documents, vocabulary.select("token", "id"), "id", [UNKNOWN_ID], ("left_ids", "right_ids"), limit)
+
+
+def embed_documents(documents: DataFrame, vectors: DataFrame, dim: int, limit: int = LOOKUP_BYTES) -> DataFrame:
+    """As ``encode_documents``, with ``left_vec`` and ``right_vec``; unknown words get zeros."""
+    return _along(documents, vectors.select("token", "vec"), "vec", [0.0] * dim, ("left_vec", "right_vec"), limit)
+
+
+def _along(documents: DataFrame, table: DataFrame, value: str, default: list, names: tuple[str, str], limit: int) -> DataFrame:
+    width = 2 * len(default)
+    words = F.flatten(F.transform("candidates", lambda c: F.concat(c["left_word"], c["right_word"])))
+    rows = looked_up(documents.withColumn("_all", words), "_all", table, value, default, "_values", limit)
+
+    def side(k: Column, right: int) -> Column:
+        return F.slice("_values", k * 2 * width + right * width + 1, width)
+
+    with_values = F.transform(
+        "candidates", lambda c, k: c.withField(names[0], side(k, 0)).withField(names[1], side(k, 1))
     )
+    return rows.withColumn("candidates", with_values).drop("_all", "_values")

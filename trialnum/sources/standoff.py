@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trialnum.operators.annotations import section_text
 from trialnum.operators.numbering import number_rows
+from trialnum.operators.tables import written
 
 
 def _pmid_of(name: Column) -> Column:
@@ -84,4 +85,5 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
         "pmid",
         F.concat(F.lit("TITLE: "), F.col("title"), F.lit("\n"), section_text(F.col("sections"))).alias("abstract"),
     )
-    return number_rows(abstracts, "pmid", "record_no")
+    # written, so that the articles are parsed once
+    return number_rows(written(abstracts), "pmid", out="record_no")
