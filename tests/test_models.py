@@ -125,3 +125,27 @@ def test_weights_that_cannot_be_used_are_refused(spark):
     model = training.train(docs, kind="logistic", dim=2, max_iter=2)
     with pytest.raises(ValueError):
         _ = model.weights
+
+
+def test_network_as_columns_equals_the_fitted_models(docs, model):
+    from trialnum.operators.classifier import _layers, network_scorer
+    from trialnum.operators.network import candidate_confidence
+    from trialnum.operators.vocabulary import embed_documents
+
+    logistic = training.train(docs, kind="logistic", dim=4, max_iter=5)
+    part = docs.filter("pmid % 5 = 0")
+    for m in (model, logistic):
+        rows = explode_candidates(embed_documents(build_candidates(part), m.vectors, 4))
+        candidate = F.struct("left_vec", "right_vec", "left_pos", "right_pos", "other")
+        rows = rows.select("pmid", "idx", candidate_confidence(candidate, _layers(m), 4).alias("conf"))
+        got = {(r["pmid"], r["idx"]): r["conf"] for r in rows.collect()}
+        want = inside(part, network_scorer(_layers(m), m.vectors, 4))
+        assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
+def test_vectors_too_many_for_every_task_are_refused(docs, model, monkeypatch):
+    from trialnum.operators import classifier
+
+    monkeypatch.setattr(classifier, "LOOKUP_BYTES", 10)
+    with pytest.raises(ValueError):
+        arrow_scorer(model)

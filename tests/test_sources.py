@@ -6,7 +6,7 @@ from trialnum.operators.candidates import build_candidates
 from trialnum.operators.scoring import best_in_row
 from trialnum.plans.annotation import annotation_tables
 from trialnum.sources import documents as d
-from trialnum.sources import standoff
+from trialnum.sources import small_files, standoff
 
 
 def test_csv_with_quotes_lines_and_index(spark, tmp_path):
@@ -92,6 +92,33 @@ def test_empty_annotation_file_is_known_from_the_documents(spark, tmp_path):
     assert {r["pmid"]: r["tt_sample_size"] for r in tables["gold"].collect()} == {"100": 50, "200": None}
 
 
+def test_empty_annotation_file_is_a_document(spark, tmp_path):
+    (tmp_path / "1-100.ann").write_text("T1\tTotal_sample_size 3 5\tfifty\n")
+    (tmp_path / "2-78.ann").write_text("")
+    for folder in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}"):
+        tables = annotation_tables(spark, folder)
+        assert {r["pmid"]: r["tt_sample_size"] for r in tables["gold"].collect()} == {"100": 50, "78": None}
+    (tmp_path / "none").mkdir()
+    assert annotation_tables(spark, str(tmp_path / "none"))["gold"].count() == 0
+
+
+def test_small_files_are_dealt_out_by_size_and_listed_once(spark, tmp_path, monkeypatch):
+    sizes = [0, 10, 9000, 0, 200, 30_000, 5, 0]
+    for i, size in enumerate(sizes):
+        (tmp_path / f"{i}-{i}.ann").write_bytes(b"\xc3\xa9" * (size // 2))
+    (tmp_path / "x.ann.bak").write_text("second name part counts")
+    (tmp_path / "y.bak").write_text("not wanted")
+    monkeypatch.setattr(small_files, "PARTITION_BYTES", 16_000)
+    reader = small_files.SmallFilesReader({"path": str(tmp_path), "extensions": "ann"})
+    parts = reader.partitions()
+    assert [len(p.paths) for p in parts] == [2, 1, 2, 1, 3]
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert {r["name"]: len(r["text"]) for r in rows} == {f"{i}-{i}.ann": s // 2 for i, s in enumerate(sizes)} | {"x.ann.bak": 23}
+    assert [len(p.paths) for p in small_files.SmallFilesReader({"path": str(tmp_path), "content": "false"}).partitions()] == [3, 3, 3, 1]
+    got = small_files.read_small_files(spark, str(tmp_path), "ann")
+    assert got.count() == 9 and got.where("name = '5-5.ann'").first()["text"] == "é" * 15_000
+
+
 def test_what_the_engine_writes_it_reads(spark, tmp_path):
     docs = spark.createDataFrame([(1, f"{10**24 + 7} patients"), (2, "none"), (3, "We saw 12.")], d.DOCUMENTS)
     found = best_in_row(build_candidates(docs, features=False), lambda c: F.lit(0.9))

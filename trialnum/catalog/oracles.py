@@ -9,6 +9,7 @@ row by row.
 from __future__ import annotations
 
 from trialnum.catalog import fixtures as fx
+from trialnum.catalog.fixed_network import confidence_sql
 from trialnum.functions import features as feat
 from trialnum.functions.numbers import NUMBER_WORDS, SCALE_EXPONENTS
 from trialnum.functions.tokens import DEFAULT_LEXICON, PUNCTUATION_TAGS, TAGS
@@ -271,6 +272,17 @@ _PAIRS = ", ".join(
     for c in ("ll", "l", "rr", "r")
 )
 
+_SCALED = ", ".join(
+    f"coalesce(length(v_{c}.token), 0) / 10.0::DOUBLE AS {c}_len, coalesce(v_{c}.id, 0) / 1000.0::DOUBLE AS {c}_id" for c in ("ll", "l", "rr", "r")
+)
+
+
+def network(kind: str) -> str:
+    """The fixed network over the features of every candidate."""
+    return ENCODED.replace(f"SELECT f.pmid, f.idx, {_IDS}", f", n AS (SELECT f.*, {_SCALED}") + f""")
+SELECT pmid, idx, CAST(num AS VARCHAR) AS num, round({confidence_sql(kind)}, 9) AS conf FROM n"""
+
+
 _TAG_LIST = "[" + ", ".join(_text(t) for t in TAGS) + "]"
 
 LINES = f"lines AS ({_table(fx.STANDOFF_LINES)}), ids AS ({_table(fx.TITLES)})"
@@ -379,6 +391,10 @@ SELECT token, 2 AS dim, CASE WHEN length(token) % 2 = 0 THEN CAST(length(token)
     "tag_one_hot": f"""WITH {NORMAL}, {tokens('src')}, {FEATURES}
 SELECT pmid, idx, list_position({_TAG_LIST}, left_pos) - 1 AS left_at,
   list_position({_TAG_LIST}, right_pos) - 1 AS right_at FROM f""",
+    "network_mlp": network("mlp"),
+    "network_mlp_in_tasks": network("mlp"),
+    "network_logistic": network("logistic"),
+    "network_logistic_in_tasks": network("logistic"),
     "model_agreement": f"""WITH {NORMAL}, {tokens('src')}
 SELECT count(*) AS n, 0 AS different FROM num WHERE num IS NOT NULL""",
     "standoff_entities": f"""WITH {LINES}, {ENTITIES}

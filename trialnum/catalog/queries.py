@@ -7,19 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialnum.catalog import fixed_network
 from trialnum.catalog import fixtures as fx
 from trialnum.functions import features as feat
 from trialnum.functions import numbers as nums
 from trialnum.functions import tokens as toks
 from trialnum.operators import annotations as ann
 from trialnum.operators import evaluate as ev
-from trialnum.operators import labels, numbering, scoring, vocabulary
+from trialnum.operators import labels, network, numbering, scoring, vocabulary
 from trialnum.operators.candidates import (
     build_candidates,
     explode_candidates,
     with_tokens,
 )
-from trialnum.operators.classifier import arrow_scorer, one_hot_tags
+from trialnum.operators.classifier import arrow_scorer, network_scorer, one_hot_tags
 from trialnum.plans import extraction, training
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -379,6 +380,30 @@ def model_agreement(s: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(differs).alias("different"))
 
 
+def _pair_vectors(s: SparkSession, d: str) -> DataFrame:
+    """(length / 10, id / 1000) of each vocabulary word."""
+    known = vocabulary.fit_vocabulary(TRIALS(s, d)).persist()
+    return known.select("token", F.array((F.length("token") / 10.0).cast("double"), (F.col("id") / 1000.0).cast("double")).alias("vec"))
+
+
+def network_scores(kind: str, in_tasks: bool) -> Query:
+    """Confidences of a network with fixed weights: as column expressions, or by the scorer that extraction uses."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        layers, vectors, docs = fixed_network.layers(kind), _pair_vectors(s, d), build_candidates(TRIALS(s, d))
+        if in_tasks:
+            docs = docs.withColumn("_conf", network_scorer(layers, vectors, fixed_network.DIM)(F.col("candidates")))
+            with_conf = F.transform("candidates", lambda c, k: c.withField("conf", F.get("_conf", k)))
+            rows = explode_candidates(docs.select("pmid", with_conf.alias("candidates")))
+        else:
+            rows = explode_candidates(vocabulary.embed_documents(docs, vectors, fixed_network.DIM))
+            candidate = F.struct("left_vec", "right_vec", "left_pos", "right_pos", "other")
+            rows = rows.withColumn("conf", network.candidate_confidence(candidate, layers, fixed_network.DIM))
+        return rows.select("pmid", "idx", F.expr(NUM), F.round("conf", 9).alias("conf"))
+
+    return run
+
+
 def cross_validation(s: SparkSession, d: str) -> DataFrame:
     docs = TRIALS(s, d).drop("fold_id")
     return training.cross_validate(docs, kind="logistic", dim=8, max_iter=8)
@@ -518,6 +543,10 @@ QUERIES: dict[str, Query] = {
     "model_scores": model_scores,
     "model_row_scores": model_row_scores,
     "model_agreement": model_agreement,
+    "network_mlp": network_scores("mlp", in_tasks=False),
+    "network_mlp_in_tasks": network_scores("mlp", in_tasks=True),
+    "network_logistic": network_scores("logistic", in_tasks=False),
+    "network_logistic_in_tasks": network_scores("logistic", in_tasks=True),
     "cv_scores": cross_validation,
     "fine_tuned_scores": fine_tuned_scores,
     "raw_candidates": raw_candidates,

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from trialnum.functions.features import OTHER_FEATURES
 from trialnum.functions.tokens import TAGS
+from trialnum.operators.lookup import LOOKUP_BYTES, table_bytes
 from trialnum.operators.vocabulary import (
     MAX_FEATURES,
     embed_words,
@@ -178,7 +179,9 @@ def _layers(model: CandidateModel) -> list[tuple[np.ndarray, np.ndarray]]:
     return layers
 
 
-def _confidence_function(model: CandidateModel, slice_rows: int = 8192):
+def _confidence_function(
+    layers: list[tuple[np.ndarray, np.ndarray]], vectors_table: DataFrame, dim: int, slice_rows: int = 8192
+):
     """A function of an Arrow array of ``candidates`` arrays to their confidences.
 
     Words and tags are looked up by Arrow over the whole batch and the network is a
@@ -186,8 +189,7 @@ def _confidence_function(model: CandidateModel, slice_rows: int = 8192):
     vectors, bounded by the ``max_features`` they were made with. The function names nothing of this package,
     so workers need only NumPy and Arrow.
     """
-    layers, dim = _layers(model), model.dim
-    table = model.vectors.orderBy("id").select("token", "vec").collect()
+    table = vectors_table.select("token", "vec").collect()
     words = pa.array([r["token"] for r in table], pa.string())
     # last row: unknown words and tags
     vectors = np.zeros((len(table) + 1, dim))
@@ -232,7 +234,20 @@ def _confidence_function(model: CandidateModel, slice_rows: int = 8192):
 
 def arrow_scorer(model: CandidateModel, slice_rows: int = 8192):
     """Arrow UDF: a ``candidates`` array to the array of its confidences, ``slice_rows`` candidates at a time."""
-    confidences = _confidence_function(model, slice_rows)
+    return network_scorer(_layers(model), model.vectors, model.dim, slice_rows)
+
+
+def network_scorer(
+    layers: list[tuple[np.ndarray, np.ndarray]], vectors: DataFrame, dim: int, slice_rows: int = 8192
+):
+    """As ``arrow_scorer``, for given layers (matrix, bias) and ``vectors (token, vec)``.
+
+    The vectors go into every task, so they must be small: beyond ``LOOKUP_BYTES`` they are refused, and documents are
+    scored from ``embed_documents`` with ``network.candidate_confidence``, which has no such bound.
+    """
+    if table_bytes(vectors, 8 * dim) > LOOKUP_BYTES:
+        raise ValueError("too many word vectors to send to every task")
+    confidences = _confidence_function(layers, vectors, dim, slice_rows)
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def run(candidates: pa.Array) -> pa.Array:
@@ -244,7 +259,7 @@ def arrow_scorer(model: CandidateModel, slice_rows: int = 8192):
 
 def fold_scorer(models: list[CandidateModel]):
     """Arrow UDF of (fold, candidates): each document is scored by the model of its fold, all in one pass."""
-    functions = [_confidence_function(m) for m in models]
+    functions = [_confidence_function(_layers(m), m.vectors, m.dim) for m in models]
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def run(folds: pa.Array, candidates: pa.Array) -> pa.Array:

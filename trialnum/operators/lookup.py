@@ -31,12 +31,13 @@ def looked_up(
     wide = isinstance(table.schema[value].dataType.jsonValue(), dict)
     values = (F.col(value) if wide else F.array(value)).cast(f"array<{kind}>")
     table = table.select("token", values.alias("_value"))
-    if _bytes(table, 8 * len(default)) <= limit:
+    if table_bytes(table, 8 * len(default)) <= limit:
         return df.withColumn(out, _sent_to_tasks(table, default, kind)(F.col(words)))
     return _joined(df, words, table, F.array(*map(F.lit, default)).cast(f"array<{kind}>"), out)
 
 
-def _bytes(table: DataFrame, width: int) -> int:
+def table_bytes(table: DataFrame, width: int) -> int:
+    """Bytes of the words of a table, with ``width`` for each value."""
     return table.agg(F.sum(F.octet_length("token") + F.lit(width + 8))).first()[0] or 0
 
 

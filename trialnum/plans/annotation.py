@@ -12,9 +12,7 @@ from trialnum.sources.standoff import read_document_ids, read_standoff_lines
 def annotation_tables(spark: SparkSession, folder: str, documents: DataFrame | None = None) -> dict[str, DataFrame]:
     """Entities, relations, both nested per document, gold totals and loose totals.
 
-    Documents are those of the folder's file names, and of ``documents (pmid)`` if given: file
-    sources do not see empty files, so an empty ``.ann`` file without a text file beside it is
-    known from that table only.
+    Documents are those of the folder's file names, empty files too, and of ``documents (pmid)`` if given.
     """
     lines = read_standoff_lines(spark, folder)
     ids = read_document_ids(spark, folder)

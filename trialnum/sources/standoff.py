@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trialnum.operators.annotations import section_text
 from trialnum.operators.numbering import number_rows
 from trialnum.operators.tables import written
+from trialnum.sources.small_files import read_small_files
 
 
 def _pmid_of(name: Column) -> Column:
@@ -15,32 +16,20 @@ def _pmid_of(name: Column) -> Column:
     return F.get(F.split(F.get(F.split(name, "-"), F.lit(1)), r"\."), F.lit(0))
 
 
-def _extension_of(name: Column) -> Column:
-    """What stands between the first and the second dot."""
-    return F.get(F.split(name, r"\."), F.lit(1))
-
-
 def read_standoff_lines(spark: SparkSession, folder: str) -> DataFrame:
     """``(pmid, line_no, line)`` of all ``.ann`` files, numbered within each file."""
-    files = spark.read.text(folder, wholetext=True).select(
-        F.col("_metadata.file_name").alias("name"), "value"
-    )
-    lines = files.filter(_extension_of(F.col("name")) == "ann").select(
+    files = read_small_files(spark, folder, "ann")
+    lines = files.select(
         _pmid_of(F.col("name")).alias("pmid"),
-        F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "line"),
+        F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("line_no", "line"),
     )
     return lines.filter(F.col("line") != "")
 
 
 def read_document_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """Ids of all documents of a folder, from ``.ann`` and ``.txt`` names.
-
-    File sources skip empty files, and a document without annotations has an empty
-    ``.ann`` file; its ``.txt`` file keeps it.
-    """
-    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
-    wanted = files.filter(_extension_of(F.col("name")).isin("ann", "txt"))
-    return wanted.select(_pmid_of(F.col("name")).alias("pmid")).distinct()
+    """Ids of all documents of a folder, from ``.ann`` and ``.txt`` names; files are not opened, empty ones count."""
+    files = read_small_files(spark, folder, "ann", "txt", content=False)
+    return files.select(_pmid_of(F.col("name")).alias("pmid")).distinct()
 
 
 ARTICLE = """
