@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trialnum.sources.csv_records import csv_records
+
 # numbers of texts may have up to 38 digits, as extraction and annotations give them
 DOCUMENTS = "pmid bigint, abstract string"
 LABELLED = "pmid bigint, abstract string, tt_sample_size decimal(38,0)"
@@ -25,7 +27,7 @@ def _whole(text: Column, kind: T.DataType) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, index: bool = False) -> DataFrame:
-    """CSV with a header and quoted, possibly multi-line text.
+    """CSV with a header and quoted, possibly multi-line text; files of any size are read in splits.
 
     ``index`` reads and drops an unnamed leading index column. Whole numbers are read as text and
     cast, so that they keep all digits and may carry a decimal point.
@@ -35,16 +37,10 @@ def read_csv(spark: SparkSession, path: str, schema: str, index: bool = False) -
     raw = T.StructType([T.StructField(f.name, T.StringType() if f in whole else f.dataType) for f in declared])
     if index:
         raw = T.StructType([T.StructField("_index", T.StringType()), *raw])
-    df = (
-        spark.read.schema(raw)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("enforceSchema", True)
-        .csv(path)
-    )
-    return df.select(*[_whole(F.col(f.name), f.dataType).alias(f.name) if f in whole else f.name for f in declared])
+    options = {"quote": '"', "escape": '"', "multiLine": "true"}
+    records = csv_records(spark, path).where("NOT first")
+    rows = records.select(F.from_csv("record", raw.toDDL(), options).alias("_row")).select("_row.*")
+    return rows.select(*[_whole(F.col(f.name), f.dataType).alias(f.name) if f in whole else f.name for f in declared])
 
 
 def read_parquet(spark: SparkSession, path: str, schema: str) -> DataFrame:
