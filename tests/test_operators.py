@@ -241,3 +241,17 @@ def test_exact_cells_do_not_truncate_gold(spark):
     row = ev.confusion_exact(gold, pred).first()
     assert (row["tp"], row["fp"], row["fn"]) == (1, 1, 0)
     assert {r["pmid"]: r["same"] for r in ev.match_rows(gold, pred).collect()} == {1: False, 2: True}
+
+
+def test_cells_read_each_table_once(spark, tmp_path):
+    path = lambda name: str(tmp_path / name)
+    spark.createDataFrame([(1, 5, 0), (1, 5, 1), (2, None, 0)], "pmid long, tt_sample_size long, fold_id int").write.parquet(path("g"))
+    spark.createDataFrame([(1, 5), (3, 4)], "pmid long, pred_ss long").write.parquet(path("p"))
+    spark.createDataFrame([(1, 5, [7])], "pmid long, total long, poss array<long>").write.parquet(path("a"))
+    g, p, a = (spark.read.parquet(path(n)) for n in "gpa")
+    for by_fold in (False, True):
+        plans = [ev.confusion_exact(g, p, by_fold=by_fold), ev.confusion_loose(g, p, a, by_fold=by_fold)]
+        scans = [df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") for df in plans]
+        assert scans == [2, 3]
+        assert "Join" not in plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert [r["tp"] for r in ev.confusion_exact(g, p, by_fold=True).orderBy("fold_id").collect()] == [1, 1]

@@ -1,9 +1,9 @@
 """Predictions against gold: exact or loose match, overall, per fold or inner.
 
-The confusion cells only need counts of row pairs with the same key. Both sides
-are therefore counted per key before they meet, which gives the numbers of the
-row-by-row outer join without building it: a key that holds a third of all rows
-collapses in the map-side aggregation and no pair of rows is ever emitted.
+The confusion cells only need counts of row pairs with the same key. Both sides are one
+tagged table, counted by (key, value) and then by key, and products of the counts are added up. That gives the
+numbers of the row-by-row outer join without building it and reads each table once: a key that
+holds a third of all rows collapses in the map-side aggregation and no pair of rows is ever emitted.
 ``match_rows`` gives the joined rows themselves where they are wanted.
 """
 
@@ -84,83 +84,71 @@ def match_rows(
     )
 
 
-def _count_if(condition: Column, weight: str) -> Column:
-    return F.sum(F.when(condition, F.col(weight)).otherwise(0))
-
-
-def _gold_counts(gold: DataFrame, groups: list[str]) -> DataFrame:
-    """Gold rows per key (and fold): all and those with a value."""
-    return gold.groupBy("pmid", *groups).agg(
-        F.count(F.lit(1)).alias("g_all"), F.count("tt_sample_size").alias("g_some")
-    )
-
-
-def _pred_counts(pred: DataFrame) -> DataFrame:
-    return pred.groupBy("pmid").agg(
-        F.count(F.lit(1)).alias("p_all"), F.count("pred_ss").alias("p_some")
-    )
+def _added(df: DataFrame, keys: list[str], *names: str) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
 
 
 def confusion_exact(
     gold: DataFrame, pred: DataFrame, by_fold: bool = False, how: str = "full_outer"
 ) -> DataFrame:
     """TP, TN, FP, FN, joined rows and gold rows, in one row or one row per fold."""
-    groups = ["fold_id"] if by_fold else []
-    g, p = _keys(gold, "tt_sample_size", *groups), _keys(pred, "pred_ss")
-
-    # pairs with equal values, counted per (pmid, value)
-    g_values = (
-        g.filter(F.col("tt_sample_size").isNotNull())
-        .groupBy("pmid", *groups, F.col("tt_sample_size").alias("value"))
-        .agg(F.count(F.lit(1)).alias("g_n"))
-    )
-    p_values = (
-        p.filter(F.col("pred_ss").isNotNull())
-        .groupBy("pmid", F.col("pred_ss").alias("value"))
-        .agg(F.count(F.lit(1)).alias("p_n"))
+    fold = F.col("fold_id") if by_fold else F.lit(0)
+    sides = gold.select(
+        F.col("pmid").cast("bigint").alias("pmid"), F.col("tt_sample_size").alias("value"), fold.alias("fold_id"),
+        F.lit(1).cast("bigint").alias("g"), F.lit(0).cast("bigint").alias("p"),
     )
     # values meet as they are: a gold number of 50.7 is no 50
-    same = (g_values["pmid"] == p_values["pmid"]) & (g_values["value"] == p_values["value"])
-    hits = (
-        g_values.join(p_values, same, "inner")
-        .groupBy(*groups)
-        .agg(F.coalesce(F.sum(F.col("g_n") * F.col("p_n")), F.lit(0)).alias("tp"))
+    other = _keys(pred, "pred_ss").select(
+        "pmid", F.col("pred_ss").alias("value"), F.lit(None).alias("fold_id"), F.lit(0).cast("bigint").alias("g"), F.lit(1).cast("bigint").alias("p")
     )
-
-    pairs = _gold_counts(g, groups).join(_pred_counts(p), "pmid", how)
-    g_all, g_some = F.coalesce("g_all", F.lit(0)), F.coalesce("g_some", F.lit(0))
-    p_all, p_some = F.coalesce("p_all", F.lit(0)), F.coalesce("p_some", F.lit(0))
-    # a side without rows takes part as one row of NULLs
-    g_rows, p_rows = F.greatest(g_all, F.lit(1)), F.greatest(p_all, F.lit(1))
-    totals = pairs.groupBy(*groups).agg(
-        F.sum((g_rows - g_some) * (p_rows - p_some)).alias("tn"),
-        F.sum(g_rows * p_some).alias("predicted"),
-        F.sum(g_some * (p_rows - p_some)).alias("fn"),
-        F.sum(g_rows * p_rows).alias("joined_rows"),
+    counts = _added(sides.unionByName(other), ["pmid", "value", "fold_id"], "g", "p")
+    # gold rows of the folds that a value stands in, with the predictions that are equal
+    golds = F.collect_list(F.when(F.col("g") > 0, F.struct("fold_id", "g")))
+    values = counts.groupBy("pmid", "value").agg(F.sum("p").alias("p"), golds.alias("golds"))
+    some = F.col("value").isNotNull().cast("int")
+    entries = F.concat(
+        F.array(F.struct(F.lit(None).cast(counts.schema["fold_id"].dataType).alias("fold_id"), F.lit(False).alias("is_gold"), F.lit(0).cast("bigint").alias("g"), F.col("p").alias("p"))),
+        F.transform("golds", lambda x: F.struct(x["fold_id"].alias("fold_id"), F.lit(True).alias("is_gold"), x["g"].alias("g"), F.lit(0).cast("bigint").alias("p"))),
     )
-    totals = totals.withColumn("fp", F.col("predicted")).drop("predicted")
-    wrong = hits.select(*groups, "tp", (-F.col("tp")).alias("fp"))
-    return _cells([totals, wrong], g, groups)
-
+    rows = values.select("pmid", some.alias("some"), F.col("p").alias("equal"), F.inline(entries))
+    rows = rows.select(
+        "pmid", "fold_id", "is_gold", F.col("g").alias("g_all"), (F.col("g") * F.col("some")).alias("g_some"),
+        F.col("p").alias("p_all"), (F.col("p") * F.col("some")).alias("p_some"), (F.col("g") * F.col("equal") * F.col("some")).alias("tp"),
+    )
+    folds = _added(rows, ["pmid", "fold_id", "is_gold"], "g_all", "g_some", "p_all", "p_some", "tp")
+    g_all, g_some = F.coalesce("gold.g_all", F.lit(0)), F.coalesce("gold.g_some", F.lit(0))
+    # a side without rows takes part as one row of NULLs
+    g_rows, p_rows = F.greatest(g_all, F.lit(1)), F.greatest("p_all", F.lit(1))
+    taken = (g_all > 0) & (F.col("p_all") > 0) if how == "inner" else F.lit(True)
+    tp = F.coalesce("gold.tp", F.lit(0))
+    cells = {
+        "tp": tp,
+        "tn": (g_rows - g_some) * (p_rows - F.col("p_some")),
+        "fp": g_rows * F.col("p_some") - tp,
+        "fn": g_some * (p_rows - F.col("p_some")),
+        "joined_rows": g_rows * p_rows,
+    }
+    return _cells(_per_key(folds, ["p_all", "p_some"], ["g_all", "g_some", "tp"]), cells, g_all, taken, by_fold)
+
+
+def _per_key(folds: DataFrame, pred: list[str], gold: list[str]) -> DataFrame:
+    """One row per key and fold of its gold rows, or per key without any, with the key's ``pred`` counts.
+
+    The list that is held for a key has one entry for each of its folds.
+    """
+    listed = F.collect_list(F.when(F.col("is_gold"), F.struct("fold_id", *gold)))
+    keys = folds.groupBy("pmid").agg(*[F.sum(c).alias(c) for c in pred], listed.alias("golds"))
+    return keys.select(*pred, F.explode_outer("golds").alias("gold"))
 
-def _cells(parts: list[DataFrame], gold: DataFrame, groups: list[str]) -> DataFrame:
-    """Adds up partial cell counts, with the row count that accuracy divides by.
 
-    Overall these are all gold rows, per fold the fold's joined rows.
-    """
-    if groups:
-        parts = [p.filter(F.col("fold_id").isNotNull()) for p in parts]
-    else:
-        parts = [*parts, gold.agg(F.count(F.lit(1)).alias("gold_rows"))]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part, allowMissingColumns=True)
-    names = ["tp", "tn", "fp", "fn", "joined_rows"]
-    divisor = F.col("joined_rows" if groups else "gold_rows")
-    return rows.groupBy(*groups).agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names],
-        F.coalesce(F.sum(divisor), F.lit(0)).alias("gold_rows"),
-    )
+def _cells(rows: DataFrame, cells: dict[str, Column], g_all: Column, taken: Column, by_fold: bool) -> DataFrame:
+    """Cells added up, with the row count that accuracy divides by: all gold rows, or the fold's joined rows."""
+    sums = {name: F.when(taken, cell).otherwise(0) for name, cell in cells.items()}
+    sums["gold_rows"] = sums["joined_rows"] if by_fold else g_all
+    totals = [F.coalesce(F.sum(cell), F.lit(0)).alias(name) for name, cell in sums.items()]
+    if not by_fold:
+        return rows.agg(*totals)
+    return rows.where("gold.fold_id IS NOT NULL").groupBy(F.col("gold.fold_id").alias("fold_id")).agg(*totals)
 
 
 def confusion_loose(
@@ -170,53 +158,48 @@ def confusion_loose(
     by_fold: bool = False,
     tolerance: float = TOLERANCE,
 ) -> DataFrame:
-    """As ``confusion_exact``, matching against ``annotations (pmid, total, poss)``.
+    """As ``confusion_exact``, matching against ``annotations (pmid, total, poss)``, one row per document.
 
     Whether a prediction matches depends on its document only, so predictions are
-    judged once per distinct (pmid, value).
+    judged once per distinct (pmid, value), gold rows counted per fold before.
     """
-    groups = ["fold_id"] if by_fold else []
-    g, p = _keys(gold, "tt_sample_size", *groups), _keys(pred, "pred_ss")
+    fold = F.col("fold_id") if by_fold else F.lit(0)
+    none = F.lit(0).cast("bigint")
+    g = gold.select(F.col("pmid").cast("bigint").alias("pmid"), fold.alias("fold_id"), F.col("tt_sample_size").isNotNull().cast("bigint").alias("some"))
+    g = g.groupBy("pmid", "fold_id").agg(F.count(F.lit(1)).alias("g_all"), F.sum("some").alias("g_some"))
+    p = _keys(pred, "pred_ss").groupBy("pmid", "pred_ss").agg(F.count(F.lit(1)).alias("n"))
+    sides = g.select("*", F.lit(True).alias("is_gold"), none.alias("n")).unionByName(
+        p.select("*", F.lit(False).alias("is_gold"), none.alias("g_all"), none.alias("g_some")), allowMissingColumns=True
+    )
     ann = annotations.select(
         F.col("pmid").cast("bigint").alias("pmid"), "total", "poss", F.lit(True).alias("_known")
     )
-    values = p.groupBy("pmid", "pred_ss").agg(F.count(F.lit(1)).alias("n"))
-    keys = _gold_counts(g, groups)
-    # documents without a prediction row meet the match rule with a NULL prediction
-    unpredicted = (
-        keys.select("pmid").distinct().join(values.select("pmid").distinct(), "pmid", "left_anti")
-    ).select("pmid", F.lit(None).cast("bigint").alias("pred_ss"), F.lit(1).cast("bigint").alias("n"))
-    judged = (
-        values.unionByName(unpredicted)
-        .join(ann, "pmid", "left")
-        .select(
-            "pmid", "pred_ss", "n",
-            loose_match(
-                F.col("total"), F.col("poss"), F.col("pred_ss"), F.col("_known"), tolerance
-            ).alias("same"),
-        )
-    )
-    has = F.col("pred_ss").isNotNull()
-    per_key = judged.groupBy("pmid").agg(
-        F.sum("n").alias("p_rows"),
-        _count_if(F.col("same"), "n").alias("p_same"),
-        _count_if(has & ~F.col("same"), "n").alias("p_wrong"),
-        _count_if(~has, "n").alias("p_none"),
+    # a gold row has no prediction here, so for it this tells whether a missing one would match
+    same = loose_match(F.col("total"), F.col("poss"), F.col("pred_ss"), F.col("_known"), tolerance)
+    judged = sides.join(ann, "pmid", "left").withColumn("same", same)
+    has, predicted = F.col("pred_ss").isNotNull(), F.col("n")
+    rows = judged.select(
+        "pmid", "fold_id", "is_gold", "g_all", "g_some", predicted.alias("p_all"),
+        F.when(F.col("same"), predicted).otherwise(0).alias("p_same"),
+        F.when(has & ~F.col("same"), predicted).otherwise(0).alias("p_wrong"),
+        F.when(~has, predicted).otherwise(0).alias("p_none"),
+        F.when(F.col("is_gold") & F.col("same"), 1).otherwise(0).alias("none_same"),
     )
-    g_all, g_some = F.coalesce("g_all", F.lit(0)), F.coalesce("g_some", F.lit(0))
+    keys = _per_key(rows, ["p_all", "p_same", "p_wrong", "p_none", "none_same"], ["g_all", "g_some"])
+    g_all, g_some = F.coalesce("gold.g_all", F.lit(0)), F.coalesce("gold.g_some", F.lit(0))
     g_rows = F.greatest(g_all, F.lit(1))
-    totals = (
-        keys.join(per_key, "pmid", "full_outer")
-        .groupBy(*groups)
-        .agg(
-            F.sum(g_some * F.col("p_same")).alias("tp"),
-            F.sum((g_rows - g_some) * F.col("p_none")).alias("tn"),
-            F.sum(g_rows * F.col("p_wrong")).alias("fp"),
-            F.sum(g_some * F.col("p_none")).alias("fn"),
-            F.sum(g_rows * F.col("p_rows")).alias("joined_rows"),
-        )
-    )
-    return _cells([totals], g, groups)
+    # documents without a prediction row meet the match rule with a NULL prediction
+    missing = F.col("p_all") == 0
+    p_same = F.when(missing, F.least("none_same", F.lit(1))).otherwise(F.col("p_same"))
+    p_none = F.when(missing, 1).otherwise(F.col("p_none"))
+    cells = {
+        "tp": g_some * p_same,
+        "tn": (g_rows - g_some) * p_none,
+        "fp": g_rows * F.col("p_wrong"),
+        "fn": g_some * p_none,
+        "joined_rows": g_rows * F.greatest("p_all", F.lit(1)),
+    }
+    return _cells(keys, cells, g_all, F.lit(True), by_fold)
 
 
 def metrics(confusion: DataFrame) -> DataFrame:
