@@ -99,3 +99,19 @@ def test_every_word_gets_its_own_class(spark):
     held = [r for r in rows if r.held_out]
     n = sum(r.n_tokens for r in held)
     assert 10 ** (-sum(r.score for r in held) / n) < 0.6 * 10 ** (-sum(r.base_score for r in held) / n)
+
+
+def test_ranges_cut_both_sides_at_the_same_words(monkeypatch):
+    from trialnum.llm import brown
+
+    rng = np.random.default_rng(3)
+    owners = [np.sort(rng.integers(0, 50, 400)), np.sort(rng.integers(10, 60, 300))]
+    for entries, words in ((1, 1000), (37, 1000), (10**6, 7), (10**6, 1000)):
+        monkeypatch.setattr(brown, "RANGE_ENTRIES", entries)
+        monkeypatch.setattr(brown, "RANGE_WORDS", words)
+        found = list(brown._ranges(owners))
+        for side, own in enumerate(owners):
+            spans = [r[side] for r in found]
+            assert spans[0][0] == 0 and spans[-1][1] == len(own) and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+        sets = [{int(w) for own, (a, z) in zip(owners, r) for w in own[a:z]} for r in found]
+        assert sum(map(len, sets)) == len(set().union(*sets)) and all(len(x) <= words for x in sets)

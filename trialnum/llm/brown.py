@@ -19,6 +19,7 @@ HELD = 500_000  # distinct words that a task counts before it passes them on
 BANDS = 16  # bands of counts to a factor of two
 PAIRS = 4_000_000  # pairs of words that a task holds before it passes them on
 SLICE = 100_000  # entries of words whose moves are weighed at once
+RANGE_ENTRIES, RANGE_WORDS = 400_000, 50_000  # entries and words of a range that is unpacked at once; a single word may have more
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -198,6 +199,17 @@ def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _ranges(owners: list[np.ndarray]) -> Iterator[list[tuple[int, int]]]:
+    """Cuts sorted lists at the same words, so that about RANGE_ENTRIES of all and at most RANGE_WORDS words lie between."""
+    ws = np.unique(np.concatenate(owners))
+    ends = [np.searchsorted(own, ws, "right") for own in owners]
+    lot = np.maximum(sum(ends) // RANGE_ENTRIES, 0)
+    first = np.flatnonzero(np.diff(lot, prepend=-1) != 0)
+    cuts = np.unique(np.concatenate([first, np.arange(0, len(ws), RANGE_WORDS)])).tolist()
+    for k, to in zip(cuts, [*cuts[1:], len(ws)], strict=True):
+        yield [(int(end[k - 1]) if k else 0, int(end[to - 1])) for end in ends]
+
+
 def word_pairs(texts: DataFrame, words, size: int, parts: int) -> DataFrame:
     """(count, before, after_count, after): each word's neighbours before and after it, packed by ranges of words."""
 
@@ -232,11 +244,12 @@ def word_pairs(texts: DataFrame, words, size: int, parts: int) -> DataFrame:
             for p, side, count, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found.setdefault((p, side), []).append((count, blob))
         for p in sorted({p for p, _ in found}):
-            row: tuple = ()
-            for side in (0, 1):
-                code, n = _summed(*(np.concatenate(x) for x in zip(*[_unpacked(*b) for b in found.pop((p, side))], strict=True)))
-                row += (len(code), _packed(code, n))
-            yield batch_of([row], (pa.int64(), pa.binary()) * 2, ["count", "before", "after_count", "after"])
+            sides = [_summed(*(np.concatenate(x) for x in zip(*[_unpacked(*b) for b in found.pop((p, side))], strict=True))) for side in (0, 1)]
+            for ranges in _ranges([code // size for code, _ in sides]):
+                row: tuple = ()
+                for (code, n), (a, z) in zip(sides, ranges, strict=True):
+                    row += (z - a, _packed(code[a:z], n[a:z]))
+                yield batch_of([row], (pa.int64(), pa.binary()) * 2, ["count", "before", "after_count", "after"])
 
     packed = texts.select("text").mapInArrow(run, "part int, side int, count long, pairs binary")
     return materialize(packed.repartition(parts, "part").mapInArrow(merge, "count long, before binary, after_count long, after binary"))
@@ -272,9 +285,11 @@ def move_gains(sides: dict[int, tuple[np.ndarray, np.ndarray]], of: np.ndarray,
     gain = np.zeros((len(ws), classes))
     for side, (code, n) in sides.items():
         at = np.searchsorted(ws, code // size)
-        key, n = _summed(at * classes + of[code % size], n)
-        at, c, n = key // classes, key % classes, n.astype(float)
-        cells = g if side == 0 else g.T  # by class of the neighbour, class of the word
+        met = np.bincount(at * classes + of[code % size], n, len(ws) * classes)
+        key = np.flatnonzero(met)
+        at, c, n = key // classes, key % classes, met[key]
+        cells = g if side == 0 else np.ascontiguousarray(g.T)  # by class of the neighbour, class of the word
+        known = _f(cells)
         own = a[at]
         ends = np.searchsorted(at, np.arange(len(ws) + 1))
         cut = 0
@@ -283,9 +298,9 @@ def move_gains(sides: dict[int, tuple[np.ndarray, np.ndarray]], of: np.ndarray,
             x, z = ends[cut], ends[to]
             if x < z:
                 row = cells[c[x:z]]
-                grown = _f(row + n[x:z, None]) - _f(row)
+                grown = _f(row + n[x:z, None]) - known[c[x:z]]
                 mine = row[np.arange(z - x), own[x:z]]
-                grown[np.arange(z - x), own[x:z]] = _f(mine) - _f(np.maximum(mine - n[x:z], 0))
+                grown[np.arange(z - x), own[x:z]] = known[c[x:z], own[x:z]] - _f(np.maximum(mine - n[x:z], 0))
                 first = np.flatnonzero(np.diff(at[x:z], prepend=-1))
                 gain[at[x:z][first]] += np.add.reduceat(grown, first)
             cut = to
@@ -329,7 +344,9 @@ def cluster_words(pairs: DataFrame, of: np.ndarray, classes: int, least: float =
     g = class_pairs(pairs, sent, size, classes)
     now = begun = class_likelihood(g)
     while True:
-        w, c, gain = word_moves(pairs, sent, context.broadcast(g), size)
+        cells = context.broadcast(g)
+        w, c, gain = word_moves(pairs, sent, cells, size)
+        cells.unpersist()
         order = np.lexsort((w, -gain))
         step = 0.0
         while len(order):
@@ -338,6 +355,7 @@ def cluster_words(pairs: DataFrame, of: np.ndarray, classes: int, least: float =
             try_sent = context.broadcast(new)
             h = class_pairs(pairs, try_sent, size, classes)
             if (step := class_likelihood(h) - now) > 0:
+                sent.unpersist()
                 of, sent, g, now = new, try_sent, h, now + step
                 break
             try_sent.unpersist()
