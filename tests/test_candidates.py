@@ -9,7 +9,8 @@ from trialnum.functions import tokens as tk
 from trialnum.operators.candidates import build_candidates, explode_candidates, with_features
 from trialnum.operators.labels import label_value, labelled_candidates, token_labels
 from trialnum.operators.classifier import one_hot_tags
-from trialnum.operators.vocabulary import lexicon_words
+from trialnum.operators.lexicon import tagged
+from trialnum.operators.lookup import LOOKUP_BYTES
 
 EXAMPLE_TEXT = (
     "TITLE: No clinical benefit of high dose corticosteroid administration in patients with COVID-19. "
@@ -139,14 +140,23 @@ def test_tags_small_and_large_lexicon(spark):
     assert got == ["DT", "CD", "-LRB-", "NN", "CD", "XX"]
 
 
-def test_lexicon_table(spark):
-    table = spark.createDataFrame([("The", "DT"), ("zzz", "NN"), ("zzz", "JJ")], "token string, tag string")
-    lexicon = lexicon_words(table)
-    assert lexicon == {"DT": ["the"], "JJ": ["zzz"]}
-    df = spark.createDataFrame([(["the", "ZZZ", "patients"],)], "t array<string>")
-    assert df.select(tk.tag_tokens(F.col("t"), lexicon)).first()[0] == ["DT", "JJ", "XX"]
-    with pytest.raises(ValueError):
-        lexicon_words(table, max_words=1)
+@pytest.mark.parametrize("limit", [0, LOOKUP_BYTES])
+def test_lexicon_table(spark, limit):
+    table = spark.createDataFrame([("The", "DT"), ("zzz", "NN"), ("zzz", "JJ"), ("odd", "no tag"), (".", "NN"), ("7", "NN")], "token string, tag string")
+    df = spark.createDataFrame([(["the", "ZZZ", "patients", "odd", ".", "7", "8.5", "The"],), ([],), (None,)], "t array<string>")
+    got = [r["tags"] for r in tagged(df, "t", table, limit=limit).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [["DT", "JJ", "XX", "XX", ".", "NN", "CD", "DT"], [], None]))
+
+
+def test_lexicon_of_a_million_words(spark):
+    table = spark.range(1_000_000).selectExpr("concat('word', id) AS token", "CASE WHEN id % 2 = 0 THEN 'NN' ELSE 'VB' END AS tag")
+    words = [f"Word{i}" for i in (3, 999_998, 1_000_000)]
+    df = spark.createDataFrame([(words,)], "t array<string>")
+    assert tagged(df, "t", table).first()["tags"] == ["VB", "NN", "XX"]
+    table = table.unionByName(spark.createDataFrame([("aaa", "NN"), ("Bbb", "VB"), ("7", "SYM")], "token string, tag string"))
+    docs = spark.createDataFrame([(1, "aaa 50 BBB 7"), (2, "none"), (3, "8")], "pmid long, abstract string")
+    rows = explode_candidates(build_candidates(docs, lexicon=table)).orderBy("pmid", "idx").collect()
+    assert [(r["num"], r["left_pos"], r["right_pos"]) for r in rows] == [(50, "NN", "VB"), (7, "VB", "XX"), (8, "XX", "XX")]
 
 
 def test_pandas_tokenizer(spark):

@@ -110,6 +110,14 @@ def _tag(column: str) -> str:
     return f"CASE WHEN regexp_full_match({column}, '[0-9]+([.,][0-9]+)*') THEN 'CD' {marks} {words} ELSE 'XX' END"
 
 
+def _lexicon_tag(column: str) -> str:
+    """Tag by the length of a word that the trial texts have, as the lexicon query makes it."""
+    marks = " ".join(f"WHEN {column} = {_text(m)} THEN {_text(t)}" for m, t in PUNCTUATION_TAGS.items())
+    known = f"lower({column}) IN (SELECT token FROM vocab)"
+    return f"""CASE WHEN {column} IS NULL THEN 'XX' {marks} WHEN {known} THEN (['NN', 'VB', 'JJ'])[1 + length({column}) % 3]
+  WHEN regexp_full_match({column}, '[0-9]+([.,][0-9]+)*') THEN 'CD' ELSE 'XX' END"""
+
+
 FEATURES = f"""
 win AS (SELECT *, count(*) OVER (PARTITION BY pmid) AS n,
   lag(lower(tok), 2, 'BoS') OVER w AS ll, lag(lower(tok), 1, 'BoS') OVER w AS l,
@@ -252,6 +260,11 @@ def vocabulary(source: str, k: int) -> str:
     return f"WITH {source}, {WORDS} SELECT token, id, cnt FROM vocab WHERE id <= {k}"
 
 
+def lexicon_tags() -> str:
+    return f"""WITH raw_src AS ({_table(fx.TRIAL_ABSTRACTS)}), {WORDS.replace("FROM src", "FROM raw_src")}, {NORMAL}, {tokens('src')}
+SELECT pmid, string_agg({_lexicon_tag('raw')}, ' ' ORDER BY idx) AS tags FROM tok GROUP BY pmid"""
+
+
 def rewritten(known: str) -> str:
     return f"""WITH {DOCUMENTS}, {WORDS}
 SELECT s.pmid, coalesce(string_agg(CASE WHEN {known} THEN wr.token ELSE 'unkunk' END, ' ' ORDER BY wr.pos), '')
@@ -333,6 +346,11 @@ FROM orders""",
     "n_equals": token_text(NORMAL, "tok"),
     "token_tags": f"""WITH {NORMAL}, {tokens('src')}
 SELECT pmid, string_agg({_tag('raw')}, ' ' ORDER BY idx) AS tags FROM tok GROUP BY pmid""",
+    "token_tags_lexicon": lexicon_tags(),
+    "token_tags_joined": lexicon_tags(),
+    "pos_tags_lexicon": f"""WITH raw_src AS ({_table(fx.TRIAL_ABSTRACTS)}), {WORDS.replace("FROM src", "FROM raw_src")},
+{NORMAL}, {tokens('src')}, {FEATURES}
+SELECT pmid, idx, CAST(num AS VARCHAR) AS num, {_lexicon_tag("l_raw")} AS left_pos, {_lexicon_tag("r_raw")} AS right_pos FROM f""",
     "candidates": f"WITH {NORMAL}, {tokens('src')} SELECT pmid, idx, CAST(num AS VARCHAR) AS num FROM num WHERE num IS NOT NULL",
     "candidates_documents": f"""WITH {DOCUMENTS}, {JOINED}, {RUNS}, {REBUILT}, {tokens('normal', 't')}
 SELECT pmid, idx, CAST(num AS VARCHAR) AS num FROM num WHERE num IS NOT NULL""",

@@ -21,6 +21,7 @@ from trialnum.operators.candidates import (
     with_tokens,
 )
 from trialnum.operators.classifier import arrow_scorer, network_scorer, one_hot_tags
+from trialnum.operators.lexicon import tagged
 from trialnum.plans import extraction, training
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +87,28 @@ def token_tags(s: SparkSession, d: str) -> DataFrame:
     return rows.select("pmid", F.array_join(toks.tag_tokens(F.col("raw_tokens")), " ").alias("tags"))
 
 
+def _lexicon(s: SparkSession, d: str) -> DataFrame:
+    """Every word of the trial texts, with a tag that follows from its length."""
+    tag = F.element_at(F.array(F.lit("NN"), F.lit("VB"), F.lit("JJ")), F.length("token") % 3 + 1)
+    return vocabulary.word_counts(TRIALS(s, d)).select("token", tag.alias("tag"))
+
+
+def lexicon_tags(joined: bool = False) -> Query:
+    """Tags of all tokens from a lexicon table: sent to the tasks, or joined."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        rows = tagged(with_tokens(TRIALS(s, d)), "raw_tokens", _lexicon(s, d), **({"limit": 0} if joined else {}))
+        return rows.select("pmid", F.array_join("tags", " ").alias("tags"))
+
+    return run
+
+
+def lexicon_pos_tags(s: SparkSession, d: str) -> DataFrame:
+    """Tags of the neighbours of every candidate, from a lexicon table."""
+    rows = explode_candidates(build_candidates(TRIALS(s, d), lexicon=_lexicon(s, d)))
+    return rows.select("pmid", "idx", F.expr(NUM), "left_pos", "right_pos")
+
+
 def _candidates(s: SparkSession, d: str, source: Source = TRIALS, features: bool = True) -> DataFrame:
     return explode_candidates(build_candidates(source(s, d), features=features))
 
@@ -483,6 +506,9 @@ QUERIES: dict[str, Query] = {
     "tokenize_documents": tokenize(DOCUMENTS, "raw_tokens", normalize=False),
     "n_equals": tokenize(TRIALS),
     "token_tags": token_tags,
+    "token_tags_lexicon": lexicon_tags(),
+    "token_tags_joined": lexicon_tags(joined=True),
+    "pos_tags_lexicon": lexicon_pos_tags,
     "candidates": candidates(TRIALS),
     "candidates_documents": candidates(DOCUMENTS),
     "neighbour_words": feature_query(TRIALS, words=True),

@@ -23,6 +23,8 @@ from trialnum.functions.tokens import (
     rewrite_n_equals,
     tag_token,
 )
+from trialnum.operators.lexicon import lexicon_codes, tag_from_code
+from trialnum.operators.lookup import looked_up
 
 ColumnFunction = Callable[[Column], Column]
 
@@ -133,6 +135,7 @@ def with_features(
     tagger: ColumnFunction | None = tag_token,
     tags: str | None = None,
     long_numbers: int | None = None,
+    lexicon: DataFrame | None = None,
 ) -> DataFrame:
     """``raw_tokens`` and ``tokens`` give ``candidates``, one struct per integer token.
 
@@ -140,11 +143,14 @@ def with_features(
     optimizer keeps it and evaluates it once per document.
 
     Tags come from ``tags`` (an array column along the tokens) or from ``tagger``,
-    which is evaluated for the two neighbours of a candidate only. ``long_numbers`` see
+    which is evaluated for the two neighbours of a candidate only, or from a ``lexicon`` table, where the
+    neighbours of all candidates of a document are looked up together. ``long_numbers`` see
     ``with_spread_number_flags``.
     """
 
-    def tag_at(i: Column) -> Column:
+    def tag_at(i: Column, place: Column) -> Column:
+        if lexicon is not None:
+            return tag_from_code(F.get(F.col("raw_tokens"), i), F.get(F.col("_codes"), place))
         if tags is not None:
             return F.get(F.col(tags), i)
         if tagger is None:
@@ -154,6 +160,11 @@ def with_features(
     tokens = F.col("tokens")
     df = df.withColumn("_hits", numbers_at(tokens, number_positions(tokens)))
     df = df.withColumn("_written", F.transform("_hits", lambda c: c["written"]))
+    if lexicon is not None:
+        raw = F.col("raw_tokens")
+        beside = F.transform("_hits", lambda c: F.array(F.lower(F.get(raw, c["idx"] - 1)), F.lower(F.get(raw, c["idx"] + 1))))
+        df = fenced(df.withColumn("_beside", F.flatten(beside)), "_beside")
+        df = fenced(looked_up(df, "_beside", lexicon_codes(lexicon), "code", [0], "_codes"), "_codes").drop("_beside")
     df = with_number_flags(df) if long_numbers is None else with_spread_number_flags(df, long_numbers)
     df = df.withColumn("_n", F.size(tokens))
     df = df.withColumn("_lowered", F.when(F.size("_hits") > 0, F.transform(tokens, F.lower)))
@@ -175,12 +186,12 @@ def with_features(
             num.alias("num"),
             feat.left_words(lowered, i).alias("left_word"),
             feat.right_words(lowered, i, n).alias("right_word"),
-            F.when(i == 0, UNKNOWN_TAG).otherwise(tag_at(i - 1)).alias("left_pos"),
-            F.when(i == n - 1, UNKNOWN_TAG).otherwise(tag_at(i + 1)).alias("right_pos"),
+            F.when(i == 0, UNKNOWN_TAG).otherwise(tag_at(i - 1, 2 * k)).alias("left_pos"),
+            F.when(i == n - 1, UNKNOWN_TAG).otherwise(tag_at(i + 1, 2 * k + 1)).alias("right_pos"),
             feat.other_features(num, c["around"], c["ahead"], flags).alias("other"),
         )
 
-    helpers = ["_hits", "_written", "_flags", "_n", "_lowered"]
+    helpers = ["_hits", "_written", "_flags", "_n", "_lowered", "_codes"]
     # windows first, as each is searched for several keyword lists
     candidates = F.transform(F.transform("_hits", windows), features)
     return fenced(df.withColumn("candidates", candidates).drop(*helpers), "candidates")
@@ -209,12 +220,14 @@ def build_candidates(
     features: bool = True,
     long_numbers: int | None = None,
     neighbours: bool = False,
+    lexicon: DataFrame | None = None,
 ) -> DataFrame:
     """One row per document with its ``candidates`` array (empty if it has no integer).
 
     ``normalize=False`` leaves number words as they stand, as for training rows. A
     ``tagger`` made of built-in functions tags single tokens; an ``array_tagger``
-    tags all tokens of a document at once and may, like ``tokenizer``, be a UDF.
+    tags all tokens of a document at once and may, like ``tokenizer``, be a UDF; a ``lexicon (token, tag)`` of
+    any size takes the place of both.
     ``features=False`` makes ``idx`` and ``num`` only: the optimizer cannot leave out fields of
     an array's structs, so whoever needs no features asks for none; with ``neighbours`` the
     words around are there all the same. ``long_numbers`` is for
@@ -227,7 +240,7 @@ def build_candidates(
     if array_tagger is not None:
         df = fenced(df, "raw_tokens")
         df = fenced(df.withColumn("_tags", array_tagger(F.col("raw_tokens"))), "_tags")
-    df = with_features(df, tagger, "_tags" if array_tagger is not None else None, long_numbers)
+    df = with_features(df, tagger, "_tags" if array_tagger is not None else None, long_numbers, lexicon)
     df = df.drop("raw_tokens", "tokens", "_tags")
     return df if keep_text else df.drop(text)
 

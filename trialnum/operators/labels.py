@@ -37,13 +37,15 @@ def labelled_candidates(
     tagger: ColumnFunction | None = tag_token,
     array_tagger: ColumnFunction | None = None,
     features: bool = True,
+    lexicon: DataFrame | None = None,
 ) -> DataFrame:
     """One row per candidate with features (or position and number only) and ``label``.
 
     ``normalize=False`` trains on number words as written.
     """
     docs = build_candidates(
-        df, normalize=normalize, tokenizer=tokenizer, tagger=tagger, array_tagger=array_tagger, features=features
+        df, normalize=normalize, tokenizer=tokenizer, tagger=tagger, array_tagger=array_tagger, features=features,
+        lexicon=lexicon,
     )
     rows = explode_candidates(docs)
     return rows.withColumn("label", candidate_label(F.col("num"), F.col(gold)))

@@ -92,22 +92,6 @@ def vocabulary_vectors(
     )
 
 
-def lexicon_words(table: DataFrame, max_words: int = 500_000) -> dict[str, list[str]]:
-    """Words by tag of a lexicon table ``(token, tag)``, for ``tag_token``.
-
-    A lexicon is a word list of a language and does not grow with the corpus; a table
-    beyond ``max_words`` is refused. Of several tags the first in order is taken.
-    """
-    words = table.groupBy(F.lower("token").alias("token")).agg(F.min("tag").alias("tag"))
-    rows = words.limit(max_words + 1).collect()
-    if len(rows) > max_words:
-        raise ValueError(f"lexicon has more than {max_words} words")
-    lexicon: dict[str, list[str]] = {}
-    for row in rows:
-        lexicon.setdefault(row["tag"], []).append(row["token"])
-    return lexicon
-
-
 def neighbour_words() -> Column:
     """Both left and both right words of a candidate row; of a row without a candidate four that no table knows."""
     none = F.array(*[F.lit(None).cast("string")] * 4)

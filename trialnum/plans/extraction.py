@@ -19,6 +19,7 @@ def extract(
     tokenizer: ColumnFunction | None = None,
     tagger: ColumnFunction | None = tag_token,
     array_tagger: ColumnFunction | None = None,
+    lexicon: DataFrame | None = None,
 ) -> DataFrame:
     """Best number of every document, one output row per input row.
 
@@ -30,6 +31,7 @@ def extract(
         tokenizer=tokenizer,
         tagger=tagger,
         array_tagger=array_tagger,
+        lexicon=lexicon,
     )
     return best_numbers(docs.withColumn("_conf", model.confidences(F.col("candidates"))), keep, report)
 
