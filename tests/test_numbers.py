@@ -132,3 +132,12 @@ def test_annotated_numbers(spark):
 @pytest.mark.parametrize("text,want", [("Total_Sample_SIZE", "Total_sample_size"), ("x", "X"), ("", "")])
 def test_capitalize(spark, text, want):
     assert apply(spark, n.capitalize, [text]) == [want]
+
+
+def test_very_long_runs_take_seconds(spark):
+    import time
+
+    for text, want in (("two " + "hundred " * 100_000, "2" + "0" * 200_000), ("seven trillion " * 20_000, "7" + "000000000007" * 19_999 + "0" * 12)):
+        start = time.time()
+        assert apply(spark, n.group_value, [text]) == [want]
+        assert time.time() - start < 60

@@ -67,101 +67,66 @@ def number_groups(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(NUMBER_GROUP_PATTERN), F.lit(0))
 
 
+LIMB = 12  # decimal digits that are added up together
+
+
 def group_value(group: Column) -> Column:
-    """Decimal digits (as text) of one run of number words.
+    """Decimal digits (as text) of one run of number words, exact at every length.
 
     Read from right to left, every plain word counts times the scale words open at
-    that point; a larger scale word closes smaller ones. All scales are powers of
-    ten, so a run is a sum of (value, exponent) terms. Runs that surely fit are
-    summed as BIGINT on the way, others are added digit by digit, hence exact at
-    every length.
+    that point; a larger scale word closes smaller ones. So the run is parted at its largest scale word, the parts at the
+    next one, and so on: a word counts times 10 to the scale words of each kind to its right in its part. These (exponent,
+    value) terms are sorted, added up by twelve digits, and carried once.
     """
-    words = F.regexp_extract_all(F.lower(group), F.lit(NUMBER_WORD_PATTERN), F.lit(0))
-
-    def value(words: Column) -> Column:
-        exponents = F.aggregate(words, F.lit(0), lambda s, w: s + F.coalesce(_scale(w), F.lit(0)))
-        # 90 * 100,000 * 10^12 stays below 2^63
-        fits = (exponents <= 12) & (F.size(words) <= 100_000)
-        return F.when(fits, _small_value(words)).otherwise(_any_value(words))
-
-    # one-element array, so that the words are found once
-    return F.get(F.transform(F.array(words), value), F.lit(0))
-
-
-def _scale(word: Column) -> Column:
-    """Exponent of a scale word, NULL for plain number words."""
-    pairs = [F.lit(x) for w, e in SCALE_EXPONENTS.items() for x in (w, e)]
-    return F.try_element_at(F.create_map(*pairs), word)
-
-
-def _opened(scales: Column, scale: Column) -> Column:
-    """Open scales after a further one: smaller ones are closed."""
-    return F.concat(F.filter(scales, lambda e: e >= scale), F.array(scale))
-
-
-def _exponent(scales: Column) -> Column:
-    return F.aggregate(scales, F.lit(0), lambda a, b: a + b)
-
-
-def _small_value(words: Column) -> Column:
-    powers = F.array(*[F.lit(10**e) for e in range(13)]).cast("array<bigint>")
-    start = F.struct(
-        F.array().cast("array<int>").alias("open"), F.lit(0).cast("bigint").alias("sum")
-    )
-
-    def step(acc: Column, word: Column) -> Column:
-        scale = _scale(word)
-        added = number_word_value(word) * F.get(powers, _exponent(acc["open"]))
-        return F.when(
-            scale.isNotNull(),
-            F.struct(_opened(acc["open"], scale).alias("open"), acc["sum"].alias("sum")),
-        ).otherwise(F.struct(acc["open"].alias("open"), (acc["sum"] + added).alias("sum")))
-
-    return F.aggregate(F.reverse(words), start, step, lambda acc: acc["sum"].cast("string"))
-
-
-def _any_value(words: Column) -> Column:
-    start = F.struct(
-        F.array().cast("array<int>").alias("open"),
-        F.array().cast("array<struct<v:bigint,e:int>>").alias("terms"),
-    )
-
-    def step(acc: Column, word: Column) -> Column:
-        scale = _scale(word)
-        term = F.struct(number_word_value(word).alias("v"), _exponent(acc["open"]).alias("e"))
-        return F.when(
-            scale.isNotNull(),
-            F.struct(_opened(acc["open"], scale).alias("open"), acc["terms"].alias("terms")),
-        ).otherwise(
-            F.struct(
-                acc["open"].alias("open"),
-                F.concat(acc["terms"], F.array(term)).alias("terms"),
-            )
+    words = F.array_join(F.regexp_extract_all(F.lower(group), F.lit(NUMBER_WORD_PATTERN), F.lit(0)), " ")
+    scales = sorted(SCALE_EXPONENTS.items(), key=lambda x: -x[1])
+    return _digits(F.array_sort(_terms(words, scales, F.lit(0))))
+
+
+def _terms(words: Column, scales: list[tuple[str, int]], exponent: Column) -> Column:
+    """(exponent, value) of all plain words of a text in which no other scale words than ``scales`` are left."""
+    if not scales:
+        plain = F.filter(F.split(words, " "), lambda w: w != "")
+        return F.transform(plain, lambda w: F.struct(exponent.alias("e"), number_word_value(w).alias("v")))
+    (scale, power), smaller = scales[0], scales[1:]
+
+    def of_parts(parts: Column) -> Column:
+        # as many scale words stand to the right of a part as parts do
+        return F.flatten(
+            F.transform(parts, lambda p, k: _terms(p, smaller, exponent + F.lit(power) * (F.size(parts) - 1 - k)))
         )
 
-    return F.aggregate(F.reverse(words), start, step, lambda acc: _add_by_digit(acc["terms"]))
+    # one-element array, so that the parts are made once
+    return F.get(F.transform(F.array(F.split(words, scale)), of_parts), F.lit(0))
 
 
-def _add_by_digit(terms: Column) -> Column:
-    top = F.coalesce(F.array_max(F.transform(terms, lambda t: t["e"])), F.lit(0))
-    start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.lit("").alias("digits"))
+def _digits(terms: Column) -> Column:
+    """The sum of sorted (exponent, value) terms as decimal digits.
 
-    def step(acc: Column, place: Column) -> Column:
-        here = F.aggregate(
-            terms, acc["carry"], lambda s, t: s + F.when(t["e"] == place, t["v"]).otherwise(0)
-        )
-        return F.struct(
-            F.floor(here / 10).alias("carry"),
-            F.concat((here % 10).cast("string"), acc["digits"]).alias("digits"),
+    A limb's sum stays below 90 * 10^11 times the number of words, which BIGINT holds for a million words.
+    """
+    base = F.lit(10**LIMB).cast("bigint")
+    powers = F.array(*[F.lit(10**e) for e in range(LIMB)]).cast("array<bigint>")
+    limb_text = lambda x: F.lpad(x.cast("string"), LIMB, "0")
+    over = lambda x, y: F.call_function("div", x, y)
+    start = F.struct(F.lit(0).cast("bigint").alias("limb"), F.lit(0).cast("bigint").alias("sum"), F.lit("").alias("digits"))
+
+    def step(acc: Column, term: Column) -> Column:
+        place = over(term["e"], F.lit(LIMB)).cast("bigint")
+        added = term["v"] * F.get(powers, term["e"] % LIMB)
+        gap, carry = place - acc["limb"], over(acc["sum"], base)
+        lowest = F.concat(limb_text(acc["sum"] % base), acc["digits"])
+        between = F.concat(F.repeat(F.lit("0"), (LIMB * (gap - 2)).cast("int")), limb_text(carry), lowest)
+        return (
+            F.when(gap == 0, F.struct(place.alias("limb"), (acc["sum"] + added).alias("sum"), acc["digits"].alias("digits")))
+            .when(gap == 1, F.struct(place.alias("limb"), (carry + added).alias("sum"), lowest.alias("digits")))
+            .otherwise(F.struct(place.alias("limb"), added.alias("sum"), between.alias("digits")))
         )
 
-    all_digits = F.aggregate(
-        F.sequence(F.lit(0), top),
-        start,
-        step,
-        lambda acc: F.concat(acc["carry"].cast("string"), acc["digits"]),
-    )
-    return F.regexp_replace(all_digits, "^0+(?=[0-9])", "")
+    def shown(acc: Column) -> Column:
+        return F.regexp_replace(F.concat(acc["sum"].cast("string"), acc["digits"]), "^0+(?=[0-9])", "")
+
+    return F.aggregate(terms, start, step, shown)
 
 
 def replace_number_words(text: Column) -> Column:
