@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialnum.llm.shared import materialize
+from trialnum.llm.shared import arrow_schema, materialize
 
 BLOCK_BITS, WIDE_BITS = 10, 6  # rows of a block, blocks joined first; both as powers of two
 PLACE_BITS = 33  # bits of a row's place within its partition
@@ -179,12 +179,6 @@ def _parts_schema(conv: T.DataType) -> str:
     return f"conv_id {conv.simpleString()}, block long, edge boolean, first string, last string, {counts}, paths {PATHS}"
 
 
-def _arrow_schema(schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(T.StructType.fromDDL(schema))
-
-
 def _ordered(turns: DataFrame) -> DataFrame:
     """Rows in a form that gives their order: turn (null first), role, SHA-256 of the text; rows equal in all are equal."""
     return turns.select(
@@ -199,7 +193,7 @@ def _parts(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parts of conversations, one for each conversation and block; the sorted rows they are made of, without texts."""
     conv = turns.schema["conv_id"].dataType
     schema = _parts_schema(conv)
-    arrow = _arrow_schema(schema)
+    arrow = arrow_schema(schema)
     blank = ~F.col("text").rlike(NOT_SPACE)
     ended = F.col("text").rlike("[.!?][\\x20\\x09-\\x0D]*+\\z")
     light = _ordered(turns).select(
@@ -230,7 +224,7 @@ def _parts(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _joined_parts(parts: DataFrame, group: Column) -> DataFrame:
     """Parts of one conversation and group, in order of their blocks, made one."""
     schema = _parts_schema(parts.schema["conv_id"].dataType)
-    arrow = _arrow_schema(schema)
+    arrow = arrow_schema(schema)
 
     def join(table: pa.Table) -> pa.Table:
         found = table.drop_columns(["_group"]).sort_by("block").to_pylist()
@@ -332,7 +326,7 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict | N
 def repaired_turns(turns: DataFrame, audits: DataFrame) -> DataFrame:
     """``(conv_id, position, edit, role, text)``: the turns that the audits make of ``turns``, positions from 0."""
     schema = f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, position long, edit string, role string, text string"
-    arrow = _arrow_schema(schema)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, of, position = [], None, 0
@@ -359,7 +353,7 @@ def repaired_digests(turns: DataFrame, audits: DataFrame) -> DataFrame:
     carry = [c for c in audits.columns if c not in ("conv_id", "audit")]
     fields = [*[audits.schema[c] for c in ("conv_id", *carry, "audit")], T.StructField("repaired_sha256", T.StringType())]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    arrow = _arrow_schema(schema)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, of, digest, count = [], None, hashlib.sha256(), 0

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -11,14 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from trialnum.operators.tables import shared_folder
+
 HOT_KEYS = 1000  # a key with a thousandth of all rows or more is hot, so there are at most this many
-_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where the session has none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="trialnum-"))
+    """The folder that spark.checkpoint.dir names; without it a temporary one in local sessions, none on a cluster."""
+    return shared_folder(spark)
 
 
 def materialize(df: DataFrame) -> DataFrame:
