@@ -13,9 +13,8 @@ from trialnum.operators.lexicon import tagged
 from trialnum.operators.lookup import LOOKUP_BYTES
 
 EXAMPLE_TEXT = (
-    "TITLE: No clinical benefit of high dose corticosteroid administration in patients with COVID-19. "
-    "The study included 50 patients who were randomly assigned. Dexamethasone was administered at a dose "
-    "of 20mg/day from day 1-5 and then at 10mg/day from day 6-10. (P=0.500) 28-day"
+    "TITLE: Early oxygen in people with COVID-19. We enrolled 50 adults. Oxygen was given at "
+    "20 l/min on day 1-5 and at 10 l/min on day 6-10. (P=0.500) 28-day"
 )
 
 
@@ -49,7 +48,7 @@ def test_integers(spark):
 
 
 def test_example_abstract_has_its_number(spark):
-    df = spark.createDataFrame([(33607104, EXAMPLE_TEXT)], "pmid long, abstract string")
+    df = spark.createDataFrame([(7, EXAMPLE_TEXT)], "pmid long, abstract string")
     nums = [r["num"] for r in explode_candidates(build_candidates(df)).collect()]
     assert 50 in nums and 19 not in nums and nums == [50, 20, 1, 5, 10, 6, 10, 28]
 
