@@ -169,18 +169,24 @@ class Words:
         return self.__dict__ | {"held": {}}
 
     def numbers(self, ws: list[bytes]) -> np.ndarray:
-        new = [w for w in set(ws) if w not in self.held]
-        if len(self.held) + len(new) > HELD:
-            self.held, new = {}, list(set(ws))
-        if new:
-            h = np.array([xxhash.xxh64_intdigest(w, seed=42) for w in new], np.uint64).view(np.int64)
-            at = np.searchsorted(self.hashes, h)
-            known = np.zeros(len(new), bool)
-            inside = at < len(self.hashes)
-            known[inside] = self.hashes[at[inside]] == h[inside]
-            ends = len(self.hashes) + np.array([bucket(w, self.buckets) for w in new], np.int64)
-            self.held.update(zip(new, np.where(known, at, ends).tolist(), strict=True))
-        return np.fromiter(map(self.held.__getitem__, ws), np.int64, len(ws))
+        found = list(map(self.held.get, ws))
+        if None in found:
+            new = list({w for w, x in zip(ws, found, strict=True) if x is None})
+            if len(self.held) + len(new) > HELD:
+                self.held, new = {}, list(set(ws))
+            self.held.update(zip(new, self.look_up(new).tolist(), strict=True))
+            found = list(map(self.held.__getitem__, ws))
+        return np.array(found, np.int64)
+
+    def look_up(self, new: list[bytes]) -> np.ndarray:
+        h = np.array([xxhash.xxh64_intdigest(w, seed=42) for w in new], np.uint64).view(np.int64)
+        at = np.searchsorted(self.hashes, h)
+        known = np.zeros(len(new), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == h[inside]
+        for i in np.flatnonzero(~known).tolist():
+            at[i] = len(self.hashes) + bucket(new[i], self.buckets)
+        return at
 
 
 def _packed(code: np.ndarray, n: np.ndarray) -> bytes:
@@ -374,6 +380,7 @@ class ClassModel:
 
     def __init__(self, units: Units, of: np.ndarray, pairs: np.ndarray, classes: int, distinct: np.ndarray, discount: float, total: int, types: int, words: Words | None = None):
         self.units, self.of, self.discount, self.words = units, of, discount, words
+        self.slot, self.seen = {}, np.zeros((2, 0), np.int64)
         if words is None:
             member = np.zeros((len(of), classes), np.int64)
             member[np.arange(len(of)), of] = 1
@@ -393,13 +400,39 @@ class ClassModel:
 
     def start(self, text: str | None) -> tuple[int, int, float, float, list[bytes], list[int]]:
         """Tokens, known ones so far, base and class score so far, and the words whose counts are still to come."""
-        at, u, others = self.units.encode(text)
-        c = self.of[u if self.words is None else self.words.numbers(tokens(text))]
+        if self.words is None:
+            at, u, others = self.units.encode(text)
+            c = self.of[u]
+        else:
+            ws = tokens(text)
+            slots = self.slots_of(ws)
+            at, c = self.seen[0][slots], self.seen[1][slots]
+            others = [ws[i] for i in np.flatnonzero(at < 0).tolist()]
         kept = at[at >= 0]
         score = self.step[np.concatenate([c[-1:], c[:-1]]), c].sum() - self.size[c].sum() + self.emit[kept].sum()
         rest = Counter(others)
         return len(at), len(kept), float(self.base[kept].sum() - len(at) * self.floor), float(score), list(rest), list(rest.values())
 
+    def slots_of(self, ws: list[bytes]) -> np.ndarray:
+        """Places of words in `seen`, (word number or -1, class), which a task fills as it meets them, up to a bound."""
+        found = list(map(self.slot.get, ws))
+        if None in found:
+            new = list({w for w, x in zip(ws, found, strict=True) if x is None})
+            if len(self.slot) + len(new) > HELD:
+                self.slot, self.seen, new = {}, np.zeros((2, 0), np.int64), list(set(ws))
+            first = len(self.slot)
+            self.slot.update(zip(new, range(first, first + len(new)), strict=True))
+            if self.seen.shape[1] < first + len(new):  # room for twice as many
+                self.seen = np.concatenate([self.seen, np.zeros((2, 2 * len(new) + first), np.int64)], 1)
+            to = slice(first, first + len(new))
+            self.seen[0, to] = [self.units.number.get(w, -1) for w in new]
+            self.seen[1, to] = self.of[self.words.look_up(new)]
+            found = list(map(self.slot.__getitem__, ws))
+        return np.array(found, np.int64)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"slot": {}, "seen": np.zeros((2, 0), np.int64)}
+
 
 def score_texts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: int = 200_000, single: int = 512, buckets: int = 512, classes: int = 64, often: int = 5,
