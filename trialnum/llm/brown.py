@@ -77,10 +77,13 @@ class Units:
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Word numbers (-1 for words that are not kept), units, and the words not kept."""
         ws = tokens(text)
-        at = np.fromiter((self.number.get(w, -1) for w in ws), np.int64, len(ws))
+        found = list(map(self.number.get, ws))
+        rare = [i for i, x in enumerate(found) if x is None] if None in found else []
+        for i in rare:
+            found[i] = -1
+        at = np.array(found, np.int64)
         units = self.unit[at] if len(self.unit) else np.zeros(len(ws), np.int64)
-        rare = np.flatnonzero(at < 0)
-        others = [ws[i] for i in rare.tolist()]
+        others = [ws[i] for i in rare]
         units[rare] = [self.single + bucket(w, self.buckets) for w in others]
         return at, units, others
 
@@ -96,8 +99,7 @@ def unit_pairs(texts: DataFrame, units, size: int) -> np.ndarray:
                 _, u, _ = units.value.encode(text)
                 codes.append(np.concatenate([u[-1:], u[:-1]]) * size + u)
             if codes:
-                pair, n = np.unique(np.concatenate(codes), return_counts=True)
-                total[pair] += n
+                total += np.bincount(np.concatenate(codes), minlength=size * size)
         pair = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], names=["pair", "n"])
 
