@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialnum.operators.tables import spread
+
 TRIALS = """
 SELECT o_orderkey AS pmid, 20 + o_custkey % 180 AS a, 10 + o_custkey % 90 AS b,
   10 + (o_custkey % 180) - (o_custkey % 90) AS c
@@ -98,15 +100,6 @@ FROM ({trials}) t WHERE pmid % 13 <> 0 AND pmid % 3 = 0
 """.replace("{trials}", TRIALS)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Gives a small input with few splits one partition per core; large inputs stay as they are.
-
-    Text work is heavy per row, so a one-split file would otherwise run on one core.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     return spark.sql(sql, orders=spread(orders, "o_orderkey"))

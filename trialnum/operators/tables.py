@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+SPREAD_ROWS = 25_000  # rows of a partition
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,3 +35,13 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str, rows: int = SPREAD_ROWS) -> DataFrame:
+    """Gives an input with few splits at least one partition per core and one per ``rows`` rows.
+
+    Text work is heavy per row: a split of narrow keys holds millions of them, and a one-split file would run on one core.
+    The rows of a parquet file are counted from its footers.
+    """
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(parts, key) if df.rdd.getNumPartitions() < parts else df

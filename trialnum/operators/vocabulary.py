@@ -14,26 +14,31 @@ MAX_FEATURES = 10_000
 UNKNOWN_WORD, UNKNOWN_ID = "unkunk", 0
 
 
-def word_counts(df: DataFrame, key: str = "pmid", text: str = "abstract") -> DataFrame:
+def word_counts(df: DataFrame, key: str = "pmid", text: str = "abstract", copies: bool = False) -> DataFrame:
     """Count and first place of every word; ``key`` is a whole number.
 
     Words are counted in the map tasks first, so a word that makes up a large part
     of the corpus reaches the shuffle as one row per task. Document and position are
     packed into one decimal: a struct could not be updated in place, and the whole
-    corpus would be sorted to be aggregated.
+    corpus would be sorted to be aggregated. With ``copies`` equal texts are parted once: each counts as often as it
+    occurs, and its first place is that in the first document.
     """
+    doc, times = F.col(key).cast("decimal(20,0)"), F.lit(1).cast("bigint")
+    if copies:
+        df = df.groupBy(text).agg(F.min(doc).alias("_first"), F.count(F.lit(1)).alias("_copies"))
+        doc, times = F.col("_first"), F.col("_copies")
     words = df.select(
-        F.col(key).cast("decimal(20,0)").alias("doc"),
+        doc.alias("doc"), times.alias("times"),
         F.posexplode(vocabulary_words(F.col(text))).alias("pos", "token"),
     )
     place = F.col("doc") * F.lit(2**31).cast("decimal(10,0)") + F.col("pos")
     return words.groupBy("token").agg(
-        F.count(F.lit(1)).alias("cnt"), F.min(place).alias("first_seen")
+        F.coalesce(F.sum("times"), F.lit(0)).cast("bigint").alias("cnt"), F.min(place).alias("first_seen")
     )
 
 
 def fit_vocabulary(
-    df: DataFrame, key: str = "pmid", text: str = "abstract", max_features: int | None = MAX_FEATURES
+    df: DataFrame, key: str = "pmid", text: str = "abstract", max_features: int | None = MAX_FEATURES, copies: bool = False
 ) -> DataFrame:
     """The ``max_features`` most frequent words (None: all) as ``(token, id, cnt)``, ids from 1.
 
@@ -41,7 +46,7 @@ def fit_vocabulary(
     that have it are sorted, by ranges, and numbered. The histogram has at most as many rows as there are
     different counts, which is the root of twice the number of words in the corpus.
     """
-    counts = word_counts(df, key, text)
+    counts = word_counts(df, key, text, copies)
     if max_features is not None:
         counts = written(counts)  # one row per distinct word: read for the histogram and for the words
         histogram = counts.groupBy("cnt").agg(F.count(F.lit(1)).alias("words"))
