@@ -124,10 +124,14 @@ def fit_classifier(
     max_iter: int = 10,
     seed: int = 0,
     initial_weights: np.ndarray | None = None,
+    copies: str | None = None,
 ) -> CandidateModel:
-    """Trains on labelled candidate rows; ``initial_weights`` continues an earlier training."""
+    """Trains on labelled candidate rows; ``initial_weights`` continues an earlier training.
+
+    A row counts as often as the column ``copies`` says; only the logistic model takes such rows.
+    """
     inputs = model_inputs(labelled, vectors, dim).select(
-        "left_vec", "right_vec", "left_pos", "right_pos", "other_vec", "label"
+        "left_vec", "right_vec", "left_pos", "right_pos", "other_vec", "label", *([copies] if copies else [])
     )
     assembler = VectorAssembler(
         inputCols=["left_vec", "right_vec", "left_hot", "right_hot", "other_vec"],
@@ -138,7 +142,11 @@ def fit_classifier(
         if initial_weights is not None:
             raise ValueError("a logistic model cannot start from given weights")
         classifier = LogisticRegression(maxIter=max_iter, regParam=1e-4)
+        if copies is not None:
+            classifier = classifier.setWeightCol(copies)
     else:
+        if copies is not None:
+            raise ValueError("a network is trained on rows that count once each")
         layers = [width, *(HIDDEN if hidden is None else hidden), 2]
         classifier = MultilayerPerceptronClassifier(layers=layers, maxIter=max_iter, seed=seed)
         if initial_weights is not None:
@@ -154,12 +162,13 @@ def prepare_vectors(
     vectors: DataFrame | None = None,
     word2vec: bool = False,
     text: str = "abstract",
+    copies: bool = False,
 ) -> DataFrame:
     """Vocabulary of ``docs`` with a vector per word: given, fitted or drawn from a hash.
 
     Kept in memory: at most ``max_features`` rows that every later step reads.
     """
-    vocabulary = fit_vocabulary(docs, text=text, max_features=max_features)
+    vocabulary = fit_vocabulary(docs, text=text, max_features=max_features, copies=copies)
     if word2vec:
         vectors = fit_word_vectors(docs, vocabulary, dim, text)
     return vocabulary_vectors(vocabulary, dim, vectors).persist()

@@ -36,7 +36,9 @@ def extract(
     return best_numbers(docs.withColumn("_conf", model.confidences(F.col("candidates"))), keep, report)
 
 
-def best_numbers(docs: DataFrame, keep: float = KEEP_THRESHOLD, report: float = REPORT_THRESHOLD, *more: str) -> DataFrame:
+def best_numbers(
+    docs: DataFrame, keep: float = KEEP_THRESHOLD, report: float = REPORT_THRESHOLD, *more: str, key: str = "pmid"
+) -> DataFrame:
     """``(pmid, pred_ss, conf)`` and the columns ``more`` of documents with ``candidates`` and their ``_conf``."""
     scored = F.transform(
         "candidates",
@@ -44,8 +46,8 @@ def best_numbers(docs: DataFrame, keep: float = KEEP_THRESHOLD, report: float =
             c["idx"].alias("idx"), c["num"].alias("num"), F.get("_conf", i).alias("conf")
         ),
     )
-    best = docs.select("pmid", *more, best_of(scored).alias("_best"))
+    best = docs.select(key, *more, best_of(scored).alias("_best"))
     conf = F.when(F.col("_best.conf") >= keep, F.col("_best.conf"))
     return best.select(
-        "pmid", thresholded(F.col("_best.num"), conf, report).alias("pred_ss"), conf.alias("conf"), *more
+        key, thresholded(F.col("_best.num"), conf, report).alias("pred_ss"), conf.alias("conf"), *more
     )
