@@ -88,7 +88,8 @@ def cross_validate(
     """``(pmid, pred_ss, conf, fold_id)``, every document scored by the model of the other folds.
 
     Candidate rows are built once and filtered per fold. The vocabulary covers all
-    texts, test folds too, unless ``vocabulary_per_fold``. Equal texts of a fold are scored once; ``counted_from`` as in ``train``.
+    texts, test folds too, unless ``vocabulary_per_fold``. From ``counted_from`` documents on, a logistic model is
+    trained as in ``train`` says, and equal texts of a fold are scored once.
     """
     folded = assign_folds(documents, k=k, seed=seed)
     text_options = text_options or {}
@@ -114,10 +115,13 @@ def cross_validate(
     rows.unpersist()
 
     # one pass over the texts, whatever the number of folds
-    def best(texts: DataFrame) -> DataFrame:
-        docs = build_candidates(texts, keep_text=True, **text_options)
+    def best(docs: DataFrame, key: str) -> DataFrame:
+        docs = build_candidates(docs, keep_text=key == "abstract", **text_options)
         docs = docs.withColumn("_conf", scorer(F.col("fold_id"), F.col("candidates")))
-        return best_numbers(docs, KEEP_THRESHOLD, REPORT_THRESHOLD, "fold_id", key="abstract")
+        return best_numbers(docs, KEEP_THRESHOLD, REPORT_THRESHOLD, "fold_id", key=key)
 
-    rows = once_per_text(folded.select("pmid", "abstract", "fold_id"), best, "abstract", "fold_id")
+    docs = folded.select("pmid", "abstract", "fold_id")
+    if not weighted:
+        return best(docs, "pmid")
+    rows = once_per_text(docs, lambda texts: best(texts, "abstract"), "abstract", "fold_id")
     return rows.select("pmid", "pred_ss", "conf", "fold_id")
