@@ -1,14 +1,18 @@
 """Texts that many rows share: worked out once, same results for all rows."""
 
+import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from trialnum.operators.candidates import build_candidates, explode_candidates
 from trialnum.operators.classifier import fit_classifier, prepare_vectors
 from trialnum.operators.copies import counted, once_per_text
+from trialnum.operators.counted_network import mean_loss, minimised
 from trialnum.operators.labels import labelled_candidates
 from trialnum.operators.tables import spread
 from trialnum.operators.vocabulary import word_counts
+from trialnum.plans.extraction import extract
 from trialnum.plans.training import train
 
 TEXTS = ["A total of 40 patients, 30 men and 10 women.", "twenty-five adults (n=25) in 2019", "none", "", None]
@@ -68,3 +72,41 @@ def test_network_refuses_counts(spark):
     docs = counted(_documents(spark), "abstract", "tt_sample_size")
     with pytest.raises(ValueError):
         fit_classifier(labelled_candidates(docs), prepare_vectors(_documents(spark), 4), 4, copies="copies")
+
+
+def test_counted_network_equals_the_network_of_all_rows(spark):
+    data = [(k, f"A total of {20 + k % 50} patients, {k % 30} men in 2019.", 20 + k % 50) for k in range(300)] * 2
+    docs = spark.createDataFrame(data, "pmid bigint, abstract string, tt_sample_size bigint").coalesce(1)
+    options = {"dim": 4, "hidden": [5], "max_iter": 3}
+    every, once = train(docs, **options), train(docs, counted_from=0, **options)
+    assert once.pipeline.stages[-1].getLayers() == every.pipeline.stages[-1].getLayers()
+    assert abs(once.weights - every.weights).max() < 0.02 * abs(every.weights).max()
+    on = train(docs, counted_from=0, pretrained=once, hidden=[5], max_iter=0)
+    assert (on.weights == once.weights).all()
+
+
+def test_gradient_of_counted_rows(spark):
+    rng = np.random.default_rng(3)
+    data = [(Vectors.dense(rng.normal(size=3)), float(k % 2), k % 4 + 1) for k in range(9)]
+    loss = mean_loss(spark.createDataFrame(data, ["features", "label", "copies"]), [3, 4, 2], "copies")
+    w = rng.normal(size=3 * 4 + 4 + 4 * 2 + 2)
+    value, gradient = loss(w)
+    step = 1e-5 * np.eye(len(w))
+    assert all(abs((loss(w + step[k])[0] - loss(w - step[k])[0]) / 2e-5 - gradient[k]) < 1e-8 for k in (0, 5, 13, 17, 25))
+    each = spark.createDataFrame([(x, y, 1) for x, y, n in data for _ in range(n)], ["features", "label", "copies"])
+    assert abs(mean_loss(each, [3, 4, 2], "copies")(w)[0] - value) < 1e-12
+
+
+def test_minimum_of_a_valley():
+    def valley(x):
+        a, b = 1 - x[0], x[1] - x[0] ** 2
+        return a * a + 100 * b * b, np.array([-2 * a - 400 * b * x[0], 200 * b])
+
+    assert abs(minimised(valley, np.array([-1.2, 1.0]), 100) - 1).max() < 1e-3
+
+
+def test_equal_texts_are_extracted_once_with_the_same_result(spark):
+    docs = _documents(spark)
+    model = train(docs, dim=2, hidden=[3], max_iter=2)
+    rows = [extract(docs, model, keep=0.0, report=0.0, once=o).withColumn("conf", F.round("conf", 12)) for o in (True, False)]
+    assert _rows(rows[0]) == _rows(rows[1]) and rows[0].count() == 120

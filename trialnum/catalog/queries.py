@@ -403,7 +403,7 @@ _TRAINING = {"dim": 8, "hidden": [16], "max_iter": 15}
 
 def model_scores(s: SparkSession, d: str) -> DataFrame:
     docs = TRIALS(s, d)
-    return extraction.extract(docs, training.train(docs, **_TRAINING))
+    return extraction.extract(docs, training.train(docs, **_TRAINING), once=True)
 
 
 def model_row_scores(s: SparkSession, d: str) -> DataFrame:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler, Word2Vec
@@ -22,6 +23,7 @@ from pyspark.sql import types as T
 
 from trialnum.functions.features import OTHER_FEATURES
 from trialnum.functions.tokens import TAGS
+from trialnum.operators.counted_network import mean_loss, minimised
 from trialnum.operators.lookup import LOOKUP_BYTES, table_bytes
 from trialnum.operators.vocabulary import (
     MAX_FEATURES,
@@ -130,14 +132,7 @@ def fit_classifier(
 
     A row counts as often as the column ``copies`` says; only the logistic model takes such rows.
     """
-    inputs = model_inputs(labelled, vectors, dim).select(
-        "left_vec", "right_vec", "left_pos", "right_pos", "other_vec", "label", *([copies] if copies else [])
-    )
-    assembler = VectorAssembler(
-        inputCols=["left_vec", "right_vec", "left_hot", "right_hot", "other_vec"],
-        outputCol="features",
-    )
-    width = 4 * dim + 2 * len(TAGS) + len(OTHER_FEATURES)
+    inputs = _fit_inputs(labelled, vectors, dim, copies)
     if kind == "logistic":
         if initial_weights is not None:
             raise ValueError("a logistic model cannot start from given weights")
@@ -146,15 +141,63 @@ def fit_classifier(
             classifier = classifier.setWeightCol(copies)
     else:
         if copies is not None:
-            raise ValueError("a network is trained on rows that count once each")
-        layers = [width, *(HIDDEN if hidden is None else hidden), 2]
-        classifier = MultilayerPerceptronClassifier(layers=layers, maxIter=max_iter, seed=seed)
-        if initial_weights is not None:
-            classifier = classifier.setInitialWeights(initial_weights.tolist())
-    pipeline = Pipeline(stages=[*_tag_stages(), assembler, classifier]).fit(inputs)
+            raise ValueError("MLlib trains a network on rows that count once each, see fit_counted_network")
+        classifier = _perceptron(dim, hidden, max_iter, seed, initial_weights)
+    pipeline = Pipeline(stages=[*_tag_stages(), _assembler(), classifier]).fit(inputs)
     return CandidateModel(pipeline, vectors, dim)
 
 
+def _fit_inputs(labelled: DataFrame, vectors: DataFrame, dim: int, copies: str | None) -> DataFrame:
+    return model_inputs(labelled, vectors, dim).select(
+        "left_vec", "right_vec", "left_pos", "right_pos", "other_vec", "label", *([copies] if copies else [])
+    )
+
+
+def _assembler() -> VectorAssembler:
+    return VectorAssembler(
+        inputCols=["left_vec", "right_vec", "left_hot", "right_hot", "other_vec"],
+        outputCol="features",
+    )
+
+
+def _perceptron(
+    dim: int, hidden: list[int] | None, max_iter: int, seed: int, initial_weights: np.ndarray | None
+) -> MultilayerPerceptronClassifier:
+    width = 4 * dim + 2 * len(TAGS) + len(OTHER_FEATURES)
+    layers = [width, *(HIDDEN if hidden is None else hidden), 2]
+    classifier = MultilayerPerceptronClassifier(layers=layers, maxIter=max_iter, seed=seed)
+    return classifier if initial_weights is None else classifier.setInitialWeights(initial_weights.tolist())
+
+
+def fit_counted_network(
+    labelled: DataFrame,
+    vectors: DataFrame,
+    dim: int,
+    copies: str,
+    hidden: list[int] | None = None,
+    max_iter: int = 10,
+    seed: int = 0,
+    initial_weights: np.ndarray | None = None,
+) -> CandidateModel:
+    """As ``fit_classifier`` for a network, where a row counts as often as the column ``copies`` says.
+
+    MLlib's perceptron takes no weights. So its start is taken from it (a training of no iterations), the weights that
+    ``counted_network`` finds from there are given back in the same way, and the model is an MLlib pipeline like any other.
+    """
+    inputs = _fit_inputs(labelled, vectors, dim, copies)
+    prepared = Pipeline(stages=[*_tag_stages(), _assembler()]).fit(inputs)
+    rows = prepared.transform(inputs).select("features", "label", copies).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        some = rows.limit(1)
+        start = _perceptron(dim, hidden, 0, seed, initial_weights).fit(some)
+        loss = mean_loss(rows, start.getLayers(), copies)
+        weights = minimised(loss, start.weights.toArray(), max_iter)
+        network = _perceptron(dim, hidden, 0, seed, weights).fit(some)
+    finally:
+        rows.unpersist()
+    return CandidateModel(PipelineModel([*prepared.stages, network]), vectors, dim)
+
+
 def prepare_vectors(
     docs: DataFrame,
     dim: int = 16,

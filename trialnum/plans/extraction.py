@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trialnum.functions.tokens import tag_token
 from trialnum.operators.candidates import ColumnFunction, build_candidates
 from trialnum.operators.classifier import CandidateModel
+from trialnum.operators.copies import once_per_text
 from trialnum.operators.scoring import KEEP_THRESHOLD, REPORT_THRESHOLD, best_of, thresholded
 
 
@@ -20,20 +21,28 @@ def extract(
     tagger: ColumnFunction | None = tag_token,
     array_tagger: ColumnFunction | None = None,
     lexicon: DataFrame | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """Best number of every document, one output row per input row.
 
     One narrow stage from scan to result, whatever the size of the corpus: the text
-    is dropped as soon as its candidates are known, and nothing is exchanged.
+    is dropped as soon as its candidates are known, and nothing is exchanged. With ``once``, for corpora whose texts
+    repeat, equal texts are scored once and joined back.
     """
-    docs = build_candidates(
-        documents.select("pmid", "abstract"),
-        tokenizer=tokenizer,
-        tagger=tagger,
-        array_tagger=array_tagger,
-        lexicon=lexicon,
-    )
-    return best_numbers(docs.withColumn("_conf", model.confidences(F.col("candidates"))), keep, report)
+
+    def best(docs: DataFrame, key: str) -> DataFrame:
+        docs = build_candidates(
+            docs,
+            tokenizer=tokenizer,
+            tagger=tagger,
+            array_tagger=array_tagger,
+            lexicon=lexicon,
+            keep_text=key == "abstract",
+        )
+        return best_numbers(docs.withColumn("_conf", model.confidences(F.col("candidates"))), keep, report, key=key)
+
+    docs = documents.select("pmid", "abstract")
+    return once_per_text(docs, lambda texts: best(texts, "abstract")) if once else best(docs, "pmid")
 
 
 def best_numbers(

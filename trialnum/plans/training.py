@@ -7,16 +7,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialnum.operators.candidates import build_candidates
-from trialnum.operators.classifier import CandidateModel, fit_classifier, fold_scorer, prepare_vectors
+from trialnum.operators.classifier import CandidateModel, fit_classifier, fit_counted_network, fold_scorer, prepare_vectors
 from trialnum.operators.copies import counted, once_per_text
 from trialnum.operators.evaluate import evaluate_exact
 from trialnum.operators.labels import labelled_candidates
 from trialnum.operators.numbering import assign_folds
 from trialnum.operators.scoring import KEEP_THRESHOLD, REPORT_THRESHOLD
+from trialnum.operators.tables import spread, written
 from trialnum.plans.extraction import best_numbers, extract
 
-# Documents from which on a logistic model is trained on distinct texts with their counts. The objective is that of all
-# rows but for MLlib's standard deviations, which divide by W - sum(w^2) / W in place of W - 1 (w: counts, W: their sum).
+# Documents from which on a model is trained on distinct texts with their counts. The objective is that of all rows, but
+# for MLlib's standard deviations of a logistic model, which divide by W - sum(w^2) / W in place of W - 1 (w: counts, W:
+# their sum), and for the perceptron's mean, which MLlib takes over blocks of 128 rows, of which a partition's last is smaller.
 COUNTED_FROM = 500_000
 
 
@@ -37,25 +39,34 @@ def train(
 
     ``pretrained`` starts from another model's weights and vectors. The candidate
     rows are kept for the iterations; they are small, the texts are read once.
-    A logistic model is trained, from ``counted_from`` documents on, on distinct labelled texts that count as often as
+    From ``counted_from`` documents on, a model is trained on distinct labelled texts that count as often as
     they occur, see ``COUNTED_FROM``.
     """
-    weighted = options.get("kind") == "logistic" and documents.count() >= counted_from
+    weighted = documents.count() >= counted_from
     if pretrained is not None:
         vectors_table, dim = pretrained.vectors, pretrained.dim
         options["initial_weights"] = pretrained.weights
     else:
         vectors_table = prepare_vectors(documents, dim, vectors=vectors, word2vec=word2vec, copies=weighted)
     if weighted:
-        documents, options["copies"] = counted(documents, "abstract", "tt_sample_size"), "copies"
+        documents = spread(written(counted(documents, "abstract", "tt_sample_size")), "abstract")
     rows = labelled_candidates(documents, normalize=normalize, **(text_options or {}))
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return fit_classifier(rows, vectors_table, dim, **options)
+        return _fitted(rows, vectors_table, dim, weighted, **options)
     finally:
         rows.unpersist()
 
 
+def _fitted(rows: DataFrame, vectors: DataFrame, dim: int, weighted: bool, **options) -> CandidateModel:
+    """A model of rows that count once each or, ``weighted``, as often as ``copies`` says."""
+    if not weighted:
+        return fit_classifier(rows, vectors, dim, **options)
+    if options.get("kind", "mlp") == "logistic":
+        return fit_classifier(rows, vectors, dim, copies="copies", **options)
+    return fit_counted_network(rows, vectors, dim, "copies", **{k: v for k, v in options.items() if k != "kind"})
+
+
 def pretrain(documents: DataFrame, holdout: float = 0.1, seed: int = 0, **options) -> tuple[CandidateModel, DataFrame]:
     """Trains on all but a hashed share of the documents; returns model and held-out documents."""
     bucket = F.pmod(F.xxhash64("pmid", F.lit(seed)), F.lit(1000))
@@ -88,15 +99,15 @@ def cross_validate(
     """``(pmid, pred_ss, conf, fold_id)``, every document scored by the model of the other folds.
 
     Candidate rows are built once and filtered per fold. The vocabulary covers all
-    texts, test folds too, unless ``vocabulary_per_fold``. From ``counted_from`` documents on, a logistic model is
+    texts, test folds too, unless ``vocabulary_per_fold``. From ``counted_from`` documents on, a model is
     trained as in ``train`` says, and equal texts of a fold are scored once.
     """
     folded = assign_folds(documents, k=k, seed=seed)
     text_options = text_options or {}
-    weighted = options.get("kind") == "logistic" and documents.count() >= counted_from
+    weighted = documents.count() >= counted_from
     labelled = folded
     if weighted:
-        labelled, options["copies"] = counted(folded, "abstract", "tt_sample_size", "fold_id"), "copies"
+        labelled = spread(written(counted(folded, "abstract", "tt_sample_size", "fold_id")), "abstract")
     rows = labelled_candidates(labelled, normalize=normalize, **text_options)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     if pretrained is not None:
@@ -110,7 +121,7 @@ def cross_validate(
         if vectors is None:
             vectors = prepare_vectors(folded.filter(F.col("fold_id") != fold), dim)
         others = rows.filter(F.col("fold_id") != fold)
-        models.append(fit_classifier(others, vectors, dim, seed=seed, **options))
+        models.append(_fitted(others, vectors, dim, weighted, seed=seed, **options))
     scorer = fold_scorer(models)
     rows.unpersist()
 
