@@ -477,7 +477,7 @@ def fine_tuned_scores(s: SparkSession, d: str) -> DataFrame:
     docs = TRIALS(s, d)
     first, _ = training.pretrain(fx.other_trials(s, d), **_TRAINING)
     options = {k: v for k, v in _TRAINING.items() if k != "dim"}
-    return extraction.extract(docs, training.train(docs, pretrained=first, **options))
+    return extraction.extract(docs, training.train(docs, pretrained=first, **options), once=True)
 
 
 def raw_candidates(s: SparkSession, d: str) -> DataFrame:
