@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trialnum.operators import lookup, vocabulary
+from trialnum.operators import lookup, tables, vocabulary
 from trialnum.operators.candidates import build_candidates, explode_candidates
 from trialnum.operators.numbering import number_rows
 from trialnum.operators.tables import shared_folder
@@ -110,3 +110,22 @@ def test_a_cluster_has_to_name_its_shared_folder():
 
     with pytest.raises(ValueError):
         shared_folder(Session())
+
+
+def test_words_of_lists_are_made_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(lookup, "written", lambda df: kept.append(plan(df)) or tables.written(df))
+    df = spark.createDataFrame([(i, ["the", f"w{i % 9}", None, "the"]) for i in range(300)], "i long, words array<string>")
+    known = spark.createDataFrame([("w1", 1), ("the", 9)], "token string, id int")
+    got = lookup.looked_up(df, "words", known, "id", [0], "ids", limit=0)
+    assert all(r["ids"] == [9, int(r["i"] % 9 == 1), 0, 9] for r in got.collect())
+    made = kept[0]
+    assert made.count("ArrowEvalPython") and "Generate explode" in made
+    assert "ArrowEvalPython" not in plan(got) and "Generate" not in plan(got)  # the list's words are read, not made again
+
+
+def test_places_of_words(spark):
+    rows = [(1, ["b", "a", "b"]), (2, []), (3, None), (4, [None, "", None])]
+    got = spark.createDataFrame(rows, "i int, w array<string>").coalesce(1).select("i", lookup._places()("w").alias("p"))
+    found = {r["i"]: {x["token"]: x["_places"] for x in r["p"]} for r in got.collect()}
+    assert found == {1: {"b": [0, 2], "a": [1]}, 2: {}, 3: {}, 4: {None: [0, 2], "": [1]}}

@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialnum.operators.tables import written
+
 # bytes of words and values that a lookup may send to every task
 LOOKUP_BYTES = 64 << 20
 # a word that makes up a thousandth of all (list, word) pairs is hot, so there are at most this many
@@ -24,14 +26,14 @@ def looked_up(
 
     A table of at most ``limit`` bytes goes to all tasks, which look up a batch of rows at once. A larger one
     meets the words of the data by a join: lists that are equal are looked up once, a list's words once
-    each; the few hot words are joined by broadcast, all others by a shuffle, and a list's values come back as one
-    row. Rows themselves move once.
+    each, from a table of them that is written once; the few hot words are joined by broadcast, all others by a shuffle,
+    and a list's values come back as one row. Rows themselves move once.
     """
     kind = "int" if all(isinstance(x, int) for x in default) else "double"
     wide = isinstance(table.schema[value].dataType.jsonValue(), dict)
     values = (F.col(value) if wide else F.array(value)).cast(f"array<{kind}>")
     table = table.select("token", values.alias("_value"))
-    if table_bytes(table, 8 * len(default)) <= limit:
+    if limit and table_bytes(table, 8 * len(default)) <= limit:
         return df.withColumn(out, _sent_to_tasks(table, default, kind)(F.col(words)))
     return _joined(df, words, table, F.array(*map(F.lit, default)).cast(f"array<{kind}>"), out)
 
@@ -62,14 +64,14 @@ def _sent_to_tasks(table: DataFrame, default: list, kind: str):
 
 
 def _joined(df: DataFrame, words: str, table: DataFrame, default, out: str) -> DataFrame:
-    keyed = df.withColumn("_key", F.sha2(F.to_json(words), 256))
+    keyed = df.withColumn("_key", F.unhex(F.sha2(F.to_json(words), 256)))
     lists = keyed.select("_key", F.col(words).alias("_words")).dropDuplicates(["_key"])
-    places = lists.select("_key", F.posexplode("_words").alias("_at", "token"))
-    # dealt out by list already, so this is no further exchange
-    pairs = places.groupBy("_key", "token").agg(F.collect_list("_at").alias("_places"))
+    each = lists.select("_key", F.explode(_places()("_words")).alias("_p"))
+    # written, as the words are counted, met by the hot ones and by all others
+    pairs = written(each.select("_key", "_p.*"))
     counted = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("_lists"))
-    mapped = counted.join(table, "token", "left").withColumn("_value", F.coalesce("_value", default))
-    total = counted.agg(F.sum("_lists").alias("_total"))
+    mapped = written(counted.join(table, "token", "left").withColumn("_value", F.coalesce("_value", default)))
+    total = mapped.agg(F.sum("_lists").alias("_total"))
     hot = mapped.crossJoin(F.broadcast(total)).where(F.col("_lists") * HOT_WORDS >= F.col("_total")).select("token", "_value")
     met = _by_token(pairs, F.broadcast(hot), "inner")
     cold = _by_token(pairs, F.broadcast(hot), "left_anti")
@@ -81,6 +83,29 @@ def _joined(df: DataFrame, words: str, table: DataFrame, default, out: str) -> D
     return back.withColumn(out, F.coalesce(out, F.array().cast(back.schema[out].dataType)))
 
 
+def _places():
+    """Arrow UDF: a list's distinct words (null is one), each with its places, for a whole batch at once."""
+
+    @F.arrow_udf("array<struct<token: string, _places: array<int>>>")
+    def run(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten().dictionary_encode(null_encoding="encode")
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        row, code = np.repeat(np.arange(len(sizes)), sizes), flat.indices.to_numpy().astype("int64")
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key = row * (len(flat.dictionary) + 1) + code
+        order = np.argsort(key, kind="stable")  # places of a word stay in order
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        ends = np.append(first, len(key)).astype("int32")
+        places = pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order], pa.int32()))
+        tokens = flat.dictionary.take(pa.array(code[order[first]]))
+        of_row = np.bincount(row[order[first]], minlength=len(sizes))
+        offsets = np.concatenate([[0], np.cumsum(of_row)]).astype("int32")
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([tokens, places], ["token", "_places"]))
+
+    # so that it runs once for all uses of its result
+    return run.asNondeterministic()
+
+
 def _by_token(pairs: DataFrame, table: DataFrame, how: str) -> DataFrame:
     """Joined on the word; nulls are words too."""
     table = table.withColumnRenamed("token", "_token")
