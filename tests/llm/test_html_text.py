@@ -63,3 +63,27 @@ def test_class_of_a_wrapper_does_not_empty_the_page():
     assert text_of("<article class='comments-open'>Kept</article>") == "Kept"
     assert text_of("<div class='comments'><article>Reader</article></div><article class='comment'>Too</article>") == ""
     assert html_text.blocks("<div class='sidebar'>a<p class=ad>b</p>c</div>d") == [("chrome", ["a"]), ("chrome", ["b"]), ("chrome", ["c"]), ("open", ["d"])]
+
+
+def test_blocks_that_most_articles_of_a_host_repeat_go(spark):
+    note = "<p>Sign up today to get all of our best stories by mail</p>"
+    links = "".join(f"<li>Link {k}</li>" for k in range(5))  # ten words in five blocks
+    quote = "<p>to be or not to be that is the question he said</p>"
+    story = lambda i: "".join(f"<p>{' '.join(f'w{i}x{k}y{j}' for j in range(20))}</p>" for k in range(3))
+    pages = [(i, "http://a/p", f"<article>{note}{story(i)}{links}{quote * (i < 3)}</article>") for i in range(8)]
+    pages += [(20, "http://b/p", f"<article>{note}{story(20)}</article>")]  # another host repeats nothing
+    copies = "".join(f"<p>{' '.join(f'c{k}y{j}' for j in range(20))}</p>" for k in range(4))
+    pages += [(30 + i, "http://c/p", f"<article>{copies}<p>near copy {i}</p></article>") for i in range(4)]
+    pages += [(40 + i, "http://d/p", f"<article>{note}{story(9)}</article>") for i in range(4)]  # equal articles are one
+    rows = {r.id: r for r in html_text.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, _, page in pages:
+        want = page if i >= 20 else page.replace(note, "").replace(links, "")
+        assert rows[i].text == " ".join(re.sub(r"<[^>]*>", " ", want).split()) and rows[i].n_chars == len(rows[i].text), i
+
+
+def test_runs_of_whole_blocks():
+    parts = [["a"], ["b", "c"], ["d", "e", "f"], ["g"]]
+    assert [r[:2] for r in html_text.block_runs("h", parts, 3)] == [(0, 2), (1, 3), (2, 3)]
+    assert html_text.block_runs("h", parts, 8) == [] and html_text.block_runs("h", [], 3) == []
+    keys = [html_text.block_runs(h, p, 2)[0][2] for h, p in (("h", [["a", "b"]]), ("g", [["a", "b"]]), ("h", [["a"], ["b"]]), ("h", [["a", "b"]]))]
+    assert keys[0] == keys[3] and len(set(keys)) == 3

@@ -113,6 +113,27 @@ def run_keys(host: str, stream: list[str], least: int) -> list[bytes]:
     return [xxhash.xxh3_128_digest(head + b" ".join(words[i : i + least])) for i in range(len(words) - least + 1)]
 
 
+def article_key(parts: list[list[str]]) -> bytes | None:
+    """128-bit key of an article's blocks; None of a page without any."""
+    return xxhash.xxh3_128_digest("\0".join(map(" ".join, parts)).encode("utf-8", "replace")) if parts else None
+
+
+def block_runs(host: str, parts: list[list[str]], least: int) -> list[tuple[int, int, bytes]]:
+    """(first, end, key) of the shortest run of whole blocks from each block on that has `least` words, within its host."""
+    out, end, size = [], 0, 0
+    head = host.encode("utf-8", "replace") + b"\0"
+    made = [" ".join(p).encode("utf-8", "replace") for p in parts]
+    for first in range(len(parts)):
+        while end < len(parts) and size < least:
+            size += len(parts[end])
+            end += 1
+        if size < least:
+            break
+        out.append((first, end, xxhash.xxh3_128_digest(head + b"\0".join(made[first:end]))))
+        size -= len(parts[first])
+    return out
+
+
 def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
 
@@ -141,11 +162,33 @@ def repeated_runs(streams: DataFrame, least: int, pages: int) -> DataFrame:
     return join_by_key(suffixes.select("row", "start", "key"), materialize(repeated.select("key", "n")), "key", "n", suffixes.count()).select("row", "start")
 
 
+def repeated_blocks(streams: DataFrame, pages: int) -> DataFrame:
+    """(host, article, gone): places of an article's blocks that its host repeats in most of its articles.
+
+    `streams` has (host, article, page, runs, sizes, frame): the runs of whole blocks of the article, the words of its blocks and the
+    runs outside of it. This is the host's suffix array at the starts of blocks. A run goes that `pages` pages and half of the
+    host's articles have, equal articles being one; an article of which more than half would go is a copy, and stays.
+    """
+    articles = materialize(streams.where(F.col("article").isNotNull()).groupBy("host", "article").agg(F.first("runs").alias("runs"), F.first("sizes").alias("sizes")))
+    inside = articles.select("host", "article", F.explode("runs").alias("r")).select("host", "article", "r.*")
+    page = F.coalesce("article", F.encode(F.col("page").cast("string"), "utf-8"))
+    seen = inside.select("key", F.col("article").alias("page")).unionByName(streams.select(F.explode("frame").alias("key"), page.alias("page")))
+    of_page = seen.groupBy("key", "page").agg(F.count(F.lit(1)).alias("n"))
+    repeated = of_page.groupBy("key").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n")).where(F.col("pages") >= pages)
+    hits = materialize(join_by_key(inside, materialize(repeated), "key", "n", seen.count()).select("host", "article", "at", "end", "pages"))
+    hosts = materialize(articles.groupBy("host").agg(F.count(F.lit(1)).alias("articles")))
+    hits = join_by_key(hits, hosts, "host", "articles", articles.count()).where(F.col("pages") * 2 >= F.col("articles"))
+    places = hits.select("host", "article", F.explode(F.sequence("at", F.col("end") - 1)).alias("place"))
+    gone = places.groupBy("host", "article").agg(F.array_sort(F.collect_set("place")).alias("gone")).join(articles.select("host", "article", "sizes"), ["host", "article"])
+    words = lambda sizes: F.aggregate(sizes, F.lit(0), lambda a, b: a + b)
+    return gone.where(words(F.transform("gone", lambda i: F.get("sizes", i))) * 2 <= words(F.col("sizes"))).select("host", "article", "gone")
+
+
 def main_texts(pages: DataFrame, least: int = 8, pages_of_run: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of every page: (id, url, text, n_chars).
 
-    What a page has in an article (or main) element is its main text, whatever it repeats:
-    copies and quotations stay. Outside of it, elements that name themselves menus, headers, adverts, forms,
+    What a page has in an article (or main) element is its main text, less the blocks that the host repeats in most of its articles
+    (`repeated_blocks`): copies and quotations stay, as do repeated words within a block. Outside of it, elements that name themselves menus, headers, adverts, forms,
     comments and the like are dropped. The text of a page without an article is what is left, less every run of `least` words or more
     that `pages_of_run` distinct pages of its host share. Runs are looked for in all text outside of articles, menus and
     footers included, since these are what other pages repeat without saying so.
@@ -156,26 +199,33 @@ def main_texts(pages: DataFrame, least: int = 8, pages_of_run: int = 3, id_col:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, kinds, main = [], [], []
-            for page in batch.column(0).to_pylist():
-                w, k, has = [], [], False
+            words, kinds, articles, runs, sizes, frames = [], [], [], [], [], []
+            for page, host in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                w, k, main, frame = [], [], [], []
                 for region, block in blocks(page):
                     if region == "main":
-                        has = True
+                        main.append(block)
                         continue
+                    frame.append(block)
                     w += block
                     k += [region == "open"] * len(block)
                 words.append(w)
                 kinds.append(k)
-                main.append(has)
-            columns = [*batch.columns[1:], pa.array(main), pa.array(words, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.bool_()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "url", "host", "page", "has_main", "words", "open"])
+                articles.append(article_key(main))
+                runs.append([{"at": a, "end": e, "key": key} for a, e, key in block_runs(host, main, least)])
+                sizes.append([len(b) for b in main])
+                frames.append([key for _, _, key in block_runs(host, frame, least)])
+            run = pa.struct([("at", pa.int32()), ("end", pa.int32()), ("key", pa.binary())])
+            columns = [*batch.columns[1:], pa.array(articles, pa.binary()), pa.array(words, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.bool_()))]
+            columns += [pa.array(runs, pa.list_(run)), pa.array(sizes, pa.list_(pa.int32())), pa.array(frames, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "url", "host", "page", "article", "words", "open", "runs", "sizes", "frame"])
 
     def article(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[" ".join(w) for region, w in blocks(page) if region == "main"] for page in batch.column(0).to_pylist()]
-            has = pa.array([bool(f) for f in found])
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([" ".join(f) for f in found], pa.string()), has], names=["id", "url", "text", "has_main"])
+            found = [[w for region, w in blocks(page) if region == "main"] for page in batch.column(0).to_pylist()]
+            keys = pa.array([article_key(f) for f in found], pa.binary())
+            parts = pa.array([[" ".join(w) for w in f] for f in found], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], keys, parts], names=["id", "url", "host", "article", "parts"])
 
     def unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,11 +243,15 @@ def main_texts(pages: DataFrame, least: int = 8, pages_of_run: int = 3, id_col:
     source = pages.select(
         F.col(html_col).alias("html"), F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.xxhash64(html_col).alias("page")
     )
-    streams = "id long, url string, host string, page long, has_main boolean, words array<string>, open array<boolean>"
+    streams = "id long, url string, host string, page long, article binary, words array<string>, open array<boolean>"
+    streams += ", runs array<struct<at: int, end: int, key: binary>>, sizes array<int>, frame array<binary>"
     streams = materialize(source.mapInArrow(split, streams).withColumn("row", F.monotonically_increasing_id()))
     starts = repeated_runs(streams, least, pages_of_run)
-    bare = streams.where(~F.col("has_main")).select("row", "id", "url", "words", "open")
+    bare = streams.where(F.col("article").isNull()).select("row", "id", "url", "words", "open")
     starts = starts.join(bare.select("row"), "row", "left_semi").groupBy("row").agg(F.collect_list("start").alias("starts"))
     rest = bare.join(starts, "row", "left").select("id", "url", "words", "open", "starts").mapInArrow(unique_runs, "id long, url string, text string")
-    whole = source.select("html", "id", "url").mapInArrow(article, "id long, url string, text string, has_main boolean").where("has_main").drop("has_main")
+    whole = source.select("html", "id", "url", "host").mapInArrow(article, "id long, url string, host string, article binary, parts array<string>").where(F.col("article").isNotNull())
+    gone = materialize(repeated_blocks(streams, pages_of_run))
+    kept = F.filter("parts", lambda _, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
+    whole = whole.join(gone, ["host", "article"], "left").select("id", "url", F.array_join(kept, " ").alias("text"))
     return whole.unionByName(rest).withColumn("n_chars", F.char_length("text").cast("long"))
