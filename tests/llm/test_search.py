@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from trialnum.llm import search
@@ -34,3 +35,28 @@ def test_top_k_equals_scoring_all_pairs(spark, small, monkeypatch, shard, block)
     key = lambda r: (r[0], r[1], str(r[2]), r[3])
     assert sorted(((r.query_id, r["rank"], r.id, round(r.score, 6)) for r in rows), key=key) == sorted(want, key=key)
     assert search.top_k(df.where("false"), df.where("false")).count() == 0
+
+
+def test_queries_of_a_shard_are_scored_together_and_few_documents_in_full():
+    rng = np.random.default_rng(3)
+    words = [b"w%d" % i for i in range(400)]
+    docs = [[words[i] for i in np.minimum(rng.zipf(1.2, 120), 400) - 1] for _ in range(1000)]
+    docs[500] = docs[10]
+    stats = search.Statistics(
+        {w: i for i, w in enumerate(words)}, np.array([sum(w in d for d in map(set, docs)) for w in words], float), len(docs), 120 * len(docs)
+    )
+    counts = [stats.counts(d) for d in docs]
+    shard = search.Shard([(i, c, 120) for i, c in enumerate(counts)], stats, 1.2, 0.75)
+    queries = [(c[0].astype(np.int64), c[1].astype(float)) for c in counts[:40]] + [(np.zeros(0, np.int64), np.zeros(0))]
+    impacts = np.zeros((len(docs), len(words)))
+    for i, (term, tf) in enumerate(counts):
+        impacts[i, term] = stats.idf[term] * tf * 2.2 / (tf + 1.2)
+    found = list(shard.top(queries, 5, np.zeros(len(queries))))
+    for (term, times), (at, scores) in zip(queries[:-1], found[:-1], strict=True):
+        want = impacts[:, term] @ times
+        order = np.lexsort((np.arange(len(docs)), -np.round(want, 9)))[:5]
+        best = np.lexsort((at, -scores))[:5]
+        assert at[best].tolist() == order.tolist()
+        assert np.allclose(scores[best], want[order])
+        assert len(at) <= 15
+    assert 500 in found[10][0] and len(found[-1][0]) == 0

@@ -20,6 +20,7 @@ TOKENS = 8_000_000  # or tokens
 BLOCK = 64  # documents of a block of the index
 FREQUENT = 0.04  # share of a shard's documents from which on a term's impacts are kept as a column
 SLACK = 1e-6
+TOGETHER = 256  # queries that are held against a shard at once
 
 
 def terms(text: str | None) -> list[bytes]:
@@ -37,9 +38,8 @@ class Statistics:
 
     def counts(self, found: list[bytes]) -> np.ndarray:
         """Numbers of the known terms of a document, and how often it has them."""
-        counts = Counter(found)
-        known = [t for t in counts if t in self.vocabulary]
-        return np.array([[self.vocabulary[t] for t in known], [counts[t] for t in known]], np.int32).reshape(2, -1)
+        known = [i for i in map(self.vocabulary.get, found) if i is not None]
+        return np.array(np.unique(np.array(known, np.int32), return_counts=True), np.int32)
 
 
 class Shard:
@@ -62,33 +62,54 @@ class Shard:
         self.dense = np.zeros((self.n, len(many)))
         at = self.column[term]
         self.dense[self.doc[at >= 0], at[at >= 0]] = self.impact[at >= 0]
+        self.single = self.dense.astype(np.float32)
         padded = np.zeros((blocks * BLOCK, len(many)))
         padded[: self.n] = self.dense
         self.most = padded.reshape(blocks, BLOCK, len(many)).max(1) if blocks else np.zeros((0, len(many)))
 
-    def top(self, query: np.ndarray, weight: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Documents that may be of the best k with a score above 0 and not below `least`, with their scores.
-
-        Rare terms are summed over their lists. What frequent terms may add is bounded by block, the k best so far
-        are scored in full for a threshold, and only documents whose sum and block bound reach it are scored at all.
-        """
-        column = self.column[query]
-        rare, often = column < 0, column >= 0
+    def rare_score(self, query: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What the rare terms of a query add to each document, summed over their lists."""
+        rare = self.column[query] < 0
         a, z = self.start[query[rare]], self.start[query[rare] + 1]
         n = z - a
         at = np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)
-        score = np.bincount(self.doc[at], self.impact[at] * np.repeat(weight[rare], n), self.n)
-        column, weight = column[often], weight[often]
-        bound = self.most[:, column] @ weight + SLACK
-        upper = score + np.repeat(bound, BLOCK)[: self.n]
+        return np.bincount(self.doc[at], self.impact[at] * np.repeat(weight[rare], n), self.n)
+
+    def top(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of some queries the documents that may be of the best k with a score above 0 and not below `least`, with their scores.
+
+        Rare terms are summed over their lists. What frequent terms may add is bounded by block, the k best so far
+        are scored in full for a threshold, and a block is scored for the queries of which a document's sum and the block's bound
+        reach it: by one product in single precision, whose relative error is below `off` as all parts are positive. Documents that
+        may be of the best k by that are scored in full.
+        """
+        columns = [self.column[query] for query, _ in queries]
+        weights = np.zeros((len(queries), self.dense.shape[1]))
+        for j, (column, (_, weight)) in enumerate(zip(columns, queries, strict=True)):
+            weights[j, column[column >= 0]] = weight[column >= 0]
+        rare = np.stack([self.rare_score(*query) for query in queries])
+        upper = rare + np.repeat(weights @ self.most.T + SLACK, BLOCK, axis=1)[:, : self.n]
+        if self.n > k:
+            best = np.argpartition(-upper, k, axis=1)[:, :k]
+            full = [(rare[j, at] + self.dense[at] @ weights[j]).min() for j, at in enumerate(best)]
+            least = np.maximum(least, full)
+        open_blocks = np.maximum.reduceat(upper, np.arange(0, self.n, BLOCK), axis=1) >= least[:, None] - SLACK
+        off = (self.dense.shape[1] + 16) * 2.0**-22
+        about = np.zeros((len(queries), self.n), np.float32)
+        single = weights.astype(np.float32)
+        for b, asked in enumerate(open_blocks.T):
+            if (of := np.flatnonzero(asked)).size:
+                docs = slice(b * BLOCK, (b + 1) * BLOCK)
+                about[of, docs] = rare[of, docs] + single[of] @ self.single[docs].T
+        likely = least * (1 - off)
         if self.n > k:
-            best = np.argpartition(-upper, k)[:k]
-            full = score[best] + self.dense[np.ix_(best, column)] @ weight
-            least = max(least, full.min())
-        found = np.flatnonzero(upper >= least)
-        total = np.round(score[found] + self.dense[np.ix_(found, column)] @ weight, 9)
-        keep = (total > 0) & (total >= least - SLACK)
-        return found[keep], total[keep]
+            likely = np.maximum(likely, np.partition(about, self.n - k, axis=1)[:, self.n - k] * (1 - off))
+        may = (about > 0) & (about * (1 + off) + SLACK >= likely[:, None])
+        for j, (column, (_, weight)) in enumerate(zip(columns, queries, strict=True)):
+            found, often = np.flatnonzero(may[j]), column >= 0
+            total = np.round(rare[j, found] + self.dense[np.ix_(found, column[often])] @ weight[often], 9)
+            keep = (total > 0) & (total >= least[j] - SLACK)
+            yield found[keep], total[keep]
 
 
 def top_k(
@@ -140,15 +161,19 @@ def _search_block(rows: DataFrame, block: dict, k: int, k1: float, b: float) ->
     known = context.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: Counter = Counter()
-        names = known.value.keys()
+        of = known.value
+        df, n, length = np.zeros(len(of), np.int64), 0, 0
         for batch in batches:
+            codes: list[int] = []
             for text in batch.column(1).to_pylist():
                 found = terms(text)
-                df[-1] += 1
-                df[-2] += len(found)
-                df.update(map(known.value.__getitem__, names & set(found)))
-        yield pa.RecordBatch.from_arrays([pa.array(df.keys(), pa.int64()), pa.array(df.values(), pa.int64())], names=["term", "n"])
+                n += 1
+                length += len(found)
+                codes += [i for i in map(of.get, set(found)) if i is not None]
+            df += np.bincount(np.array(codes, np.int64), minlength=len(of))
+        at = np.flatnonzero(df)
+        term, n = np.append(at, [-1, -2]), np.append(df[at], [n, length])
+        yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(n, pa.int64())], names=["term", "n"])
 
     counted = rows.mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     counted = dict(zip(counted.column("term").to_pylist(), counted.column("n").to_pylist(), strict=True))
@@ -165,12 +190,13 @@ def _search_block(rows: DataFrame, block: dict, k: int, k1: float, b: float) ->
         def look() -> None:
             shard = Shard(held, about, k1, b)
             names = np.array([last if i is None else i for i, *_ in held])
-            for j, (_, _, query, weight) in enumerate(asked):
-                least = scores[j][-1] if len(scores[j]) == k else 0.0
-                at, total = shard.top(query, weight, k, least)
-                i, s = np.concatenate([ids[j], names[at]]), np.concatenate([scores[j], total])
-                best = np.lexsort((i, -s))[:k]
-                ids[j], scores[j] = i[best], s[best]
+            for first in range(0, len(asked), TOGETHER):
+                some = range(first, min(first + TOGETHER, len(asked)))
+                least = np.array([scores[j][-1] if len(scores[j]) == k else 0.0 for j in some])
+                for j, (at, total) in zip(some, shard.top([asked[j][2:] for j in some], k, least), strict=True):
+                    i, s = np.concatenate([ids[j], names[at]]), np.concatenate([scores[j], total])
+                    best = np.lexsort((i, -s))[:k]
+                    ids[j], scores[j] = i[best], s[best]
             held.clear()
 
         size = 0
