@@ -115,3 +115,16 @@ def test_ranges_cut_both_sides_at_the_same_words(monkeypatch):
             assert spans[0][0] == 0 and spans[-1][1] == len(own) and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
         sets = [{int(w) for own, (a, z) in zip(owners, r) for w in own[a:z]} for r in found]
         assert sum(map(len, sets)) == len(set().union(*sets)) and all(len(x) <= words for x in sets)
+
+
+def test_words_of_many_texts_are_found_at_once_as_those_of_each(monkeypatch):
+    texts = [" A\tb\n\x0b\x0c\rC  b", None, "", "  ", "x\x1cy\x85z\xa0", "É É é", "b" * 70, "b"]
+    for chunk, kind in ((8, brown.pa.string()), (8_000_000, brown.pa.string()), (8, brown.pa.large_string())):
+        monkeypatch.setattr(brown, "CHUNK", chunk)
+        found = []
+        for words, at, n in brown.parted(brown.pa.array(texts, kind)):
+            ws = words.to_pylist()
+            assert len(set(ws)) == len(ws)
+            found += [[ws[i] for i in part] for part in np.split(at, np.cumsum(n)[:-1])]
+        assert found == [brown.tokens(t) for t in texts]
+    assert not list(brown.parted(brown.pa.array([], brown.pa.string())))

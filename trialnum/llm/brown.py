@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from trialnum.llm.shared import materialize, text_bytes
 
 END = b""  # the token after a text's last word, and the state before its first
-HELD = 500_000  # distinct words that a task counts before it passes them on
+HELD = 500_000  # distinct words whose numbers are held
+CHUNK = 8_000_000  # bytes of texts whose words are found together; a single text may have more
 BANDS = 16  # bands of counts to a factor of two
 PAIRS = 4_000_000  # pairs of words that a task holds before it passes them on
 SLICE = 100_000  # entries of words whose moves are weighed at once
@@ -27,6 +29,31 @@ def tokens(text: str | None) -> list[bytes]:
     return [*text_bytes(text).lower().split(), END]
 
 
+def parted(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """`tokens` of some texts after the other: distinct words, each token's place among them, and how many tokens each text has.
+
+    Every text ends with the end, so the token before is also that before a text's first, which is the end too.
+    """
+    texts = pc.fill_null(texts, "")
+    lot = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // CHUNK
+    first = np.flatnonzero(np.diff(lot, prepend=-1)).tolist()
+    for a, z in pairwise([*first, len(texts)]):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(a, z - a)))
+        found = lists.flatten().dictionary_encode()
+        words, place = found.dictionary.cast(pa.binary()), found.indices.to_numpy()
+        end = pc.index(words, pa.scalar(END, pa.binary())).as_py()  # blanks at the edges of a text make empty words
+        if end < 0:
+            end, words = len(words), pa.concat_arrays([words, pa.array([END], pa.binary())])
+        of = np.repeat(np.arange(z - a), pc.list_value_length(lists).to_numpy())
+        real = place != end
+        n = np.bincount(of[real], minlength=z - a) + 1
+        at = np.full(n.sum(), end, np.int64)
+        inner = np.ones(len(at), bool)
+        inner[np.cumsum(n) - 1] = False
+        at[inner] = place[real]
+        yield words, at, n
+
+
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 7 == 2, F.lit(False))
 
@@ -43,19 +70,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) of all tokens of `text`, counted in the tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return batch
-
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(tokens(text))
-                if len(counts) > HELD:
-                    yield out()
-        yield out()
+            for words, at, _ in parted(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(at, minlength=len(words)))], names=["word", "n"])
 
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -74,18 +91,12 @@ class Units:
         self.size = self.single + buckets
         self.unit = np.array([i if i < self.single else self.single + bucket(w, buckets) for i, w in enumerate(words)], np.int64)
 
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Word numbers (-1 for words that are not kept), units, and the words not kept."""
-        ws = tokens(text)
-        found = list(map(self.number.get, ws))
-        rare = [i for i, x in enumerate(found) if x is None] if None in found else []
-        for i in rare:
-            found[i] = -1
-        at = np.array(found, np.int64)
-        units = self.unit[at] if len(self.unit) else np.zeros(len(ws), np.int64)
-        others = [ws[i] for i in rare]
-        units[rare] = [self.single + bucket(w, self.buckets) for w in others]
-        return at, units, others
+    def units_of(self, words: list[bytes]) -> np.ndarray:
+        at = np.array([self.number.get(w, -1) for w in words], np.int64)
+        units = self.unit[at] if len(self.unit) else np.zeros(len(words), np.int64)
+        for i in np.flatnonzero(at < 0).tolist():
+            units[i] = self.single + bucket(words[i], self.buckets)
+        return units
 
 
 def unit_pairs(texts: DataFrame, units, size: int) -> np.ndarray:
@@ -94,12 +105,9 @@ def unit_pairs(texts: DataFrame, units, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
         for batch in batches:
-            codes = []
-            for text in batch.column(0).to_pylist():
-                _, u, _ = units.value.encode(text)
-                codes.append(np.concatenate([u[-1:], u[:-1]]) * size + u)
-            if codes:
-                total += np.bincount(np.concatenate(codes), minlength=size * size)
+            for words, at, _ in parted(batch.column(0)):
+                u = units.value.units_of(words.to_pylist())[at]
+                total += np.bincount(np.roll(u, 1) * size + u, minlength=size * size)
         pair = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], names=["pair", "n"])
 
@@ -237,9 +245,9 @@ def word_pairs(texts: DataFrame, words, size: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, held = [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                u = words.value.numbers(tokens(text))
-                codes.append(u * size + np.concatenate([u[-1:], u[:-1]]))
+            for distinct, at, _ in parted(batch.column(0)):
+                u = words.value.look_up(distinct.to_pylist())[at]
+                codes.append(u * size + np.roll(u, 1))
                 held += len(u)
                 if held > PAIRS:
                     yield out(codes)
@@ -382,7 +390,6 @@ class ClassModel:
 
     def __init__(self, units: Units, of: np.ndarray, pairs: np.ndarray, classes: int, distinct: np.ndarray, discount: float, total: int, types: int, words: Words | None = None):
         self.units, self.of, self.discount, self.words = units, of, discount, words
-        self.slot, self.seen = {}, np.zeros((2, 0), np.int64)
         if words is None:
             member = np.zeros((len(of), classes), np.int64)
             member[np.arange(len(of)), of] = 1
@@ -396,44 +403,23 @@ class ClassModel:
         tokens_of = np.maximum(g.sum(0), 1)
         self.size = np.log10(tokens_of)  # of the class
         self.unknown = np.log10(discount * known)
-        self.emit = np.log10(units.counts - discount) if len(units.counts) else np.zeros(0)
-        self.base = np.log10(units.counts + 1.0)
+        self.emit = np.append(np.log10(units.counts - discount), 0.0)  # the last is that of words not kept
+        self.base = np.append(np.log10(units.counts + 1.0), 0.0)
         self.floor = float(np.log10(total + types + 1))
 
-    def start(self, text: str | None) -> tuple[int, int, float, float, list[bytes], list[int]]:
-        """Tokens, known ones so far, base and class score so far, and the words whose counts are still to come."""
-        if self.words is None:
-            at, u, others = self.units.encode(text)
-            c = self.of[u]
-        else:
-            ws = tokens(text)
-            slots = self.slots_of(ws)
-            at, c = self.seen[0][slots], self.seen[1][slots]
-            others = [ws[i] for i in np.flatnonzero(at < 0).tolist()]
-        kept = at[at >= 0]
-        score = self.step[np.concatenate([c[-1:], c[:-1]]), c].sum() - self.size[c].sum() + self.emit[kept].sum()
-        rest = Counter(others)
-        return len(at), len(kept), float(self.base[kept].sum() - len(at) * self.floor), float(score), list(rest), list(rest.values())
-
-    def slots_of(self, ws: list[bytes]) -> np.ndarray:
-        """Places of words in `seen`, (word number or -1, class), which a task fills as it meets them, up to a bound."""
-        found = list(map(self.slot.get, ws))
-        if None in found:
-            new = list({w for w, x in zip(ws, found, strict=True) if x is None})
-            if len(self.slot) + len(new) > HELD:
-                self.slot, self.seen, new = {}, np.zeros((2, 0), np.int64), list(set(ws))
-            first = len(self.slot)
-            self.slot.update(zip(new, range(first, first + len(new)), strict=True))
-            if self.seen.shape[1] < first + len(new):  # room for twice as many
-                self.seen = np.concatenate([self.seen, np.zeros((2, 2 * len(new) + first), np.int64)], 1)
-            to = slice(first, first + len(new))
-            self.seen[0, to] = [self.units.number.get(w, -1) for w in new]
-            self.seen[1, to] = self.of[self.words.look_up(new)]
-            found = list(map(self.slot.__getitem__, ws))
-        return np.array(found, np.int64)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"slot": {}, "seen": np.zeros((2, 0), np.int64)}
+    def start(self, words: pa.Array, at: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+        """Of `parted` texts: tokens, known ones so far, base and class score so far, and the words whose counts are still to come."""
+        ws = words.to_pylist()
+        number = np.array([self.units.number.get(w, -1) for w in ws], np.int64)
+        k, c = number[at], self.of[self.words.look_up(ws)][at]
+        first = np.cumsum(n) - n
+        summed = lambda x: np.add.reduceat(x, first)
+        score = summed(self.step[np.roll(c, 1), c] - self.size[c] + self.emit[k])
+        rest = k < 0
+        left, times = np.unique(np.repeat(np.arange(len(n)), n)[rest] * len(ws) + at[rest], return_counts=True)
+        ends = np.searchsorted(left, np.arange(len(n) + 1) * len(ws)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(ends), x) for x in (words.take(pa.array(left % len(ws))), pa.array(times, pa.int64()))]
+        return [*map(pa.array, (n, summed((~rest).astype(np.int64)), summed(self.base[k]) - n * self.floor, score)), *lists]
 
 
 def score_texts(
@@ -487,11 +473,13 @@ def score_texts(
     unknown = F.array(*[F.lit(float(x)) for x in model.value.unknown[of[len(words.hashes) :]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
         for batch in batches:
-            columns = list(zip(*[model.value.start(t) for t in batch.column(2).to_pylist()], strict=True)) or [[]] * 6
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["id", "held_out", "n_tokens", "kept", "base", "score", "words", "times"])
+            first = 0
+            for some in parted(batch.column(2)):
+                z = len(some[2])
+                ids, marks = (batch.column(k).slice(first, z) for k in (0, 1))
+                first += z
+                yield pa.RecordBatch.from_arrays([ids, marks, *model.value.start(*some)], names=["id", "held_out", "n_tokens", "kept", "base", "score", "words", "times"])
 
     parts = "id long, held_out boolean, n_tokens long, kept long, base double, score double, words array<binary>, times array<long>"
     parts = materialize(rows.mapInArrow(run, parts).withColumn("row", F.monotonically_increasing_id()))
