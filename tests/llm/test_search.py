@@ -60,3 +60,30 @@ def test_queries_of_a_shard_are_scored_together_and_few_documents_in_full():
         assert np.allclose(scores[best], want[order])
         assert len(at) <= 15
     assert 500 in found[10][0] and len(found[-1][0]) == 0
+
+
+def test_documents_are_read_once_whatever_the_number_of_queries(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(search, "QUERIES", 7)
+    log = str(tmp_path / "read")
+
+    def logged(batches):
+        for batch in batches:
+            with open(log, "a") as f:
+                f.write("x" * batch.num_rows)
+            yield batch
+
+    rows = [(i, f"word{i % 7} and word{i % 5} of text {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = search.top_k(df.mapInArrow(logged, df.schema), df, k=3).collect()  # nine blocks of queries
+    assert len(found) == 180 and all(r.query_id == r.id for r in found if r["rank"] == 1)
+    assert len(open(log).read()) == len(rows)
+
+
+def test_documents_of_a_block_are_alike():
+    rng = np.random.default_rng(5)
+    words = [b"%s%d" % (side, i) for side in (b"a", b"b") for i in range(30)]
+    docs = [[words[30 * (d % 2) + i] for i in rng.integers(0, 30, 40)] for d in range(640)]
+    stats = search.Statistics({w: i for i, w in enumerate(words)}, np.array([sum(w in d for d in map(set, docs)) for w in words], float), len(docs), 40 * len(docs))
+    shard = search.Shard([(i, stats.counts(d), 40) for i, d in enumerate(docs)], stats, 1.2, 0.75)
+    sides = shard.most.reshape(shard.blocks, 2, 30).max(2) > 0
+    assert (sides.sum(1) == 1).sum() >= shard.blocks - 1  # the terms of one side have no impact in the other's blocks
