@@ -129,3 +129,26 @@ def test_places_of_words(spark):
     got = spark.createDataFrame(rows, "i int, w array<string>").coalesce(1).select("i", lookup._places()("w").alias("p"))
     found = {r["i"]: {x["token"]: x["_places"] for x in r["p"]} for r in got.collect()}
     assert found == {1: {"b": [0, 2], "a": [1]}, 2: {}, 3: {}, 4: {None: [0, 2], "": [1]}}
+
+
+def test_words_that_many_lists_share_are_looked_up_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(lookup, "written", lambda df: kept.append(tables.written(df)) or kept[-1])
+    df = spark.createDataFrame([(i, ["the", f"w{i % 9}", None, "the", f"v{i % 300}"]) for i in range(600)], "i long, words array<string>").coalesce(2)
+    known = spark.createDataFrame([("w1", 1), ("the", 9)], "token string, id int")
+    got = lookup.looked_up(df, "words", known, "id", [0], "ids", limit=0)
+    assert all(r["ids"] == [9, int(r["i"] % 9 == 1), 0, 9, 0] for r in got.collect())
+    # a word a chunk, not one for each list, which would be 2,400 rows
+    assert kept[0].count() <= 2 * (1 + 2 + 9 + 300)
+
+
+@pytest.mark.parametrize("most", [1, 7, 1 << 18])
+def test_lists_are_parted_again_whatever_the_chunk(spark, monkeypatch, most):
+    monkeypatch.setattr(lookup, "CHUNK_WORDS", most)
+    rows = lists(seed=2, n=80)
+    table = {"the": [1.0, None], "w5": [2.0, 2.5], "": [4.0, 4.5]}
+    df = spark.createDataFrame(rows, "i long, words array<string>").repartition(3)
+    known = spark.createDataFrame(list(table.items()), "token string, vec array<double>")
+    got = lookup.looked_up(df, "words", known, "vec", [0.0, -1.0], "v", limit=0)
+    want = sorted(str((i, w, [v for x in w or [] for v in table.get(x, [0.0, -1.0])])) for i, w in rows)
+    assert sorted(str((r["i"], r["words"], r["v"])) for r in got.collect()) == want

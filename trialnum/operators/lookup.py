@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,8 @@ from trialnum.operators.tables import written
 LOOKUP_BYTES = 64 << 20
 # a word that makes up a thousandth of all (list, word) pairs is hot, so there are at most this many
 HOT_WORDS = 1000
+# words of lists that are looked up together
+CHUNK_WORDS = 1 << 18
 
 
 def looked_up(
@@ -25,9 +29,9 @@ def looked_up(
     does not have. A null array gives an empty one.
 
     A table of at most ``limit`` bytes goes to all tasks, which look up a batch of rows at once. A larger one
-    meets the words of the data by a join: lists that are equal are looked up once, a list's words once
+    meets the words of the data by a join: many lists together are a chunk, whose words are looked up once
     each, from a table of them that is written once; the few hot words are joined by broadcast, all others by a shuffle,
-    and a list's values come back as one row. Rows themselves move once.
+    and a chunk's values come back as one row, which is parted into lists, one for all that are equal. Rows themselves move once.
     """
     kind = "int" if all(isinstance(x, int) for x in default) else "double"
     wide = isinstance(table.schema[value].dataType.jsonValue(), dict)
@@ -65,10 +69,11 @@ def _sent_to_tasks(table: DataFrame, default: list, kind: str):
 
 def _joined(df: DataFrame, words: str, table: DataFrame, default, out: str) -> DataFrame:
     keyed = df.withColumn("_key", F.unhex(F.sha2(F.to_json(words), 256)))
-    lists = keyed.select("_key", F.col(words).alias("_words")).dropDuplicates(["_key"])
-    each = lists.select("_key", F.explode(_places()("_words")).alias("_p"))
-    # written, as the words are counted, met by the hot ones and by all others
-    pairs = written(each.select("_key", "_p.*"))
+    lists = keyed.where("_key IS NOT NULL").select(F.monotonically_increasing_id().alias("_chunk"), "_key", F.col(words).alias("_words"))
+    each = lists.select("_chunk", F.explode(_chunks()("_key", "_words")).alias("_p"))
+    # written, as the words are counted, met by the hot ones and by all others, and numbers of chunks must not change
+    chunks = written(each.select("_chunk", "_p.*"))
+    pairs = chunks.where("_keys IS NULL").select("_chunk", "token", "_code")
     counted = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("_lists"))
     mapped = written(counted.join(table, "token", "left").withColumn("_value", F.coalesce("_value", default)))
     total = mapped.agg(F.sum("_lists").alias("_total"))
@@ -76,13 +81,73 @@ def _joined(df: DataFrame, words: str, table: DataFrame, default, out: str) -> D
     met = _by_token(pairs, F.broadcast(hot), "inner")
     cold = _by_token(pairs, F.broadcast(hot), "left_anti")
     rest = _by_token(cold, mapped.select("token", "_value"), "inner")
-    found = met.unionByName(rest).groupBy("_key").agg(F.collect_list(F.struct("_places", "_value")).alias("_found"))
-    spread = F.flatten(F.transform("_found", lambda f: F.transform(f["_places"], lambda p: F.struct(p, f["_value"].alias("value")))))
-    along = F.flatten(F.transform(F.array_sort(spread), lambda x: x["value"]))
-    back = keyed.join(found.select("_key", along.alias(out)), "_key", "left").drop("_key")
+    found = met.unionByName(rest).groupBy("_chunk").agg(F.collect_list("_code").alias("_of"), F.collect_list("_value").alias("_values"))
+    heads = chunks.where("_keys IS NOT NULL").select("_chunk", "_keys", "_sizes", "_codes")
+    kind = table.schema["_value"].dataType.simpleString()
+    along = heads.join(found, "_chunk").select("_keys", "_sizes", "_codes", "_of", "_values").mapInArrow(_parted(out), f"_key binary, {out} {kind}")
+    back = keyed.join(along.dropDuplicates(["_key"]), "_key", "left").drop("_key")
     return back.withColumn(out, F.coalesce(out, F.array().cast(back.schema[out].dataType)))
 
 
+def _chunks():
+    """Arrow UDF: the distinct lists of a batch in chunks, at the first list of each: a row of their keys, sizes and the codes of
+    their words one after the other, then the distinct words of all these lists with their codes."""
+    places, most = _places().func, CHUNK_WORDS
+
+    @F.arrow_udf("array<struct<token: string, _code: int, _keys: array<binary>, _sizes: array<int>, _codes: binary>>")
+    def run(keys: pa.Array, lists: pa.Array) -> pa.Array:
+        once = np.sort(np.unique(keys.dictionary_encode().indices.to_numpy(), return_index=True)[1])
+        distinct = lists.take(pa.array(once))
+        sizes = pc.fill_null(pc.list_value_length(distinct), 0).to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        first = np.flatnonzero(np.diff(ends[:-1] // most, prepend=-1))
+        bounds = np.append(first, len(once))
+        found = places(pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), distinct.flatten()))
+        words = found.value_lengths().to_numpy()
+        packed = []
+        for chunk, total in zip(found, np.diff(ends[bounds]).tolist(), strict=True):
+            at = chunk.values.field("_places")
+            codes = np.empty(total, np.min_scalar_type(len(at)))
+            codes[at.flatten().to_numpy()] = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy())
+            packed.append(pa.compress(codes.tobytes(), "zstd", asbytes=True))
+        # a head before the words of a chunk
+        rows, number = words + 1, np.arange(len(words))
+        chunk = np.repeat(number, rows)
+        code = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows) - 1
+        is_head = code < 0
+        word = pa.array(np.cumsum(~is_head) - 1, mask=is_head)
+        chunk = pa.array(chunk, mask=~is_head)
+        parts = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), x) for x in (keys.take(pa.array(once)), pa.array(sizes, pa.int32()))]
+        heads = [x.take(chunk) for x in (*parts, pa.array(packed, pa.binary()))]
+        columns = [found.flatten().field("token").take(word), pa.array(code, pa.int32(), mask=is_head), *heads]
+        lengths = np.zeros(len(lists), np.int64)
+        lengths[once[first]] = rows
+        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, ["token", "_code", "_keys", "_sizes", "_codes"]))
+
+    # so that it runs once for all uses of its result
+    return run.asNondeterministic()
+
+
+def _parted(out: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The values of chunks' words, put along their codes and parted into lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                keys, sizes, of, values = (batch.column(c).slice(row, 1).flatten() for c in (0, 1, 3, 4))
+                ends = np.concatenate([[0], np.cumsum(sizes.to_numpy(), dtype=np.int64)])
+                kind = np.min_scalar_type(len(of))
+                codes = np.frombuffer(pa.decompress(batch.column(2)[row].as_py(), int(ends[-1]) * kind.itemsize, "zstd", asbytes=True), kind)
+                place = np.empty(len(of), np.int64)
+                place[of.to_numpy()] = np.arange(len(of))
+                along = values.take(pa.array(place[codes]))
+                offsets = np.concatenate([[0], np.cumsum(along.value_lengths().to_numpy(), dtype=np.int64)])[ends]
+                yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), along.flatten())], names=["_key", out])
+
+    return run
+
+
 def _places():
     """Arrow UDF: a list's distinct words (null is one), each with its places, for a whole batch at once."""
 

@@ -66,7 +66,8 @@ def unknown_rewritten(
     known = vocabulary.select("token", F.lit(1).alias("is"))
     df = df.withColumn("_words", vocabulary_words(F.col(text)))
     df = looked_up(df, "_words", known, "is", [0], "_known", limit)
-    kept = F.zip_with("_words", "_known", lambda w, k: F.when(k == 1, w).otherwise(UNKNOWN_WORD))
+    # words are made again, as a text is smaller than its words where rows move
+    kept = F.zip_with(vocabulary_words(F.col(text)), "_known", lambda w, k: F.when(k == 1, w).otherwise(UNKNOWN_WORD))
     return df.withColumn(out, F.coalesce(F.array_join(kept, " "), F.lit(""))).drop("_words", "_known")
 
 
