@@ -16,8 +16,8 @@ from trialnum.operators.tables import written
 LOOKUP_BYTES = 64 << 20
 # a word that makes up a thousandth of all (list, word) pairs is hot, so there are at most this many
 HOT_WORDS = 1000
-# words of lists that are looked up together
-CHUNK_WORDS = 1 << 18
+# words of lists that are looked up together, as many numbers where a word's value is an array
+CHUNK_WORDS = 1 << 20
 
 
 def looked_up(
@@ -39,7 +39,7 @@ def looked_up(
     table = table.select("token", values.alias("_value"))
     if limit and table_bytes(table, 8 * len(default)) <= limit:
         return df.withColumn(out, _sent_to_tasks(table, default, kind)(F.col(words)))
-    return _joined(df, words, table, F.array(*map(F.lit, default)).cast(f"array<{kind}>"), out)
+    return _joined(df, words, table, F.array(*map(F.lit, default)).cast(f"array<{kind}>"), len(default), out)
 
 
 def table_bytes(table: DataFrame, width: int) -> int:
@@ -67,10 +67,10 @@ def _sent_to_tasks(table: DataFrame, default: list, kind: str):
     return run
 
 
-def _joined(df: DataFrame, words: str, table: DataFrame, default, out: str) -> DataFrame:
+def _joined(df: DataFrame, words: str, table: DataFrame, default, width: int, out: str) -> DataFrame:
     keyed = df.withColumn("_key", F.unhex(F.sha2(F.to_json(words), 256)))
     lists = keyed.where("_key IS NOT NULL").select(F.monotonically_increasing_id().alias("_chunk"), "_key", F.col(words).alias("_words"))
-    each = lists.select("_chunk", F.explode(_chunks()("_key", "_words")).alias("_p"))
+    each = lists.select("_chunk", F.explode(_chunks(max(1, CHUNK_WORDS // max(1, width)))("_key", "_words")).alias("_p"))
     # written, as the words are counted, met by the hot ones and by all others, and numbers of chunks must not change
     chunks = written(each.select("_chunk", "_p.*"))
     pairs = chunks.where("_keys IS NULL").select("_chunk", "token", "_code")
@@ -81,18 +81,22 @@ def _joined(df: DataFrame, words: str, table: DataFrame, default, out: str) -> D
     met = _by_token(pairs, F.broadcast(hot), "inner")
     cold = _by_token(pairs, F.broadcast(hot), "left_anti")
     rest = _by_token(cold, mapped.select("token", "_value"), "inner")
-    found = met.unionByName(rest).groupBy("_chunk").agg(F.collect_list("_code").alias("_of"), F.collect_list("_value").alias("_values"))
-    heads = chunks.where("_keys IS NOT NULL").select("_chunk", "_keys", "_sizes", "_codes")
+    of, value = F.col("_code"), F.col("_value")
+    if width == 1:  # numbers move without their arrays; null is what does not come back
+        value = F.get("_value", F.lit(0))
+        of = F.when(value.isNotNull(), of)
+    found = met.unionByName(rest).groupBy("_chunk").agg(F.collect_list(of).alias("_of"), F.collect_list(value).alias("_values"))
+    heads = chunks.where("_keys IS NOT NULL").select("_chunk", F.col("_code").alias("_n"), "_keys", "_sizes", "_codes")
     kind = table.schema["_value"].dataType.simpleString()
-    along = heads.join(found, "_chunk").select("_keys", "_sizes", "_codes", "_of", "_values").mapInArrow(_parted(out), f"_key binary, {out} {kind}")
+    along = heads.join(found, "_chunk").select("_keys", "_sizes", "_n", "_codes", "_of", "_values").mapInArrow(_parted(out), f"_key binary, {out} {kind}")
     back = keyed.join(along.dropDuplicates(["_key"]), "_key", "left").drop("_key")
     return back.withColumn(out, F.coalesce(out, F.array().cast(back.schema[out].dataType)))
 
 
-def _chunks():
-    """Arrow UDF: the distinct lists of a batch in chunks, at the first list of each: a row of their keys, sizes and the codes of
-    their words one after the other, then the distinct words of all these lists with their codes."""
-    places, most = _places().func, CHUNK_WORDS
+def _chunks(most: int):
+    """Arrow UDF: the distinct lists of a batch in chunks of ``most`` words, at the first list of each: a row of their keys, sizes and
+    the codes of their words one after the other, with the number of codes, then the distinct words of all these lists with their codes."""
+    places = _places().func
 
     @F.arrow_udf("array<struct<token: string, _code: int, _keys: array<binary>, _sizes: array<int>, _codes: binary>>")
     def run(keys: pa.Array, lists: pa.Array) -> pa.Array:
@@ -119,7 +123,7 @@ def _chunks():
         chunk = pa.array(chunk, mask=~is_head)
         parts = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), x) for x in (keys.take(pa.array(once)), pa.array(sizes, pa.int32()))]
         heads = [x.take(chunk) for x in (*parts, pa.array(packed, pa.binary()))]
-        columns = [found.flatten().field("token").take(word), pa.array(code, pa.int32(), mask=is_head), *heads]
+        columns = [found.flatten().field("token").take(word), pa.array(np.where(is_head, np.repeat(words, rows), code), pa.int32()), *heads]
         lengths = np.zeros(len(lists), np.int64)
         lengths[once[first]] = rows
         offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
@@ -135,15 +139,18 @@ def _parted(out: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                keys, sizes, of, values = (batch.column(c).slice(row, 1).flatten() for c in (0, 1, 3, 4))
+                keys, sizes, of, values = (batch.column(c).slice(row, 1).flatten() for c in (0, 1, 4, 5))
                 ends = np.concatenate([[0], np.cumsum(sizes.to_numpy(), dtype=np.int64)])
-                kind = np.min_scalar_type(len(of))
-                codes = np.frombuffer(pa.decompress(batch.column(2)[row].as_py(), int(ends[-1]) * kind.itemsize, "zstd", asbytes=True), kind)
-                place = np.empty(len(of), np.int64)
+                n = batch.column(2)[row].as_py()
+                kind = np.min_scalar_type(n)
+                codes = np.frombuffer(pa.decompress(batch.column(3)[row].as_py(), int(ends[-1]) * kind.itemsize, "zstd", asbytes=True), kind)
+                place = np.full(n, -1)
                 place[of.to_numpy()] = np.arange(len(of))
-                along = values.take(pa.array(place[codes]))
-                offsets = np.concatenate([[0], np.cumsum(along.value_lengths().to_numpy(), dtype=np.int64)])[ends]
-                yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), along.flatten())], names=["_key", out])
+                along = values.take(pa.array(place[codes], mask=place[codes] < 0))
+                if pa.types.is_list(along.type):
+                    ends = np.concatenate([[0], np.cumsum(along.value_lengths().to_numpy(), dtype=np.int64)])[ends]
+                    along = along.flatten()
+                yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), along)], names=["_key", out])
 
     return run
 
